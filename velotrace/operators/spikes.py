@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from velotrace.functions.clean import no_nan
+from velotrace.functions.windows import medians_and_deviations
 from velotrace.operators.runlength import Alike, joined, pieces
 from velotrace.operators.shards import SECOND, changes, dedup, numpy_of, sharded, usable, whole_groups
 from velotrace.session import cut
@@ -17,26 +18,6 @@ from velotrace.session import cut
 SCALE = 1.4826  # of a normal distribution: usual deviation over median absolute deviation
 
 
-def side_windows(v: np.ndarray, start: np.ndarray, stop: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Median and median absolute deviation of v[start:stop] for each row; NaN where it is empty. stop - start <= size."""
-    n = stop - start
-    idx = np.minimum(start[:, None] + np.arange(size), len(v) - 1)
-    w = np.where(np.arange(size) < n[:, None], v[idx], np.inf)
-
-    def middle(sorted_rows: np.ndarray) -> np.ndarray:
-        lo, hi = np.maximum((n - 1) // 2, 0), np.minimum(n // 2, size - 1)
-        rows = np.arange(len(n))
-        return np.where(n > 0, (sorted_rows[rows, lo] + sorted_rows[rows, hi]) / 2, np.nan)
-
-    w.sort(axis=1)
-    med = middle(w)
-    with np.errstate(invalid="ignore"):
-        w = np.abs(w - med[:, None])
-    w[np.isnan(w)] = np.inf
-    w.sort(axis=1)
-    return med, middle(w)
-
-
 def hampel(v: np.ndarray, reach: int, least: int, floor: float) -> np.ndarray:
     """Deviations of each value from the usual level around it, in usual deviations; NaN if too few values are near.
 
@@ -47,8 +28,8 @@ def hampel(v: np.ndarray, reach: int, least: int, floor: float) -> np.ndarray:
     """
     n = len(v)
     i = np.arange(n)
-    before = side_windows(v, np.maximum(i - reach, 0), i, reach)
-    after = side_windows(v, np.minimum(i + 1, n), np.minimum(i + 1 + reach, n), reach)
+    before = medians_and_deviations(v, np.maximum(i - reach, 0), i, reach)
+    after = medians_and_deviations(v, np.minimum(i + 1, n), np.minimum(i + 1 + reach, n), reach)
     enough = np.stack([np.minimum(i, reach) >= reach // 2, np.minimum(n - 1 - i, reach) >= reach // 2])
     mad = np.fmin(np.where(enough[0], before[1], np.nan), np.where(enough[1], after[1], np.nan))
     unit = np.maximum(SCALE * mad, floor)
@@ -80,7 +61,7 @@ def judge(reach: int, least: int, floor: float, limit: float) -> Callable[[Itera
     return run
 
 
-def far_off(values: DataFrame, reach: int = 100, least: int = 8, floor: float = 0.5, limit: float = 5.5, block: int = 4096) -> DataFrame:
+def far_off(values: DataFrame, reach: int = 100, least: int = 8, floor: float = 0.5, limit: float = 5.0, block: int = 4096) -> DataFrame:
     """row_seq of values far outside what their source shows around them. values: box, shard, t, row_seq, num.
 
     A source's values are numbered in time order (rank within the shard, plus a prefix sum over shards) and
