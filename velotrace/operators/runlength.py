@@ -146,6 +146,6 @@ def joined(shards: DataFrame, alike: Alike, ride_gap_us: int | None, min_rows: i
     order = Window.partitionBy("entity", "ride").orderBy("t0", "t1").rowsBetween(Window.unboundedPreceding, 0)
     edge = runs.where(~inner).withColumn("no", F.sum(F.when(F.coalesce(links, F.lit(False)), 0).otherwise(1)).over(order))
     chained = edge.groupBy("entity", "ride", "no").agg(
-        F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.sum("n").alias("n"), F.min_by("v0", "t0").alias("v0"), F.max_by("v1", "t0").alias("v1"), F.flatten(F.collect_list("ids")).alias("ids")
+        F.min("t0").alias("t0"), F.max_by("t1", "t0").alias("t1"), F.sum("n").alias("n"), F.min_by("v0", "t0").alias("v0"), F.max_by("v1", "t0").alias("v1"), F.flatten(F.collect_list("ids")).alias("ids")
     )
     return done.unionByName(chained.drop("ride", "no")).where(F.col("n") >= alike.least)
