@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from velotrace.functions.clean import floor_div, number
 from velotrace.functions.geo import compass_bearing, distance, utm32
@@ -78,8 +79,10 @@ def segment(points: DataFrame, gap_minutes: float = GAP_MINUTES, min_points: int
     return celled.join(carried, ["boxId", "cell"])
 
 
-IN_CELL = Window.partitionBy("boxId", "cell").orderBy("createdAt", "row_seq")
-CARRIED = ("cell", "c_rows", "c_zeros", "c_last", "c_next")
+def in_cell() -> WindowSpec:
+    return Window.partitionBy("boxId", "cell").orderBy("createdAt", "row_seq")
+
+
 
 
 def trace(segmented: DataFrame) -> DataFrame:
@@ -87,12 +90,13 @@ def trace(segmented: DataFrame) -> DataFrame:
 
     bearing: compass degrees of the step; the first point has that of the second, a lone point 0.
     """
-    before = F.coalesce(F.struct(F.lag("x").over(IN_CELL).alias("x"), F.lag("y").over(IN_CELL).alias("y")), F.lit(None))
-    has = F.lag("createdAt").over(IN_CELL).isNotNull()
+    here = in_cell()
+    before = {k: F.lag(k).over(here) for k in ("x", "y")}
+    has = F.lag("createdAt").over(here).isNotNull()
     bx, by = (F.when(has, before[k]).otherwise(F.col("c_last")[k]) for k in ("x", "y"))
-    after = F.lead("createdAt").over(IN_CELL).isNotNull()
-    nx, ny = (F.when(after, F.lead(k).over(IN_CELL)).otherwise(F.col("c_next")[k]) for k in ("x", "y"))
-    p = segmented.withColumns({"ordinal": F.col("c_rows") + F.row_number().over(IN_CELL) - 1, "bx": bx, "by": by, "nx": nx, "ny": ny})
+    after = F.lead("createdAt").over(here).isNotNull()
+    nx, ny = (F.when(after, F.lead(k).over(here)).otherwise(F.col("c_next")[k]) for k in ("x", "y"))
+    p = segmented.withColumns({"ordinal": F.col("c_rows") + F.row_number().over(here) - 1, "bx": bx, "by": by, "nx": nx, "ny": ny})
     first = F.col("ordinal") == 0
     bearing = F.when(first, F.coalesce(compass_bearing(F.col("nx") - F.col("x"), F.col("ny") - F.col("y")), F.lit(0.0))).otherwise(
         compass_bearing(F.col("x") - F.col("bx"), F.col("y") - F.col("by"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from velotrace.operators.points import IN_CELL
+from velotrace.operators.points import in_cell
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,7 @@ def longest_runs(traced: DataFrame, threshold: float = 0.0) -> DataFrame:
     A run is told by how many points without detection came before it in the trajectory.
     """
     hit = detected(threshold)
-    zeros = F.col("c_zeros") + F.sum((~hit).cast("long")).over(IN_CELL.rowsBetween(Window.unboundedPreceding, 0))
+    zeros = F.col("c_zeros") + F.sum((~hit).cast("long")).over(in_cell().rowsBetween(Window.unboundedPreceding, 0))
     runs = traced.withColumn("_zeros", zeros).groupBy("boxId", "traj_id", "_zeros").agg(F.count_if(hit).alias("run"))
     return runs.groupBy("boxId", "traj_id").agg(F.max("run").alias("longest_nonzero_run"))
 
