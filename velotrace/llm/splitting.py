@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velotrace.llm.bpe import TOKENIZERS, VOCABULARY, Bpe, dealt, loaded, slices, vocabulary
+from velotrace.llm.bpe import TOKENIZERS, VOCABULARY, dealt, loaded, slices, vocabulary
 
 #: Boundaries by strength: end of a paragraph, a line, a sentence, a word; between letters and signs; inside a long word.
 STRENGTHS = "PLSWTC"
@@ -46,24 +46,33 @@ def strength(text: str, end: int) -> str:
     return "W" if last.isspace() else "T"
 
 
-def units(bpe: Bpe, text: str) -> tuple[int, str, np.ndarray, np.ndarray]:
-    """Tokens of a text; its marks (a letter per counted token, of which a unit's last is its boundary's strength), and of every unit the counted tokens and characters up to its end."""
-    marks, weights, ends, at, tokens = [], [], [], 0, 0
-    for s in bpe.find(text):
-        n = len(bpe.piece(s))
-        tokens += n
+def units(text: str, parts: list[str], counts: list[int]) -> tuple[str, np.ndarray, np.ndarray]:
+    """Marks of a text (a letter per counted token, of which a unit's last is its boundary's strength), and of every unit the counted tokens and characters up to its end.
+
+    parts and counts: the text by the tokenizer's pattern, and the tokens of each part. Strengths that
+    follow from the characters on both sides of an end alone are remembered.
+    """
+    marks, weights, ends, at = [], [], [], 0
+    remembered: dict[str, str] = {}
+    for s, n, following in zip(parts, counts, [*parts[1:], ""], strict=True):
         begin, at = at, at + len(s)
+        sides = s[-1] + following[:1]
+        letter = remembered.get(sides)
+        if letter is None:
+            letter = strength(text, at)
+            if s[-1] not in LINE_ENDS and s[-1] not in CLOSERS:
+                remembered[sides] = letter
         if n <= LONG_UNIT:
-            marks.append(INNER * (n - 1) + strength(text, at))
+            marks.append(INNER * (n - 1) + letter)
             weights.append(n)
             ends.append(at)
             continue
         for i, c in enumerate(s, begin + 1):
             w = len(c.encode("utf-8", "replace"))
-            marks.append(INNER * (w - 1) + (strength(text, at) if i == at else "C"))
+            marks.append(INNER * (w - 1) + (letter if i == at else "C"))
             weights.append(w)
             ends.append(i)
-    return tokens, "".join(marks), np.cumsum(weights, dtype=np.int64), np.array(ends, np.int64)
+    return "".join(marks), np.cumsum(weights, dtype=np.int64), np.array(ends, np.int64)
 
 
 MARKED = "doc_id long, text string, n_tokens long, marks string, upto array<long>, ends array<long>"
@@ -80,8 +89,10 @@ def marker(content: Broadcast, limit: int) -> Callable[[Iterator[pa.RecordBatch]
                 rows = []
                 for v in batch.column("text"):
                     text = v.as_py()
-                    n = bpe.count(text)
-                    rows.append((n, None, None, None) if n <= limit else units(bpe, text))
+                    parts = bpe.find(text or "")
+                    counts = [len(bpe.piece(s)) for s in parts]
+                    n = sum(counts)
+                    rows.append((n, *((None, None, None) if n <= limit else units(text, parts, counts))))
                 arrays = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *arrays], names)
 
