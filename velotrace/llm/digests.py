@@ -38,9 +38,11 @@ def cluster(means: np.ndarray, weights: np.ndarray, delta: int = DELTA) -> tuple
 
 
 def quantile(means: np.ndarray, weights: np.ndarray, low: float, high: float, p: np.ndarray) -> np.ndarray:
-    """Values at the shares p: between the middles of neighbouring centroids, and the extremes at the ends, in a straight line."""
-    middle = np.cumsum(weights) - weights / 2
-    return np.interp(p * weights.sum(), np.r_[0.0, middle, weights.sum()], np.r_[low, np.clip(means, low, high), high])
+    """Values at the shares p: a lone value's own (so small groups are exact), else in a straight line between the middles of neighbouring centroids, and the extremes at the ends."""
+    upto = np.cumsum(weights)
+    line = np.interp(p * upto[-1], np.r_[0.0, upto - weights / 2, upto[-1]], np.r_[low, np.clip(means, low, high), high])
+    at = np.minimum(np.searchsorted(upto, p * upto[-1] - 1e-9), len(upto) - 1)
+    return np.where(weights[at] == 1, means[at], line)
 
 
 class Digest:
