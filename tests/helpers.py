@@ -13,8 +13,8 @@ LAT, LON = 51.96, 7.62
 M_LAT, M_LON = 1 / 111_250, 1 / 68_700  # about a metre
 
 
-def at(s: float) -> datetime:
-    return T0 + timedelta(seconds=s)
+def at(s: float | None) -> datetime | None:
+    return None if s is None else T0 + timedelta(seconds=s)
 
 
 def us(s: float) -> int:
@@ -22,7 +22,7 @@ def us(s: float) -> int:
 
 
 def reading(seq, s, value="0", lat=LAT, lon=LON, box="b", name="n"):
-    return (seq, None if s is None else at(s), value, lat, lon, box, name)
+    return (seq, at(s), value, lat, lon, box, name)
 
 
 def rows(df):
