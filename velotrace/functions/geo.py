@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Ellipsoid GRS80 and the UTM constants of zone 32 north (EPSG:25832).
@@ -24,14 +24,19 @@ def krueger() -> tuple[float, float, list[float]]:
     return radius, e, series
 
 
-def utm32(lat: Column, lon: Column) -> tuple[Column, Column]:
-    """WGS84 degrees to metric x, y in EPSG:25832; null in gives null out."""
-    radius, e, series = krueger()
+def conformal(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """Tangent of the conformal latitude, and the longitude from the central meridian in radians."""
+    _, e, _ = krueger()
     s = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(s) - F.lit(e) * F.atanh(F.lit(e) * s))
-    d = F.radians(lon - F.lit(CENTRAL_MERIDIAN_DEG))
-    xi = F.atan2(t, F.cos(d))
-    eta = F.atanh(F.sin(d) / F.sqrt(F.lit(1.0) + t * t))
+    return F.sinh(F.atanh(s) - F.lit(e) * F.atanh(F.lit(e) * s)), F.radians(lon - F.lit(CENTRAL_MERIDIAN_DEG))
+
+
+def on_sphere(t: Column, d: Column) -> tuple[Column, Column]:
+    return F.atan2(t, F.cos(d)), F.atanh(F.sin(d) / F.sqrt(F.lit(1.0) + t * t))
+
+
+def on_plane(xi: Column, eta: Column) -> tuple[Column, Column]:
+    radius, _, series = krueger()
     x, y = eta, xi
     for j, a in enumerate(series, 1):
         k = F.lit(2.0 * j)
@@ -40,6 +45,20 @@ def utm32(lat: Column, lon: Column) -> tuple[Column, Column]:
     return F.lit(FALSE_EASTING_M) + F.lit(SCALE * radius) * x, F.lit(SCALE * radius) * y
 
 
+def utm32(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """WGS84 degrees to metric x, y in EPSG:25832; null in gives null out."""
+    return on_plane(*on_sphere(*conformal(lat, lon)))
+
+
+def with_utm32(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Adds x, y as utm32(), in steps of their own: as one expression each inner term would be worked out many times."""
+    t, d = conformal(F.col(lat), F.col(lon))
+    xi, eta = on_sphere(F.col("_utm_t"), F.col("_utm_d"))
+    x, y = on_plane(F.col("_utm_xi"), F.col("_utm_eta"))
+    steps = df.withColumns({"_utm_t": t, "_utm_d": d}).withColumns({"_utm_xi": xi, "_utm_eta": eta})
+    return steps.withColumns({"x": x, "y": y}).drop("_utm_t", "_utm_d", "_utm_xi", "_utm_eta")
+
+
 def distance(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     dx, dy = x1 - x0, y1 - y0
     return F.sqrt(dx * dx + dy * dy)

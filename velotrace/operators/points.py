@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from velotrace.functions.clean import floor_div, number
-from velotrace.functions.geo import compass_bearing, distance, utm32
+from velotrace.functions.geo import compass_bearing, distance, with_utm32
 from velotrace.operators.shards import SECOND, rides
 
 GAP_MINUTES = 10
@@ -37,9 +37,8 @@ def load_points(raw: DataFrame, extent: DataFrame | None = None, observe: Observ
     Rows without lat, lon, createdAt or boxId are dropped; a value that is no number is null and the row
     kept. The clip is closed and comes before anything that looks at neighbours. observe counts rows that come in and are in.
     """
-    x, y = utm32(F.col("lat"), F.col("lon"))
     rows = raw.where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("createdAt").isNotNull() & F.col("boxId").isNotNull())
-    points = rows.select("row_seq", "createdAt", number(F.col("value")).alias("value"), "lat", "lon", "boxId", "boxName", x.alias("x"), y.alias("y"))
+    points = with_utm32(rows.select("row_seq", "createdAt", number(F.col("value")).alias("value"), "lat", "lon", "boxId", "boxName"))
     if extent is None:
         return points
     both = points.join(F.broadcast(extent), F.lit(True))  # one row

@@ -34,11 +34,12 @@ def detected(threshold: float = 0.0) -> Column:
 def longest_runs(traced: DataFrame, threshold: float = 0.0) -> DataFrame:
     """traj_id, longest_nonzero_run: most detections in a row, 0 if there are none; a null value ends a run.
 
-    A run is told by how many points without detection came before it in the trajectory.
+    A run is told by how many points without detection came before it in the trajectory. Points without detection
+    are one group, so that only detections are shuffled one by one.
     """
     hit = detected(threshold)
     zeros = F.col("c_zeros") + F.sum((~hit).cast("long")).over(in_cell().rowsBetween(Window.unboundedPreceding, 0))
-    runs = traced.withColumn("_zeros", zeros).groupBy("boxId", "traj_id", "_zeros").agg(F.count_if(hit).alias("run"))
+    runs = traced.withColumn("_zeros", F.when(hit, zeros)).groupBy("boxId", "traj_id", "_zeros").agg(F.count_if(hit).alias("run"))
     return runs.groupBy("boxId", "traj_id").agg(F.max("run").alias("longest_nonzero_run"))
 
 

@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-#: A hot table has at most this many rows, so broadcasting it has a proven bound.
+#: So many hot keys are split at most, the largest; any other has under 1 / MOST_HOT of the rows.
 MOST_HOT = 1000
 
 
-def hot_keys(keys: DataFrame, rows_per_split: int) -> DataFrame:
-    """(key, splits) of keys with more rows than one task shall get; at most MOST_HOT rows.
+def hot_keys(keys: DataFrame, rows_per_split: int) -> list[Row]:
+    """(key, splits) of keys with more than rows_per_split rows, at most MOST_HOT of them.
 
-    keys: one column `key`, not null. A key is hot with more than max(rows_per_split, total / MOST_HOT)
-    rows, of which there cannot be more than MOST_HOT. Counted with map-side combine.
+    keys: one column `key`, not null. Counted with map-side combine; only the result comes here.
     """
-    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"))
-    limit = F.greatest(F.lit(rows_per_split), F.ceil(F.col("total") / MOST_HOT))
-    return counts.join(F.broadcast(total), F.col("c") > limit).select("key", F.ceil(F.col("c") / limit).cast("int").alias("splits"))
+    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > rows_per_split)
+    top = counts.orderBy(F.col("c").desc(), "key").limit(MOST_HOT)
+    return top.select("key", F.ceil(F.col("c") / rows_per_split).cast("int").alias("splits")).collect()
 
 
-def spread(left: DataFrame, right: DataFrame, hot: DataFrame, key: str, by: Column) -> tuple[DataFrame, DataFrame]:
-    """Adds salt to both sides of an equi-join on key: hot keys of left are dealt out by a hash of `by`, right is repeated as often."""
-    small = F.broadcast(hot.select(F.col("key").alias("_key"), "splits"))
+def spread(left: DataFrame, right: DataFrame, hot: list[Row], key: str, by: Column) -> tuple[DataFrame, DataFrame]:
+    """Adds salt to both sides of an equi-join on key: hot keys of left are dealt out by a hash of `by`, right is repeated as often.
+
+    Without hot keys the salt is a constant, which costs nothing.
+    """
+    if not hot:
+        return left.withColumn("salt", F.lit(0)), right.withColumn("salt", F.lit(0))
+    kind = left.schema[key].dataType.simpleString()
+    small = left.sparkSession.createDataFrame([tuple(r) for r in hot], f"_key {kind}, splits int")
+    small = F.broadcast(small)  # MOST_HOT rows at most
     splits = F.coalesce(F.col("splits"), F.lit(1))
     salted = left.join(small, F.col(key) == F.col("_key"), "left").withColumn("salt", F.pmod(F.xxhash64(by), splits).cast("int")).drop("_key", "splits")
     copies = right.join(small, F.col(key) == F.col("_key"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0), splits - 1))).drop("_key", "splits")

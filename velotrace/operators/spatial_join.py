@@ -38,7 +38,8 @@ def segments_near_points(points: DataFrame, segments: DataFrame, reach_m: float,
     lies in all cells that its widened box meets, so that a point looks into its own cell only.
     """
     to = lambda c: F.floor(F.col(c) / reach_m)
-    p = points.where(known("x", "y")).withColumn("cell", cell_key(to("x"), to("y")))
+    # points without a place need no filter: no distance to them is within reach
+    p = points.withColumn("cell", cell_key(to("x"), to("y")))
     s = in_cells(segments.where(known("x0", "y0", "x1", "y1")), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), reach_m, reach_m)
     p, s = spread(p, s, hot_keys(p.select(F.col("cell").alias("key")), rows_per_split), "cell", F.col("point"))
     d = point_segment_distance(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))

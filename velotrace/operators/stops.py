@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velotrace.functions.clean import floor_div
-from velotrace.functions.geo import utm32
+from velotrace.functions.geo import with_utm32
 from velotrace.functions.windows import medians
 from velotrace.operators.shards import SECOND, changes, numpy_of, rides, usable, whole_groups
 
@@ -287,8 +287,7 @@ def trips_and_stops(readings: DataFrame, how: Dwelling | None = None) -> DataFra
     positions: stray. Copies: the lowest row_seq. A ride of strays only has null reach. No rows give none.
     """
     how = how or Dwelling()
-    x, y = utm32(F.col("lat"), F.col("lon"))
-    rows = usable(readings, x.alias("x"), y.alias("y")).drop("num")
+    rows = with_utm32(usable(readings, F.col("lat"), F.col("lon"))).drop("num", "lat", "lon")
     width, halo = how.shard_s * SECOND, how.halo_s * SECOND
     home = floor_div(F.col("t"), width)
     into = F.col("t") - home * width
