@@ -51,12 +51,17 @@ def utm32(lat: Column, lon: Column) -> tuple[Column, Column]:
 
 
 def with_utm32(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Adds x, y as utm32(), in steps of their own: as one expression each inner term would be worked out many times."""
+    """Adds x, y as utm32(), but NaN where lat or lon is null, so that they are never null.
+
+    They are worked out in steps of their own, as in one expression each inner term would come many times. For the same
+    reason they aren't nullable: the filters that the optimizer infers for nullable keys and operands would repeat it all.
+    """
     t, d = conformal(F.col(lat), F.col(lon))
     xi, eta = on_sphere(F.col("_utm_t"), F.col("_utm_d"))
     x, y = on_plane(F.col("_utm_xi"), F.col("_utm_eta"))
     steps = df.withColumns({"_utm_t": t, "_utm_d": d}).withColumns({"_utm_xi": xi, "_utm_eta": eta})
-    return steps.withColumns({"x": x, "y": y}).drop("_utm_t", "_utm_d", "_utm_xi", "_utm_eta")
+    nan = F.lit(float("nan"))
+    return steps.withColumns({"x": F.coalesce(x, nan), "y": F.coalesce(y, nan)}).drop("_utm_t", "_utm_d", "_utm_xi", "_utm_eta")
 
 
 def distance(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:

@@ -2,37 +2,45 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velotrace.functions.geo import distance, point_segment_distance, utm32
+from velotrace.functions.geo import distance, point_segment_distance, with_utm32
 from velotrace.operators.shards import SECOND, dedup, sharded, usable
 from velotrace.operators.skew import hot_keys, spread
 
 
+#: Cell of places that are not known.
+NOWHERE = -(1 << 63)
+
+
 def cell_key(col: Column, strip: Column) -> Column:
-    """One long of a column and a strip (a strip of latitude, and a stretch of it)."""
-    return F.shiftleft(strip, 32).bitwiseOR(col.bitwiseAND(F.lit(0xFFFFFFFF)))
+    """One long of a column and a strip (a strip of latitude, and a stretch of it); never null.
+
+    A null key would be filtered before a join, and the filter would repeat the whole computation of the place.
+    """
+    return F.coalesce(F.shiftleft(strip, 32).bitwiseOR(col.bitwiseAND(F.lit(0xFFFFFFFF))), F.lit(NOWHERE))
 
 
 def binned_edges(regions: DataFrame, cell_m: float) -> DataFrame:
     """Ring edges of regions (region, ring array<struct<x,y>>) in latitude strips.
 
-    A row per edge, strip that the edge's y-range meets, and stretch of the strip that the
-    region's bounding box meets: a point needs only the edges of its own strip, from regions that
-    come as far as its stretch. Rings are closed if they aren't; horizontal edges cross no ray and are left out.
+    A row per edge, strip that the edge's y-range meets, and stretch of the strip from the region's
+    lowest x to the edge's highest: a point needs only the edges of its own strip that do not end
+    before its stretch, of regions that begin by then. Rings are closed if they aren't; horizontal edges cross no ray and are left out.
     """
-    rings = regions.where(F.size("ring") >= 3).select(
-        "region", "ring", F.array_min(F.transform("ring", lambda p: p["x"])).alias("x_min"), F.array_max(F.transform("ring", lambda p: p["x"])).alias("x_max")
+    spark = regions.sparkSession
+    # a few regions make many rows, so they are dealt out by number, not by size
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rings = regions.repartition(parts, "region").select(
+        "region", "ring", F.array_min(F.transform("ring", lambda p: p["x"])).alias("x_min")
     )
-    edges = rings.select(
-        "region", "x_min", "x_max", F.explode(F.arrays_zip(F.col("ring").alias("a"), F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1)).alias("b"))).alias("e")
-    ).select("region", "x_min", "x_max", F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"))
+    # outer, with the empty ones dropped after: a filter on rings would be pushed below what makes them, and repeat it
+    sides = F.arrays_zip(F.col("ring").alias("a"), F.concat(F.slice("ring", 2, F.greatest(F.size("ring"), F.lit(0))), F.slice("ring", 1, 1)).alias("b"))
+    edges = rings.select("region", "x_min", F.explode_outer(F.when(F.size("ring") >= 3, sides)).alias("e")).select("region", "x_min", F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"))
     to = lambda c: F.floor(c / cell_m)
     strips = edges.where(F.col("ay") != F.col("by")).withColumn("strip", F.explode(F.sequence(to(F.least("ay", "by")), to(F.greatest("ay", "by")))))
-    cells = strips.withColumn("stretch", F.explode(F.sequence(to(F.col("x_min")), to(F.col("x_max")))))
+    cells = strips.withColumn("stretch", F.explode(F.sequence(to(F.col("x_min")), to(F.greatest("ax", "bx")))))
     return cells.select(cell_key(F.col("stretch"), F.col("strip")).alias("cell"), "region", "ax", "ay", "bx", "by")
 
 
@@ -49,32 +57,28 @@ def points_in_regions(points: DataFrame, regions: DataFrame, cell_m: float = 40.
     """
     edges = binned_edges(regions, cell_m)
     to = lambda c: F.floor(F.col(c) / cell_m)
-    placed = points.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")).select("point", "x", "y", cell_key(to("x"), to("y")).alias("cell"))
+    # null and NaN places need no filter: they straddle no edge
+    placed = points.select("point", "x", "y", cell_key(to("x"), to("y")).alias("cell"))
     placed, edges = spread(placed, edges, hot_keys(placed.select(F.col("cell").alias("key")), rows_per_split), "cell", F.col("point"))
     p, e = placed.alias("p"), edges.alias("e")
     straddles = (F.least("e.ay", "e.by") <= F.col("p.y")) & (F.col("p.y") < F.greatest("e.ay", "e.by"))
     at = F.col("e.ax") + (F.col("p.y") - F.col("e.ay")) * (F.col("e.bx") - F.col("e.ax")) / (F.col("e.by") - F.col("e.ay"))
-    crossed = p.join(e, (F.col("p.cell") == F.col("e.cell")) & (F.col("p.salt") == F.col("e.salt")) & straddles & (at >= F.col("p.x")))
-    parity = crossed.groupBy(F.col("p.point").alias("point"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("e.region").alias("region")).agg(
-        F.count(F.lit(1)).alias("crossings"), F.max((at == F.col("p.x")).cast("int")).alias("touching")
+    # merged, as sizes are underestimated after explode() and no bound for a broadcast is known
+    crossed = p.join(e.hint("merge"), (F.col("p.cell") == F.col("e.cell")) & (F.col("p.salt") == F.col("e.salt")) & straddles & (at >= F.col("p.x")))
+    parity = crossed.groupBy(F.col("p.point").alias("point"), F.col("e.region").alias("region")).agg(
+        F.count(F.lit(1)).alias("crossings"), F.max((at == F.col("p.x")).cast("int")).alias("touching"), F.first("p.x").alias("x"), F.first("p.y").alias("y")
     )
     return parity.where((F.col("crossings") % 2 == 1) | (F.col("touching") == 1)).select("point", "x", "y", "region")
 
 
-def capsule(x0: Column, y0: Column, x1: Column, y1: Column, reach: float) -> Column:
-    """Ring of eight corners that holds every place within reach of a segment."""
-    r = reach * 1.000001
-    c = r * math.tan(math.pi / 8)
+def around(x0: Column, y0: Column, x1: Column, y1: Column, reach: float) -> Column:
+    """Ring of four corners that holds every place within reach of a segment."""
+    r = F.lit(reach * 1.000001)
     length = distance(x0, y0, x1, y1)
     ex = F.coalesce(F.try_divide(x1 - x0, length), F.lit(1.0))
     ey = F.coalesce(F.try_divide(y1 - y0, length), F.lit(0.0))
     corner = lambda along, off: F.struct((x0 + ex * along - ey * off).alias("x"), (y0 + ey * along + ex * off).alias("y"))
-    start = [(-r, c), (-r, -c), (-c, -r)]
-    end = [(c, -r), (r, -c), (r, c), (c, r)]
-    last = (-c, r)
-    return F.array(
-        *[corner(F.lit(a), F.lit(o)) for a, o in start], *[corner(length + F.lit(a), F.lit(o)) for a, o in end], corner(F.lit(last[0]), F.lit(last[1]))
-    )
+    return F.array(corner(-r, -r), corner(length + r, -r), corner(length + r, r), corner(-r, r))
 
 
 def segments(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -90,24 +94,26 @@ def segments(lines: DataFrame, keys: list[str]) -> DataFrame:
 def lines_near_points(points: DataFrame, lines: DataFrame, keys: list[str], reach_m: float, cell_m: float = 40.0) -> DataFrame:
     """(point, keys...) for each point and line at most reach_m apart, each pair once.
 
-    Every segment becomes a region, its capsule with eight corners, slightly too large; points in these
-    regions are found by crossing parity, and the exact distance then decides. lines: (keys..., geometry
-    array<struct<x,y>>); equal rows of lines give one pair.
+    Every segment becomes a region, the rectangle that holds its surroundings; points in these regions are
+    found by crossing parity, and the exact distance then decides. A segment that several lines share, in either
+    direction, is one region. lines: (keys..., geometry array<struct<x,y>>); equal rows of lines give one pair.
     """
-    region = F.struct(*keys, "x0", "y0", "x1", "y1")
-    parts = segments(lines, keys).where(~F.isnan(F.col("x0") + F.col("y0") + F.col("x1") + F.col("y1"))).distinct()
-    regions = parts.select(region.alias("region"), capsule(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), reach_m).alias("ring"))
+    ends = ["x0", "y0", "x1", "y1"]
+    parts = segments(lines, keys).where(~F.isnan(F.col("x0") + F.col("y0") + F.col("x1") + F.col("y1")))
+    turned = F.struct("x1", "y1") < F.struct("x0", "y0")
+    parts = parts.select(*keys, *[F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in zip(ends, ["x1", "y1", "x0", "y0"], strict=True)]).distinct()
+    region = F.struct(*ends)
+    regions = parts.select(*ends).distinct().select(region.alias("region"), around(*[F.col(c) for c in ends], reach_m).alias("ring"))
     inside = points_in_regions(points, regions, cell_m)
     r = F.col("region")
-    near = point_segment_distance(F.col("x"), F.col("y"), r["x0"], r["y0"], r["x1"], r["y1"]) <= reach_m
-    return inside.where(near).select("point", *[r[k].alias(k) for k in keys]).distinct()
+    near = inside.where(point_segment_distance(F.col("x"), F.col("y"), *[r[c] for c in ends]) <= reach_m).select("point", *[r[c].alias(c) for c in ends])
+    return near.join(parts, ends).select("point", *keys).distinct()
 
 
 def detections(readings: DataFrame) -> DataFrame:
     """(point = row_seq, x, y) of the readings that count whose number is above 0."""
-    x, y = utm32(F.col("lat"), F.col("lon"))
     rows = dedup(sharded(usable(readings, F.col("lat"), F.col("lon")), 600 * SECOND), ("num", "lat", "lon"))
-    return rows.where(F.col("num") > 0).select(F.col("row_seq").alias("point"), x.alias("x"), y.alias("y"))
+    return with_utm32(rows.where(F.col("num") > 0)).select(F.col("row_seq").alias("point"), "x", "y")
 
 
 def edges_near_detections(readings: DataFrame, edges: DataFrame, reach_m: float = 15.0) -> DataFrame:

@@ -43,7 +43,7 @@ def segments_near_points(points: DataFrame, segments: DataFrame, reach_m: float,
     s = in_cells(segments.where(known("x0", "y0", "x1", "y1")), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), reach_m, reach_m)
     p, s = spread(p, s, hot_keys(p.select(F.col("cell").alias("key")), rows_per_split), "cell", F.col("point"))
     d = point_segment_distance(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    return p.join(s, ["cell", "salt"]).withColumn("distance_m", d).where(F.col("distance_m") <= reach_m).drop("cell", "salt")
+    return p.join(s.hint("merge"), ["cell", "salt"]).withColumn("distance_m", d).where(F.col("distance_m") <= reach_m).drop("cell", "salt")
 
 
 def segment_distance(a: str, b: str) -> Column:
@@ -71,7 +71,7 @@ def nearest_line(left: DataFrame, right: DataFrame, reach_m: float) -> DataFrame
     a = in_cells(left.where(known(*ends)), *cols, reach_m, 0.0)
     b = in_cells(right.where(known(*ends)), *cols, reach_m, reach_m)
     a, b = spread(a, b, hot_keys(a.select(F.col("cell").alias("key")), 200_000), "cell", F.xxhash64("line", *ends))
-    pairs = a.alias("a").join(b.alias("b"), (F.col("a.cell") == F.col("b.cell")) & (F.col("a.salt") == F.col("b.salt")))
+    pairs = a.alias("a").join(b.alias("b").hint("merge"), (F.col("a.cell") == F.col("b.cell")) & (F.col("a.salt") == F.col("b.salt")))
     near = pairs.select("a.line", "b.near", segment_distance("a", "b").alias("distance_m")).where(F.col("distance_m") <= reach_m)
     best = near.groupBy("line").agg(F.min(F.struct("distance_m", "near")).alias("best"))
     return best.select("line", F.col("best.near").alias("near"), F.col("best.distance_m").alias("distance_m"))
