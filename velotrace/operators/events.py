@@ -70,20 +70,22 @@ def event_totals(events: DataFrame) -> DataFrame:
 
 
 def one_edge_per_point(matched: DataFrame) -> DataFrame:
-    """point_id, u, v of placed points; of points loaded more than once the earliest load (then lowest u, v)."""
+    """point_id, _uv of placed points; of points loaded more than once the earliest load (then lowest u, v)."""
     p = matched.where(F.col("u").isNotNull() & F.col("point_id").isNotNull())
-    return p.groupBy("point_id").agg(F.min_by(F.struct("u", "v"), F.struct("loaded_at", "u", "v")).alias("uv")) if "loaded_at" in matched.columns else p.groupBy("point_id").agg(F.min(F.struct("u", "v")).alias("uv"))
+    order = ["loaded_at", "u", "v"] if "loaded_at" in matched.columns else ["u", "v"]
+    return p.groupBy("point_id").agg(F.min_by(F.struct("u", "v"), F.struct(*order)).alias("_uv"))
 
 
 def link_events(events: DataFrame, matched: DataFrame) -> DataFrame:
     """Events with u, v of their closest point, else of their first, else of their last: whichever is placed first; v is of the same point as u.
 
-    One join: an event's points are put in a row by priority and the best placed one is taken.
+    One join: an event's points are put in a row by priority and the best placed one is taken. An event without
+    event_uid is not linked; repeated events come out as often.
     """
     bare = events.drop("u", "v", "edge_class")
-    wanted = bare.select("event_uid", F.posexplode(F.array("closest_point_id", "first_point_id", "last_point_id")).alias("prio", "point_id")).where(F.col("point_id").isNotNull())
-    best = wanted.join(one_edge_per_point(matched), "point_id").groupBy("event_uid").agg(F.min_by("uv", "prio").alias("uv"))
-    return bare.join(best, "event_uid", "left").select(*bare.columns, F.col("uv.u").alias("u"), F.col("uv.v").alias("v"))
+    wanted = bare.select("event_uid", F.posexplode(F.array("closest_point_id", "first_point_id", "last_point_id")).alias("_prio", "point_id")).where(F.col("point_id").isNotNull())
+    best = wanted.join(one_edge_per_point(matched), "point_id").groupBy("event_uid").agg(F.min_by("_uv", "_prio").alias("_uv"))
+    return bare.join(best, "event_uid", "left").select(*bare.columns, F.col("_uv.u").alias("u"), F.col("_uv.v").alias("v"))
 
 
 def pair(df: DataFrame) -> DataFrame:

@@ -84,9 +84,11 @@ def flag_sidepaths(edges: DataFrame, near_m: float = NEAR_M, max_m: float = MAX_
     """
     e = unique_edges(edges)
     roads = nearest_roads(e, max_m)
-    by_place = (F.col("dist_to_road") <= near_m) | (F.col("angle") <= max_angle)
+    by_place = (F.col("_dist") <= near_m) | (F.col("_angle") <= max_angle)
     tagged = tag(e, sidepath_tag) == "yes"
-    return e.drop("is_sidepath", "dist_to_road").join(roads.drop("road"), ["u", "v", "key"], "left").withColumn("is_sidepath", F.coalesce(by_place, F.lit(False)) | tagged).drop("angle")
+    near = roads.select("u", "v", "key", F.col("dist_to_road").alias("_dist"), F.col("angle").alias("_angle"))
+    both = e.drop("is_sidepath", "dist_to_road").join(near, ["u", "v", "key"], "left")
+    return both.withColumn("is_sidepath", F.coalesce(by_place, F.lit(False)) | tagged).withColumnRenamed("_dist", "dist_to_road").drop("_angle")
 
 
 def rules(edges: DataFrame) -> list[Column]:

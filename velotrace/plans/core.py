@@ -143,7 +143,7 @@ def session_windows(spark: SparkSession, d: str) -> DataFrame:
 @query
 def overtake_windows(spark: SparkSession, d: str) -> DataFrame:
     s = sessions.overtake_sessions(sessions.cleaned(table(spark, d, READINGS)))
-    return s.select("boxId", us("start"), us("end"), "n_samples", "min_clearance_cm", F.round("mean_clearance_cm", 6).alias("mean_clearance_cm"), "is_close")
+    return s.select("boxId", us("start"), us("end"), "n_samples", "min_clearance_cm", F.round("mean_clearance_cm", 9).alias("mean_clearance_cm"), "is_close")
 
 
 # quality
@@ -156,7 +156,7 @@ def longest_run(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def quality_table(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(quality(spark, d), length_km=4, mean_speed_kmh=3, nonzero_share=6, raw_per_km=4)
+    return rounded(quality(spark, d), length_km=4, mean_speed_kmh=3, nonzero_share=9, raw_per_km=4)
 
 
 @query
@@ -171,7 +171,7 @@ def nflag_hist(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def keep_summary(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ql.keep_summary(quality(spark, d)), kept_share=6)
+    return rounded(ql.keep_summary(quality(spark, d)), kept_share=9)
 
 
 @query
@@ -181,7 +181,7 @@ def box_keep_rate(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def box_overview(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ql.box_overview(pt.segment(points(spark, d))), nonzero_share=6)
+    return rounded(ql.box_overview(pt.segment(points(spark, d))), nonzero_share=9)
 
 
 @query
@@ -194,7 +194,7 @@ def good_scope_points(spark: SparkSession, d: str) -> DataFrame:
 def plot_one_box(spark: SparkSession, d: str) -> DataFrame:
     q = quality(spark, d).select("boxId", "traj_id", "n_points", "nonzero_share", "longest_nonzero_run", "value_max")
     rank = F.row_number().over(Window.partitionBy("boxId").orderBy(F.col("n_points").desc(), "traj_id"))
-    return rounded(q.withColumn("page_rank", rank), nonzero_share=6)
+    return rounded(q.withColumn("page_rank", rank), nonzero_share=9)
 
 
 @query
@@ -215,7 +215,7 @@ def overtake_events(spark: SparkSession, d: str) -> DataFrame:
         e.select(
             "event_uid", "traj_id", "event_id", "boxId", us("start"), us("end"), "duration_s", "n_samples", "min_clearance_cm", "mean_clearance_cm", "is_close", "first_point_id", "last_point_id", "closest_point_id", "x", "y"
         ),
-        duration_s=6, mean_clearance_cm=6, x=2, y=2,
+        duration_s=6, mean_clearance_cm=9, x=2, y=2,
     )
 
 
@@ -224,7 +224,7 @@ def traj_summary(spark: SparkSession, d: str) -> DataFrame:
     t = traced(spark, d)
     s = ev.summarise(t, ev.overtake_events(t))
     s = s.select("traj_id", "boxId", "boxName", us("start"), us("end"), "n_points", "length_km", "duration_min", "mean_speed_kmh", "n_overtakes", "n_close_passes", "min_overtake_cm", "mean_overtake_cm", "mean_event_duration_s", "overtake_rate_per_km")
-    return rounded(s, length_km=4, duration_min=6, mean_speed_kmh=3, mean_overtake_cm=5, mean_event_duration_s=5, overtake_rate_per_km=4)
+    return rounded(s, length_km=4, duration_min=9, mean_speed_kmh=3, mean_overtake_cm=9, mean_event_duration_s=9, overtake_rate_per_km=4)
 
 
 @query
@@ -249,7 +249,7 @@ def events_per_class(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def linked_share(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ev.linked_share(linked(spark, d)), linked_share=6)
+    return rounded(ev.linked_share(linked(spark, d)), linked_share=9)
 
 
 # network
@@ -277,7 +277,7 @@ def crosstab_wide(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def multi_match(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(nw.multi_match(classified(spark, d)), multi_share=6)
+    return rounded(nw.multi_match(classified(spark, d)), multi_share=9)
 
 
 @query
@@ -322,7 +322,7 @@ def sidepath_flags(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def sidepath_share(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(nw.sidepath_share(nw.flag_sidepaths(table(spark, d, EDGES))), share=6)
+    return rounded(nw.sidepath_share(nw.flag_sidepaths(table(spark, d, EDGES))), share=9)
 
 
 @query
@@ -358,12 +358,12 @@ def viterbi_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def placed_share(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(mm.placed_share(table(spark, d, "matched_points")), placed_share=6)
+    return rounded(mm.placed_share(table(spark, d, "matched_points")), placed_share=9)
 
 
 @query
 def placed_overall(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(mm.placed_overall(mm.placed_share(table(spark, d, "matched_points"))), placed_share=6)
+    return rounded(mm.placed_overall(mm.placed_share(table(spark, d, "matched_points"))), placed_share=9)
 
 
 @query

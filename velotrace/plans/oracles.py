@@ -223,34 +223,34 @@ def oracle_sql() -> dict[str, str]:
         "distinct_counts": seg + " SELECT count(*) AS n_points, count(DISTINCT traj_id) AS n_trajectories, count(DISTINCT boxId) AS n_boxes FROM seg",
         "session_windows": seg + " SELECT boxId, min(t) AS start_us, max(t) AS end_us, count(*) AS n_points, count(*) FILTER (value > 0) AS n_nonzero FROM seg GROUP BY boxId, traj_id",
         "overtake_windows": pts + ", a AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY boxId ORDER BY t, row_seq) <= 3000000 THEN 0 ELSE 1 END AS b FROM pts WHERE value > 0), g AS (SELECT *, sum(b) OVER (PARTITION BY boxId ORDER BY t, row_seq ROWS UNBOUNDED PRECEDING) AS no FROM a) "
-        "SELECT boxId, min(t) AS start_us, max(t) AS end_us, count(*) AS n_samples, min(value) AS min_clearance_cm, round(avg(value), 6) AS mean_clearance_cm, min(value) < 150 AS is_close FROM g GROUP BY boxId, no",
+        "SELECT boxId, min(t) AS start_us, max(t) AS end_us, count(*) AS n_samples, min(value) AS min_clearance_cm, round(avg(value), 9) AS mean_clearance_cm, min(value) < 150 AS is_close FROM g GROUP BY boxId, no",
         "longest_run": tr + RUNS + " SELECT traj_id, longest_nonzero_run FROM runs",
-        "quality_table": q + " SELECT traj_id, boxId, boxName, keep, n_flags, flag_reasons, n_points, round(length_km, 4) AS length_km, round(mean_speed_kmh, 3) AS mean_speed_kmh, round(nonzero_share, 6) AS nonzero_share, "
+        "quality_table": q + " SELECT traj_id, boxId, boxName, keep, n_flags, flag_reasons, n_points, round(length_km, 4) AS length_km, round(mean_speed_kmh, 3) AS mean_speed_kmh, round(nonzero_share, 9) AS nonzero_share, "
         f"longest_nonzero_run, round(raw_per_km, 4) AS raw_per_km, value_max, n_nonzero, {', '.join(flags)} FROM q",
         "quality_flag_counts": q + " " + " UNION ALL ".join(f"SELECT '{f}' AS flag, count(*) FILTER ({f}) AS n FROM q" for f in flags),
         "nflag_hist": q + " SELECT n_flags, count(*) AS n FROM q GROUP BY n_flags",
-        "keep_summary": q + " SELECT count(*) AS n, count(*) FILTER (keep) AS n_kept, round(avg(keep::INT), 6) AS kept_share FROM q",
+        "keep_summary": q + " SELECT count(*) AS n, count(*) FILTER (keep) AS n_kept, round(avg(keep::INT), 9) AS kept_share FROM q",
         "box_keep_rate": q + " SELECT boxId, boxName, count(*) AS n, round_even(avg(keep::INT), 2) AS keep_rate FROM q WHERE boxId IS NOT NULL AND boxName IS NOT NULL GROUP BY boxId, boxName ORDER BY keep_rate, boxId, boxName LIMIT 15",
-        "box_overview": seg + " SELECT boxId, count(*) AS n_points, count(DISTINCT traj_id) AS n_trajectories, round(avg(coalesce(value > 0, FALSE)::INT), 6) AS nonzero_share, max(value) AS value_max, avg(coalesce(value > 0, FALSE)::INT) > 0.4 AS looks_stuck FROM seg GROUP BY boxId",
+        "box_overview": seg + " SELECT boxId, count(*) AS n_points, count(DISTINCT traj_id) AS n_trajectories, round(avg(coalesce(value > 0, FALSE)::INT), 9) AS nonzero_share, max(value) AS value_max, avg(coalesce(value > 0, FALSE)::INT) > 0.4 AS looks_stuck FROM seg GROUP BY boxId",
         "good_scope_points": q + " SELECT traj_id, n_points FROM q WHERE keep",
-        "plot_one_box": q + " SELECT boxId, traj_id, n_points, round(nonzero_share, 6) AS nonzero_share, longest_nonzero_run, value_max, (row_number() OVER (PARTITION BY boxId ORDER BY n_points DESC, traj_id))::INT AS page_rank FROM q",
+        "plot_one_box": q + " SELECT boxId, traj_id, n_points, round(nonzero_share, 9) AS nonzero_share, longest_nonzero_run, value_max, (row_number() OVER (PARTITION BY boxId ORDER BY n_points DESC, traj_id))::INT AS page_rank FROM q",
         "plot_trajectories": tr + ", l AS (SELECT boxId, count(*) AS n_lines FROM (SELECT boxId, traj_id FROM tr GROUP BY ALL HAVING count(*) >= 2) GROUP BY boxId) SELECT left(boxId, 12) AS label, boxId, n_lines, greatest((SELECT count(*) FROM l) - 15, 0) AS n_more FROM l ORDER BY n_lines DESC, boxId LIMIT 15",
-        "overtake_events": ev + " SELECT * REPLACE (round(duration_s, 6) AS duration_s, round(mean_clearance_cm, 6) AS mean_clearance_cm, round(x, 2) AS x, round(y, 2) AS y) FROM ev",
+        "overtake_events": ev + " SELECT * REPLACE (round(duration_s, 6) AS duration_s, round(mean_clearance_cm, 9) AS mean_clearance_cm, round(x, 2) AS x, round(y, 2) AS y) FROM ev",
         "traj_summary": ev + """,
 b AS (SELECT boxId, traj_id, arg_min(boxName, (t, row_seq)) FILTER (boxName IS NOT NULL) AS boxName, min(t) AS start_us, max(t) AS end_us, count(*) AS n_points, sum(step_m) / 1000 AS length_km, (max(t) - min(t)) / 6e7 AS duration_min FROM tr GROUP BY boxId, traj_id),
 g AS (SELECT traj_id, count(*) AS n, count(*) FILTER (is_close) AS c, min(min_clearance_cm) AS lo, avg(min_clearance_cm) AS mean, avg(duration_s) AS dur FROM ev GROUP BY traj_id)
-SELECT traj_id, boxId, boxName, start_us, end_us, n_points, round(length_km, 4) AS length_km, round(duration_min, 6) AS duration_min, round(length_km / nullif(duration_min / 60, 0), 3) AS mean_speed_kmh,
-  coalesce(n, 0) AS n_overtakes, coalesce(c, 0) AS n_close_passes, lo AS min_overtake_cm, round(mean, 5) AS mean_overtake_cm, round(dur, 5) AS mean_event_duration_s, round(CASE WHEN length_km >= 0.2 THEN coalesce(n, 0) / length_km END, 4) AS overtake_rate_per_km FROM b LEFT JOIN g USING (traj_id)""",
+SELECT traj_id, boxId, boxName, start_us, end_us, n_points, round(length_km, 4) AS length_km, round(duration_min, 9) AS duration_min, round(length_km / nullif(duration_min / 60, 0), 3) AS mean_speed_kmh,
+  coalesce(n, 0) AS n_overtakes, coalesce(c, 0) AS n_close_passes, lo AS min_overtake_cm, round(mean, 9) AS mean_overtake_cm, round(dur, 9) AS mean_event_duration_s, round(CASE WHEN length_km >= 0.2 THEN coalesce(n, 0) / length_km END, 4) AS overtake_rate_per_km FROM b LEFT JOIN g USING (traj_id)""",
         "event_totals": ev + " SELECT count(*) AS n_events, count(*) FILTER (is_close) AS n_close FROM ev",
         "link_events": li + " SELECT event_uid, u, v FROM li",
         "event_edge_class": li + " SELECT event_uid, u, v, edge_class FROM lc",
         "events_per_class": li + " SELECT edge_class, count(*) AS n FROM lc WHERE edge_class IS NOT NULL GROUP BY edge_class",
-        "linked_share": li + " SELECT count(*) AS n_events, count(u) AS n_linked, round(avg((u IS NOT NULL)::INT), 6) AS linked_share FROM li",
+        "linked_share": li + " SELECT count(*) AS n_events, count(u) AS n_linked, round(avg((u IS NOT NULL)::INT), 9) AS linked_share FROM li",
         "edge_classes": cl + f" SELECT u, v, key, (cs = 'yes' OR br = 'yes') AS is_cycling_street, list_contains(m, 3) AS has_track_tag, list_contains(m, 5) AS has_lane_tag, (list_contains(m, 2) OR list_contains(m, 4)) AS separate_geometry, edge_class FROM cl",
         "edges_written": ed + " SELECT u, v, key, array_to_string(highway, ';') AS highway, array_to_string(cycleway, ';') AS cycleway, array_to_string(bicycle_road, ';') AS bicycle_road FROM ed",
         "crosstab_margins": cl + " SELECT CASE WHEN grouping(hw) = 1 THEN 'All' ELSE hw END AS highway, CASE WHEN grouping(edge_class) = 1 THEN 'All' ELSE edge_class END AS edge_class, count(*) AS n FROM cl GROUP BY CUBE (hw, edge_class)",
         "crosstab_wide": cl + " SELECT CASE WHEN grouping(hw) = 1 THEN 'All' ELSE hw END AS highway, count(*) FILTER (edge_class = 'roadside_track') AS roadside_track, count(*) FILTER (edge_class = 'painted_lane') AS painted_lane, count(*) FILTER (edge_class = 'other') AS other, count(*) AS all_classes FROM cl GROUP BY ROLLUP (hw)",
-        "multi_match": cl + " SELECT count(*) AS n_edges, count(*) FILTER (len(m) > 1) AS n_multi, round(avg((len(m) > 1)::INT), 6) AS multi_share FROM cl",
+        "multi_match": cl + " SELECT count(*) AS n_edges, count(*) FILTER (len(m) > 1) AS n_multi, round(avg((len(m) > 1)::INT), 9) AS multi_share FROM cl",
         "condition_overlap": cl + f", r(i, l) AS (VALUES {labels}), c AS (SELECT a, b, count(*) AS n FROM (SELECT unnest(m) AS a, m FROM cl), LATERAL (SELECT unnest(m) AS b) GROUP BY a, b) "
         "SELECT r1.i AS rule_a, r2.i AS rule_b, r1.l AS label_a, r2.l AS label_b, coalesce(n, 0) AS n FROM r r1, r r2 LEFT JOIN c ON c.a = r1.i AND c.b = r2.i",
         "other_top": cl + " SELECT hw AS highway, count(*) AS n FROM cl WHERE edge_class = 'other' GROUP BY hw ORDER BY n DESC, hw LIMIT 10",
@@ -260,13 +260,13 @@ SELECT traj_id, boxId, boxName, start_us, end_us, n_points, round(length_km, 4)
         "main_bearing": ed + bearing_cte() + " SELECT u, v, key, round(bearing, 4) AS bearing FROM mb",
         "nearest_road": roads + " SELECT u, v, key, round(dist_to_road, 4) AS dist_to_road FROM nr",
         "sidepath_flags": roads + " SELECT u, v, key, is_sidepath FROM sp",
-        "sidepath_share": roads + " SELECT count(*) FILTER (is_sidepath) AS n_sidepaths, round(avg(is_sidepath::INT), 6) AS share FROM sp",
+        "sidepath_share": roads + " SELECT count(*) FILTER (is_sidepath) AS n_sidepaths, round(avg(is_sidepath::INT), 9) AS share FROM sp",
         "reclassified": roads + classes_cte("sp") + " SELECT edge_class, count(*) AS n FROM cl GROUP BY edge_class",
         "straight_map": "WITH " + CHORDS + " SELECT u, v, round(x0, 3) AS x0, round(y0, 3) AS y0, round(x1, 3) AS x1, round(y1, 3) AS y1 FROM ch",
         "match_candidates": tr + "," + CHORDS + candidates_cte("TRUE") + " SELECT point_id, count(*) AS n_candidates FROM cn GROUP BY point_id",
         "nearest_edge_match": tr + "," + CHORDS + candidates_cte("u <= v") + " SELECT point_id, round(min(dist), 3) AS distance_m FROM cn GROUP BY point_id",
-        "placed_share": "SELECT traj_id, count(*) AS n_points, round(avg((u IS NOT NULL)::INT), 6) AS placed_share, bool_or(u IS NOT NULL) AS any_placed FROM matched_points GROUP BY traj_id",
-        "placed_overall": "SELECT count(*) AS n_trajectories, count(*) FILTER (a) AS n_matched, round(sum(k) / sum(n), 6) AS placed_share FROM (SELECT bool_or(u IS NOT NULL) AS a, count(u) AS k, count(*) AS n FROM matched_points GROUP BY traj_id)",
+        "placed_share": "SELECT traj_id, count(*) AS n_points, round(avg((u IS NOT NULL)::INT), 9) AS placed_share, bool_or(u IS NOT NULL) AS any_placed FROM matched_points GROUP BY traj_id",
+        "placed_overall": "SELECT count(*) AS n_trajectories, count(*) FILTER (a) AS n_matched, round(sum(k) / sum(n), 9) AS placed_share FROM (SELECT bool_or(u IS NOT NULL) AS a, count(u) AS k, count(*) AS n FROM matched_points GROUP BY traj_id)",
         "visited_edges": "SELECT traj_id, least(u, v) AS u, greatest(u, v) AS v, epoch_us(min(createdAt)) AS first_at_us FROM matched_points WHERE u IS NOT NULL AND v IS NOT NULL GROUP BY ALL",
         "plot_match": """WITH m AS (SELECT traj_id, least(u, v) AS u, greatest(u, v) AS v, min(createdAt) AS f FROM matched_points WHERE u IS NOT NULL AND v IS NOT NULL GROUP BY ALL),
 g AS (SELECT least(u, v) AS u, greatest(u, v) AS v, len(arg_min(geometry, (u, v, key))) AS n FROM muenster_edges_classified WHERE geometry IS NOT NULL GROUP BY 1, 2)
@@ -286,6 +286,6 @@ SELECT boxId AS box_id, slot * 10 AS cell_s FROM s ANTI JOIN n USING (boxId, rid
 s AS (SELECT boxId, ride, t0, unnest(generate_series(t0 // 10000000, t1 // 10000000)) AS slot FROM k),
 n AS (SELECT boxId, ride, t // 10000000 AS slot, count(*) AS c, avg(v) AS mean, arg_max(v, t) AS last FROM rd WHERE v IS NOT NULL GROUP BY ALL),
 j AS (SELECT *, last_value(last IGNORE NULLS) OVER (PARTITION BY boxId, ride ORDER BY slot ROWS UNBOUNDED PRECEDING) AS filled FROM s LEFT JOIN n USING (boxId, ride, slot))
-SELECT boxId AS box_id, t0 AS ride_t0_us, slot * 10 AS cell_s, coalesce(c, 0) AS n_numbers, round(mean, 6) AS mean_value, last AS last_value, filled AS filled_value,
+SELECT boxId AS box_id, t0 AS ride_t0_us, slot * 10 AS cell_s, coalesce(c, 0) AS n_numbers, round(mean, 9) AS mean_value, last AS last_value, filled AS filled_value,
   CASE WHEN c IS NOT NULL THEN 'observed' WHEN filled IS NOT NULL THEN 'filled' ELSE 'empty' END AS status FROM j""",
     }

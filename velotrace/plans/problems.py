@@ -40,7 +40,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_series(spark: SparkSession, d: str) -> DataFrame:
     s = regular_series(table(spark, d, READINGS))
-    return s.withColumn("mean_value", F.round("mean_value", 6))
+    return s.withColumn("mean_value", F.round("mean_value", 9))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
