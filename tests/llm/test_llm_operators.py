@@ -235,6 +235,16 @@ def test_shares_are_reached(spark):
     assert sorted((r.doc_id, r.copies) for r in again) == sorted((r.doc_id, r.copies) for r in picked)
 
 
+def test_many_sources_are_joined_without_broadcast(spark, monkeypatch):
+    _, df = corpus(spark, 800)
+    targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.5, 2)], TARGETS)
+    picks = lambda: sorted((r.doc_id, r.copies) for r in mixed(df, targets)[0].collect())
+    want = picks()
+    monkeypatch.setattr("velotrace.llm.mixing.BROADCAST_SOURCES", 0)
+    monkeypatch.setattr("velotrace.llm.mixing.hot_keys", lambda keys, n: [("big", 3)])
+    assert picks() == want
+
+
 def test_inclusion_follows_size(spark):
     rows = [(i, "s", 10 if i % 2 else 40) for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")

@@ -20,12 +20,12 @@ def unit(seed: int, ident: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), ident), 11).cast("double") + 0.5) / float(1 << 53)
 
 
-def with_plan(rows: DataFrame, plan: DataFrame, sources: int, by: str) -> DataFrame:
-    """Inner join of rows with one row per source."""
+def with_plan(rows: DataFrame, plan: DataFrame, sources: int, how: str = "inner") -> DataFrame:
+    """Join of documents with one row per source."""
     if sources <= BROADCAST_SOURCES:
-        return rows.join(F.broadcast(plan), "source")
-    left, right = spread(rows, plan, hot_keys(rows.select(F.col("source").alias("key")), 500_000), "source", F.col(by))
-    return left.join(right, ["source", "salt"]).drop("salt")
+        return rows.join(F.broadcast(plan), "source", how)
+    left, right = spread(rows, plan, hot_keys(rows.select(F.col("source").alias("key")), 500_000), "source", F.col("doc_id"))
+    return left.join(right, ["source", "salt"], how).drop("salt")
 
 
 def allotment(sizes: DataFrame, targets: DataFrame, total: int | None) -> DataFrame:
@@ -52,7 +52,7 @@ def inclusion_scale(counted: DataFrame, plan: DataFrame, size_power: float) -> D
 
     From the counts of each length: with lengths falling, those that would be over 1 are certain, the scale is that of the others.
     """
-    lengths = counted.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(plan.select("source", "rest")), "source")
+    lengths = counted.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("c")).join(plan.select("source", "rest"), "source")
     n = F.col("n_tokens").cast("double")
     w = F.pow(n, F.lit(float(size_power)))
     longer = Window.partitionBy("source").orderBy(F.col("n_tokens").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -77,8 +77,6 @@ def mixed(counted: DataFrame, targets: DataFrame, total: int | None = None, seed
     sizes = usable.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
     plan = allotment(sizes, targets, total)
     sources = targets.select("source").distinct().count()
-    if sources > BROADCAST_SOURCES:
-        raise ValueError(f"more than {BROADCAST_SOURCES} sources with a target")
     scale = inclusion_scale(usable, plan, size_power)
     plan = cut(plan.join(sizes.select("source", "docs"), "source").join(scale, "source", "left"))
     bins = max(1024, (plan.agg(F.coalesce(F.max("docs"), F.lit(0))).first()[0]) // ORDERED * 2)
@@ -86,13 +84,13 @@ def mixed(counted: DataFrame, targets: DataFrame, total: int | None = None, seed
     u = unit(seed, F.col("doc_id"))
     # odds(u) / odds(p), mapped to [0, 1): q / (1 + q)
     odd = u * (1 - p) / (u * (1 - p) + (1 - u) * p)
-    ranked = with_plan(usable.select("doc_id", "source", "n_tokens"), plan.select("source", "whole", "rest", "scale"), sources, "doc_id")
+    ranked = with_plan(usable.select("doc_id", "source", "n_tokens"), plan.select("source", "whole", "rest", "scale"), sources)
     ranked = ranked.withColumn("place", F.when(F.col("rest") > 0, F.when(p >= 1, F.lit(0.0)).otherwise(odd))).withColumn("bin", F.when(F.col("place").isNotNull(), F.least(F.floor(F.col("place") * bins), F.lit(bins - 1))))
     per = ranked.where(F.col("bin").isNotNull()).groupBy("source", "bin").agg(F.sum("n_tokens").alias("sum"), F.first("rest").alias("rest"))
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     filled = per.withColumn("begin", F.coalesce(F.sum("sum").over(upto), F.lit(0))).where((F.col("begin") < F.col("rest")) & (F.col("begin") + F.col("sum") >= F.col("rest")))
     edge = filled.select("source", F.col("bin").alias("edge_bin"), "begin")
-    placed = ranked.join(F.broadcast(edge), "source", "left")  # a row per source, checked above
+    placed = with_plan(ranked, edge, sources, "left")
     inside = placed.where(F.col("bin") == F.col("edge_bin"))
     order = Window.partitionBy("source").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("begin") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0))
