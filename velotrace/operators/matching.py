@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from velotrace.operators.spatial_join import segments_near_points
+from velotrace.session import ship
 
 
 @dataclass(frozen=True)
@@ -158,6 +159,7 @@ def match_paths(points: DataFrame, chords: DataFrame, how: Matching = Matching()
         F.array_sort(F.collect_list(F.struct(F.col("distance_m").alias("d"), "u", "v", F.greatest(F.lit(0.0), F.least(along, span)).alias("s"), span.alias("l")))).alias("near")
     )
     ready = p.join(lists, "point_id", "left")
+    ship(spark)
     return ready.groupBy("boxId", "traj_id").applyInPandas(path_decoder(how, network), "traj_id string, point_id string, u long, v long")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velotrace.operators.skew import hot_keys, spread
+from velotrace.session import arrow_map
 
 NEVER = (1 << 63) - 1
 
@@ -79,7 +80,7 @@ def orphans(references: DataFrame, parents: DataFrame, keys_per_range: int = 200
     )
     filled = both.fillna({"since": 0, "gone": 0, "at": 0})
     ordered = filled.repartition("part", "salt").sortWithinPartitions("part", "salt", "side", "key")
-    return ordered.mapInArrow(probe(), f"ref {kind.simpleString()}")
+    return arrow_map(ordered, probe(), f"ref {kind.simpleString()}")
 
 
 def once(events: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from velotrace.operators.shards import changes, numpy_of, rides, whole_groups
+from velotrace.session import arrow_map
 
 PIECES = (
     "entity string, shard long, n long, t0 long, t1 long, items long, head_t long, head_v double, tail_t long, tail_v double, "
@@ -120,7 +121,7 @@ def machine(alike: Alike, copies: bool) -> Callable[[Iterator[pa.RecordBatch]],
 def pieces(rows: DataFrame, alike: Alike, copies: bool) -> DataFrame:
     """One row per shard (PIECES) of rows (entity, shard, t, t_end, id, item, v)."""
     cols = rows.select("entity", "shard", "t", "t_end", "id", "item", "v")
-    return cols.repartition("entity", "shard").sortWithinPartitions("entity", "shard", "t", "id", "t_end", "item", "v").mapInArrow(machine(alike, copies), PIECES)
+    return arrow_map(cols.repartition("entity", "shard").sortWithinPartitions("entity", "shard", "t", "id", "t_end", "item", "v"), machine(alike, copies), PIECES)
 
 
 def joined(shards: DataFrame, alike: Alike, ride_gap_us: int | None, min_rows: int) -> DataFrame:

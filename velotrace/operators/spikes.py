@@ -13,7 +13,7 @@ from velotrace.functions.clean import no_nan
 from velotrace.functions.windows import medians_and_deviations
 from velotrace.operators.runlength import Alike, joined, pieces
 from velotrace.operators.shards import SECOND, changes, dedup, numpy_of, sharded, usable, whole_groups
-from velotrace.session import cut
+from velotrace.session import arrow_map, cut
 
 SCALE = 1.4826  # of a normal distribution: usual deviation over median absolute deviation
 
@@ -80,7 +80,7 @@ def far_off(values: DataFrame, reach: int = 100, least: int = 8, floor: float =
     blocks = F.array(home, F.when((into < reach) & (home > 0), home - 1), F.when((into >= block - reach) & ((home + 1) * block < F.col("total")), home + 1))
     dealt = ranked.withColumn("block", F.explode(F.filter(blocks, lambda b: b.isNotNull()))).withColumn("own", F.col("block") == home)
     ordered = dealt.repartition("box", "block").sortWithinPartitions("box", "block", "rank")
-    return ordered.mapInArrow(judge(reach, least, floor, limit), "row_seq long")
+    return arrow_map(ordered, judge(reach, least, floor, limit), "row_seq long")
 
 
 def strange_readings(readings: DataFrame, lowest: float = 0.0, highest: float = 400.0, tolerance: float = 0.5, least_stuck: int = 20, gap_s: int = 600) -> DataFrame:

@@ -15,6 +15,7 @@ from velotrace.functions.clean import floor_div
 from velotrace.functions.geo import with_utm32
 from velotrace.functions.windows import medians
 from velotrace.operators.shards import SECOND, changes, numpy_of, rides, usable, whole_groups
+from velotrace.session import arrow_map
 
 
 @dataclass(frozen=True)
@@ -295,9 +296,9 @@ def trips_and_stops(readings: DataFrame, how: Dwelling | None = None) -> DataFra
         "shard", F.explode(F.array_compact(F.array(home, F.when(into < halo, home - 1), F.when(into >= width - halo, home + 1))))
     ).withColumn("own", F.col("home") == F.col("shard")).drop("home")
     ordered = dealt.repartition("box", "shard").sortWithinPartitions("box", "shard", "t", "row_seq", "x", "y")
-    pieces = ordered.select("box", "shard", "t", "x", "y", "own").mapInArrow(describe(how), PIECES)
+    pieces = arrow_map(ordered.select("box", "shard", "t", "x", "y", "own"), describe(how), PIECES)
     whole = rides(pieces, how.gap_s * SECOND, how.min_readings)
-    return whole.select("box", "ride", "t0", "t1", "n", "start_x", "start_y", "support", "parts").repartition("box", "ride").sortWithinPartitions("box", "ride", "t0").mapInArrow(assemble(how), FOUND)
+    return arrow_map(whole.select("box", "ride", "t0", "t1", "n", "start_x", "start_y", "support", "parts").repartition("box", "ride").sortWithinPartitions("box", "ride", "t0"), assemble(how), FOUND)
 
 
 def found_slots(segments: DataFrame, how: Dwelling | None = None, slot_s: int = 600) -> DataFrame:

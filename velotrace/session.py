@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = Path(__file__).resolve().parent
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
@@ -36,3 +41,22 @@ def cut(df: DataFrame) -> DataFrame:
         where = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="velotrace-"))
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per session, as they may run where it isn't installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_velotrace_shipped", False):
+        return
+    path = Path(tempfile.mkdtemp(prefix="velotrace-code-")) / "velotrace.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(PACKAGE.rglob("*.py")):
+            z.write(f, f.relative_to(PACKAGE.parent))
+    sc.addPyFile(str(path))
+    sc._velotrace_shipped = True  # noqa: SLF001
+
+
+def arrow_map(df: DataFrame, kernel: Callable, schema: str) -> DataFrame:
+    """mapInArrow, with this package where the kernel runs."""
+    ship(df.sparkSession)
+    return df.mapInArrow(kernel, schema)
