@@ -14,6 +14,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from velotrace.session import arrow_map
+
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -175,7 +177,7 @@ def encode(documents: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULAR
     words cost n log n. A null doc_id is kept, repeated rows come out as often. No rows give none.
     """
     content = vocabulary(documents.sparkSession, folder, name)
-    return dealt(documents, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encoder(content), "doc_id long, ids array<int>")
+    return arrow_map(dealt(documents, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), encoder(content), "doc_id long, ids array<int>")
 
 
 def counter(content: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -194,7 +196,7 @@ def count_tokens(documents: DataFrame, *keep: str, folder: str = TOKENIZERS, nam
     content = vocabulary(documents.sparkSession, folder, name)
     df = dealt(documents, *keep, F.col("text").cast("string").alias("text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "text")
-    return df.mapInArrow(counter(content), f"{fields}, n_tokens long")
+    return arrow_map(df, counter(content), f"{fields}, n_tokens long")
 
 
 def decoder(content: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -209,6 +211,6 @@ def decoder(content: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 def decode(encoded: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
     """doc_id, text from doc_id, ids; an empty list gives an empty text, a null one null."""
     content = vocabulary(encoded.sparkSession, folder, name)
-    return encoded.select("doc_id", "ids").mapInArrow(decoder(content), "doc_id long, text string")
+    return arrow_map(encoded.select("doc_id", "ids"), decoder(content), "doc_id long, text string")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velotrace.operators.skew import hot_keys, spread
+from velotrace.session import arrow_map
 
 DELTA = 400  # at most about this many centroids; a cluster in the middle holds 1 / 250 of the values
 BUFFER = 1 << 16  # values of a group that wait before they are clustered
@@ -129,7 +130,7 @@ def build(rows: DataFrame, value: str, groups: list[str], delta: int = DELTA) ->
     """
     v = F.col(value).cast("double")
     kept = rows.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    return kept.select(key_of(groups).alias("digest_key"), v.alias("v")).mapInArrow(values_to_digests(delta), DIGEST)
+    return arrow_map(kept.select(key_of(groups).alias("digest_key"), v.alias("v")), values_to_digests(delta), DIGEST)
 
 
 def merge(digests: DataFrame, onto: Column | None = None, delta: int = DELTA) -> DataFrame:
@@ -139,8 +140,8 @@ def merge(digests: DataFrame, onto: Column | None = None, delta: int = DELTA) ->
     """
     key = onto if onto is not None else F.col("digest_key")
     d = digests.withColumn("digest_key", key).withColumn("deal", F.pmod(F.xxhash64("means", "n"), F.lit(FAN_IN)))
-    some = d.repartition("digest_key", "deal").sortWithinPartitions("digest_key").drop("deal").mapInArrow(digests_to_digests(delta), DIGEST)
-    return some.repartition("digest_key").sortWithinPartitions("digest_key").mapInArrow(digests_to_digests(delta), DIGEST)
+    some = arrow_map(d.repartition("digest_key", "deal").sortWithinPartitions("digest_key").drop("deal"), digests_to_digests(delta), DIGEST)
+    return arrow_map(some.repartition("digest_key").sortWithinPartitions("digest_key"), digests_to_digests(delta), DIGEST)
 
 
 def reader(shares: list[float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -157,7 +158,7 @@ def reader(shares: list[float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 def estimates(merged: DataFrame, shares: list[float]) -> DataFrame:
     """digest_key, n, estimates: an array of values, one per share."""
-    return merged.mapInArrow(reader(shares), "digest_key string, n long, estimates array<double>")
+    return arrow_map(merged, reader(shares), "digest_key string, n long, estimates array<double>")
 
 
 def certified(rows: DataFrame, value: str, groups: list[str], found: DataFrame, shares: list[float]) -> DataFrame:

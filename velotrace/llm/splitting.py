@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velotrace.llm.bpe import TOKENIZERS, VOCABULARY, dealt, loaded, slices, vocabulary
+from velotrace.session import arrow_map
 
 #: Boundaries by strength: end of a paragraph, a line, a sentence, a word; between letters and signs; inside a long word.
 STRENGTHS = "PLSWTC"
@@ -110,7 +111,7 @@ def cutting_pattern(most: int) -> str:
 
 def marked(documents: DataFrame, limit: int, folder: str, name: str) -> DataFrame:
     content = vocabulary(documents.sparkSession, folder, name)
-    return dealt(documents, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(marker(content, limit), MARKED)
+    return arrow_map(dealt(documents, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), marker(content, limit), MARKED)
 
 
 def split(documents: DataFrame, limit: int = 1000, overlap: int = 50, slack: int = 4, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
