@@ -115,6 +115,14 @@ def test_events_merge_at_three_seconds(spark):
     assert got[2]["closest_point_id"] == "b_1_p3" and got[2]["last_point_id"] == "b_1_p6" and got[0]["duration_s"] == 3
 
 
+def test_events_go_over_cells(spark):
+    data = [reading(i, 2 * i, "5" if i % 50 else "0") for i in range(1000)]
+    got = sorted((r.event_id, r.n_samples) for r in ev.overtake_events(trace(spark, data)).collect())
+    assert got == [(i + 1, 49) for i in range(20)]
+    long = [reading(i, 3 * i, "5") for i in range(1000)]
+    assert [(r.event_id, r.n_samples) for r in ev.overtake_events(trace(spark, long)).collect()] == [(1, 1000)]
+
+
 def test_summary_without_events(spark):
     t = trace(spark, [reading(i, i, lat=LAT + 50 * i * M_LAT) for i in range(6)])
     s = dicts(ev.summarise(t, ev.overtake_events(t)))[0]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velotrace.functions.clean import no_nan
+from velotrace.operators.points import in_cell
 from velotrace.operators.shards import SECOND
 
 CLOSE_PASS_CM = 150.0
@@ -19,13 +20,19 @@ def seconds(start: Column, end: Column) -> Column:
 def overtake_events(traced: DataFrame, threshold: float = 0.0, merge_gap_s: float = MERGE_GAP_S, close_cm: float = CLOSE_PASS_CM) -> DataFrame:
     """Detections of a trajectory at most merge_gap_s apart, as one event each; points without detection between them don't part them.
 
-    The closest point is the earliest of those with the least value. No detections give no rows, typed.
+    The closest point is the earliest of those with the least value. Detections are ordered per cell; the last
+    detection and the number of events go over to the next cell (threshold must be that of segment()). No detections give no rows, typed.
     """
-    hits = traced.where(F.col("value") > threshold).select("boxId", "traj_id", "createdAt", "row_seq", "value", "point_id", "x", "y")
-    order = Window.partitionBy("boxId", "traj_id").orderBy("createdAt", "row_seq")
-    gap = F.unix_micros("createdAt") - F.unix_micros(F.lag("createdAt").over(order))
-    new = F.when(gap <= int(merge_gap_s * SECOND), 0).otherwise(1)
-    numbered = hits.withColumn("_new", new).withColumn("event_id", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    here = in_cell()
+    t = F.unix_micros("createdAt")
+    gap = t - F.coalesce(F.unix_micros(F.lag("createdAt").over(here)), F.col("c_hit"))
+    hits = traced.where(F.col("value") > threshold).withColumn("_new", F.when(gap <= int(merge_gap_s * SECOND), 0).otherwise(1))
+    # events begun before a cell, from one row per cell with detections
+    cells = hits.groupBy("boxId", "traj_id", "cell").agg(F.sum("_new").alias("begun"))
+    upto = Window.partitionBy("boxId", "traj_id").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("boxId", "cell", F.coalesce(F.sum("begun").over(upto), F.lit(0)).alias("_base"))
+    numbered = hits.select("boxId", "cell", "traj_id", "createdAt", "row_seq", "value", "point_id", "x", "y", F.sum("_new").over(here.rowsBetween(Window.unboundedPreceding, 0)).alias("_in_cell"))
+    numbered = numbered.join(cells, ["boxId", "cell"]).withColumn("event_id", F.col("_base") + F.col("_in_cell"))
     at = F.struct("createdAt", "row_seq")
     events = numbered.groupBy("boxId", "traj_id", "event_id").agg(
         F.min("createdAt").alias("start"),

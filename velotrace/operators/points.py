@@ -53,7 +53,8 @@ def segment(points: DataFrame, gap_minutes: float = GAP_MINUTES, min_points: int
 
     A gap strictly above gap_minutes begins a new trajectory; those under min_points are dropped after
     numbering. Carried: cell, c_rows and c_zeros (points, and points without detection, of the trajectory before the
-    cell), c_last and c_next (last point before, first point after the cell). No rows give none.
+    cell), c_last and c_next (last point before, first point after the cell), c_hit (microseconds of the last detection
+    before the cell). No rows give none.
     """
     gap = int(gap_minutes * 60 * SECOND)
     t = F.unix_micros("createdAt")
@@ -64,6 +65,7 @@ def segment(points: DataFrame, gap_minutes: float = GAP_MINUTES, min_points: int
         F.min(t).alias("t0"),
         F.max(t).alias("t1"),
         F.count_if(~F.coalesce(F.col("value") > threshold, F.lit(False))).alias("zeros"),
+        F.max(F.when(F.col("value") > threshold, t)).alias("hit"),
         F.min_by(place, at).alias("first"),
         F.max_by(place, at).alias("last"),
     )
@@ -73,7 +75,7 @@ def segment(points: DataFrame, gap_minutes: float = GAP_MINUTES, min_points: int
     carried = whole.select(
         "boxId", "cell", F.concat_ws("_", "boxId", F.col("ride").cast("string")).alias("traj_id"),
         F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("c_rows"), F.coalesce(F.sum("zeros").over(upto), F.lit(0)).alias("c_zeros"),
-        F.lag("last").over(order).alias("c_last"), F.lead("first").over(order).alias("c_next"),
+        F.last("hit", ignorenulls=True).over(upto).alias("c_hit"), F.lag("last").over(order).alias("c_last"), F.lead("first").over(order).alias("c_next"),
     )
     return celled.join(carried, ["boxId", "cell"])
 
