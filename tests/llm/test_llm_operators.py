@@ -102,13 +102,14 @@ def check_pieces(texts, out, bpe, limit, overlap):
         if t is None:
             assert ps[0].piece_text is None
             continue
-        assert ps[0].start_char == 0 and ps[-1].end_char == len(t) and ps[0].n_tokens == bpe.count(t)
+        raw = t.encode()
+        assert ps[0].start_byte == 0 and ps[-1].end_byte == len(raw) and ps[0].n_tokens == bpe.count(t)
         assert (len(ps) > 1) == (bpe.count(t) > limit)
         for a, b in zip(ps, ps[1:], strict=False):
-            assert a.start_char < b.start_char <= a.end_char < b.end_char
-            assert bpe.count(t[b.start_char : a.end_char]) <= overlap + 2
+            assert a.start_byte < b.start_byte <= a.end_byte < b.end_byte
+            assert bpe.count(raw[b.start_byte : a.end_byte].decode()) <= overlap + 2
         for p in ps:
-            assert p.piece_text == t[p.start_char : p.end_char] and bpe.count(p.piece_text) <= limit
+            assert p.piece_text == raw[p.start_byte : p.end_byte].decode() and bpe.count(p.piece_text) <= limit
 
 
 def test_pieces(spark, bpe):

@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -148,7 +149,7 @@ def dealt(documents: DataFrame, *cols: Column | str) -> DataFrame:
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with limited text each (a single longer text is a part of its own)."""
-    size = np.cumsum([len(x) if x is not None else 0 for x in (v.as_py() for v in batch.column(column))]) if batch.num_rows else np.zeros(0)
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     begin = 0
     while begin < batch.num_rows:
         done = size[begin - 1] if begin else 0

@@ -47,16 +47,18 @@ def strength(text: str, end: int) -> str:
     return "W" if last.isspace() else "T"
 
 
-def units(text: str, parts: list[str], counts: list[int]) -> tuple[str, np.ndarray, np.ndarray]:
-    """Marks of a text (a letter per counted token, of which a unit's last is its boundary's strength), and of every unit the counted tokens and characters up to its end.
+def units(text: str, parts: list[str], counts: list[int]) -> tuple[str, np.ndarray]:
+    """Marks of a text, a letter per counted token, of which a unit's last is its boundary's strength; and the bytes up to there (0 at other tokens).
 
     parts and counts: the text by the tokenizer's pattern, and the tokens of each part. Strengths that
     follow from the characters on both sides of an end alone are remembered.
     """
-    marks, weights, ends, at = [], [], [], 0
+    marks, weights, sizes, at = [], [], [], 0
     remembered: dict[str, str] = {}
+    plain = text.isascii()
+    width = len if plain else (lambda s: len(s.encode("utf-8", "replace")))
     for s, n, following in zip(parts, counts, [*parts[1:], ""], strict=True):
-        begin, at = at, at + len(s)
+        at += len(s)
         sides = s[-1] + following[:1]
         letter = remembered.get(sides)
         if letter is None:
@@ -66,17 +68,19 @@ def units(text: str, parts: list[str], counts: list[int]) -> tuple[str, np.ndarr
         if n <= LONG_UNIT:
             marks.append(INNER * (n - 1) + letter)
             weights.append(n)
-            ends.append(at)
+            sizes.append(width(s))
             continue
-        for i, c in enumerate(s, begin + 1):
-            w = len(c.encode("utf-8", "replace"))
-            marks.append(INNER * (w - 1) + (letter if i == at else "C"))
-            weights.append(w)
-            ends.append(i)
-    return "".join(marks), np.cumsum(weights, dtype=np.int64), np.array(ends, np.int64)
+        each = [width(c) for c in s]
+        marks += [INNER * (w - 1) + "C" for w in each[:-1]] + [INNER * (each[-1] - 1) + letter]
+        weights += each
+        sizes += each
+    upto = np.cumsum(weights, dtype=np.int64)
+    places = np.zeros(upto[-1] if len(upto) else 0, np.int32)
+    places[upto - 1] = np.cumsum(sizes)
+    return "".join(marks), places
 
 
-MARKED = "doc_id long, text string, n_tokens long, marks string, upto array<long>, ends array<long>"
+MARKED = "doc_id long, text string, n_tokens long, marks string, places array<int>"
 
 
 def marker(content: Broadcast, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -93,8 +97,8 @@ def marker(content: Broadcast, limit: int) -> Callable[[Iterator[pa.RecordBatch]
                     parts = bpe.find(text or "")
                     counts = [len(bpe.piece(s)) for s in parts]
                     n = sum(counts)
-                    rows.append((n, *((None, None, None) if n <= limit else units(text, parts, counts))))
-                arrays = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())))]
+                    rows.append((n, *((None, None) if n <= limit else units(text, parts, counts))))
+                arrays = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.list_(pa.int32())))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *arrays], names)
 
     return run
@@ -115,7 +119,7 @@ def marked(documents: DataFrame, limit: int, folder: str, name: str) -> DataFram
 
 
 def split(documents: DataFrame, limit: int = 1000, overlap: int = 50, slack: int = 4, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens (of the text), n_pieces, piece (from 0), start_char, end_char, boundary, piece_text.
+    """doc_id, n_tokens (of the text), n_pieces, piece (from 0), start_byte, end_byte (of the text in UTF-8), boundary, piece_text.
 
     A text of at most limit tokens is one piece. Others are written as marks, one letter per token, and cut by one
     regular expression with bounded quantifiers: at the strongest boundary in the second half of the room,
@@ -129,29 +133,32 @@ def split(documents: DataFrame, limit: int = 1000, overlap: int = 50, slack: int
         raise ValueError("overlap leaves no room")
     rows = marked(documents, limit, folder, name)
     short = rows.where(F.col("marks").isNull()).select(
-        "doc_id", "n_tokens", F.lit(1).alias("n_pieces"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start_char"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("end_char"), F.lit("P").alias("boundary"), F.col("text").alias("piece_text")
+        "doc_id", "n_tokens", F.lit(1).alias("n_pieces"), F.lit(0).alias("piece"), F.lit(0).alias("start_byte"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("end_byte"), F.lit("P").alias("boundary"), F.col("text").alias("piece_text")
     )
-    lengths = F.transform(F.regexp_extract_all("marks", F.lit(cutting_pattern(limit - overlap - slack)), F.lit(0)), lambda s: F.length(s).cast("long"))
+    stretches = F.regexp_extract_all("marks", F.lit(cutting_pattern(limit - overlap - slack)), F.lit(0))
+    sizes = F.transform(stretches, lambda s: F.struct(F.length(s).alias("n"), F.right(s, F.lit(1)).alias("boundary")))
+    nothing = F.array().cast("array<struct<cut:int,boundary:string>>")
     running = F.aggregate(
-        lengths, F.array().cast("array<long>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("long")) + n))
+        sizes, nothing, lambda acc, s: F.concat(acc, F.array(F.struct((F.coalesce(F.try_element_at(acc, F.lit(-1))["cut"], F.lit(0)) + s["n"]).alias("cut"), s["boundary"].alias("boundary"))))
     )
-    cuts = rows.where(F.col("marks").isNotNull()).withColumn("cuts", running)
+    cuts = rows.where(F.col("marks").isNotNull()).select("doc_id", "n_tokens", "places", F.col("text").cast("binary").alias("raw"), running.alias("cuts"))
+    at = lambda token: F.element_at("places", token)
 
     def back(cut: Column) -> Column:
-        """The first unit's end at most overlap tokens before a cut."""
-        low = F.greatest(cut - overlap, F.lit(0)).cast("int")
-        window = F.substring(F.col("marks"), low, F.lit(overlap + 1))
-        inner = F.length(F.regexp_extract(window, f"^{INNER}*", 0))
-        return F.when(low == 0, F.lit(0)).otherwise(low + inner).cast("long")
-
-    place = lambda w: F.when(w == 0, F.lit(0).cast("long")).otherwise(F.element_at("ends", F.array_position("upto", w).cast("int")))
-    each = cuts.select("doc_id", "text", "n_tokens", "marks", "upto", "ends", F.size("cuts").alias("n_pieces"), "cuts", F.posexplode("cuts").alias("piece", "cut"))
-    start = F.when(F.col("piece") == 0, F.lit(0).cast("long")).otherwise(back(F.element_at("cuts", F.greatest(F.col("piece"), F.lit(1)))))
-    placed = each.withColumn("start_char", place(start)).withColumn("end_char", place(F.col("cut")))
-    long = placed.select(
-        "doc_id", "n_tokens", "n_pieces", "piece", "start_char", "end_char", F.substring("marks", F.col("cut").cast("int"), F.lit(1)).alias("boundary"),
-        F.substring("text", (F.col("start_char") + 1).cast("int"), (F.col("end_char") - F.col("start_char")).cast("int")).alias("piece_text"),
-    )
+        """Place of the first unit's end at most overlap tokens before a cut, the text's begin if that is nearer."""
+        near = F.transform(F.sequence(F.greatest(cut - overlap, F.lit(1)), cut), at)
+        return F.when(cut > overlap, F.element_at(F.filter(near, lambda p: p > 0), 1)).otherwise(F.lit(0))
+
+    def ends(c: Column, i: Column) -> Column:
+        begin = F.when(i > 0, back(F.element_at("cuts", F.greatest(i, F.lit(1)))["cut"])).otherwise(F.lit(0))
+        return F.struct(i.alias("piece"), begin.alias("start_byte"), at(c["cut"]).alias("end_byte"), c["boundary"].alias("boundary"))
+
+    # places are bytes, whose part of a text is found without reading it from the start; pieces are made
+    # inside the row, so that a long text is not repeated for each of them
+    placed = cuts.select("doc_id", "n_tokens", "raw", F.transform("cuts", ends).alias("ends"))
+    text = lambda e: F.substring(F.col("raw"), e["start_byte"] + 1, e["end_byte"] - e["start_byte"]).cast("string")
+    pieces = F.transform("ends", lambda e: F.struct(e["piece"].alias("piece"), e["start_byte"].alias("start_byte"), e["end_byte"].alias("end_byte"), e["boundary"].alias("boundary"), text(e).alias("piece_text")))
+    long = placed.select("doc_id", "n_tokens", F.size("ends").alias("n_pieces"), F.explode(pieces).alias("p")).select("doc_id", "n_tokens", "n_pieces", "p.*")
     return short.unionByName(long)
 
 
