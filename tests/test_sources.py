@@ -34,6 +34,18 @@ def test_graphml(spark, tmp_path):
     assert b.highway == ["residential"] and [(p.x, p.y) for p in b.geometry] == [(30.0, 40.0), (20.0, 30.5), (10.5, 20.5)]
 
 
+def test_network_stage_from_graphml(spark, tmp_path):
+    from velotrace.operators import network as nw
+
+    tagged = GRAPH.replace('<key id="d3"', '<key id="d5" for="edge" attr.name="is_sidepath" attr.type="string" /><key id="d3"').replace('<data key="d3">', '<data key="d5">yes</data><data key="d3">')
+    (tmp_path / "g.graphml").write_text(tagged)
+    _, edges = files.read_network(spark, str(tmp_path / "g.graphml"))
+    got = nw.classify_edges(nw.flag_sidepaths(edges, near_m=-1.0, max_m=1.0, max_angle=-1.0, sidepath_tag="is_sidepath"))
+    assert {(r.u, r.is_sidepath, r.edge_class) for r in got.collect()} == {(11, True, "roadside_track"), (12, False, "residential_street")}
+    files.write_csv(got, str(tmp_path / "out"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).where("highway = 'path;footway'").count() == 1
+
+
 def test_graphml_in_degrees_is_projected(spark, tmp_path):
     (tmp_path / "g.graphml").write_text(GRAPH.replace("20.5", "51.9607").replace("10.5", "7.6261"))
     nodes, _ = files.read_network(spark, str(tmp_path / "g.graphml"), metric=False)

@@ -11,8 +11,11 @@ from velotrace.operators.spatial_join import nearest_line
 
 # Tag values that the rules read.
 CAR_FREE = ["cycleway", "path", "footway", "pedestrian", "track", "bridleway"]
-MOTOR = [f"{c}{s}" for c in ("primary", "secondary", "tertiary", "trunk") for s in ("", "_link")] + ["unclassified", "residential"]
-MAIN = [f"{c}{s}" for c in ("primary", "secondary", "tertiary", "trunk") for s in ("", "_link")]
+MOTOR = [
+    "primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link", "trunk", "trunk_link",
+    "unclassified", "residential",
+]
+MAIN = ["primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link", "trunk", "trunk_link"]
 TRACK_TAGS = ["track", "opposite_track"]
 LANE_TAGS = ["lane", "shared_lane", "share_busway", "opposite_lane"]
 CYCLEWAY_COLUMNS = ["cycleway", "cycleway:left", "cycleway:right", "cycleway:both"]
@@ -83,12 +86,12 @@ def flag_sidepaths(edges: DataFrame, near_m: float = NEAR_M, max_m: float = MAX_
     tag (column sidepath_tag, if there is one) saying yes makes any edge one.
     """
     e = unique_edges(edges)
+    e = e.withColumn("_tagged", tag(e, sidepath_tag) == "yes")
     roads = nearest_roads(e, max_m)
     by_place = (F.col("_dist") <= near_m) | (F.col("_angle") <= max_angle)
-    tagged = tag(e, sidepath_tag) == "yes"
     near = roads.select("u", "v", "key", F.col("dist_to_road").alias("_dist"), F.col("angle").alias("_angle"))
     both = e.drop("is_sidepath", "dist_to_road").join(near, ["u", "v", "key"], "left")
-    return both.withColumn("is_sidepath", F.coalesce(by_place, F.lit(False)) | tagged).withColumnRenamed("_dist", "dist_to_road").drop("_angle")
+    return both.withColumn("is_sidepath", F.coalesce(by_place, F.lit(False)) | F.col("_tagged")).withColumnRenamed("_dist", "dist_to_road").drop("_angle", "_tagged")
 
 
 def rules(edges: DataFrame) -> list[Column]:

@@ -26,10 +26,18 @@ QUALITY = T.StructType(
         *(T.StructField(c, T.BooleanType()) for c in ("f_speed", "f_nz_share", "f_long_run", "f_rate", "f_too_short")),
     ]
 )
-# Attributes kept of street edges.
-EDGE_TAGS = sorted(
-    {"highway", "cycleway", "cycleway:left", "cycleway:right", "cycleway:both", "bicycle", "cyclestreet", "bicycle_road", "is_sidepath", "footway", "segregated", "surface", "maxspeed", "length", "oneway", "name"}
-)
+# Attributes of street edges that are kept, the usual ones and those that tell about cycling.
+USUAL_TAGS = [
+    "access", "area", "bridge", "est_width", "highway", "junction", "landuse", "lanes", "maxspeed", "name", "oneway", "ref", "service", "tunnel", "width",
+]
+EXTRA_TAGS = [
+    "cycleway", "cycleway:left", "cycleway:right", "cycleway:both",
+    "bicycle", "cyclestreet", "bicycle_road",
+    "oneway:bicycle", "traffic_calming",
+    "maxspeed", "surface", "lanes",
+    "is_sidepath", "segregated", "footway",
+]
+EDGE_TAGS = sorted({*USUAL_TAGS, *EXTRA_TAGS})
 
 
 def complete(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -130,13 +138,12 @@ def read_network(spark: SparkSession, path: str, metric: bool = True) -> tuple[D
     x, y = (F.col("x"), F.col("y")) if metric else utm32(F.col("y"), F.col("x"))
     nodes = raw.select("node_id", x.alias("x"), y.alias("y"))
     e = _graphml(spark, path, "edge", "`_source` string, `_target` string, `_id` string")
-    tags = [t for t in EDGE_TAGS if t not in ("length",)]
     shape = line_of(_datum(ek.get("geometry")))
     if not metric:
         shape = F.transform(shape, lambda p: F.struct(*[c.alias(n) for c, n in zip(utm32(p["y"], p["x"]), ("x", "y"), strict=True)]))
     edges = e.select(
         F.col("_source").cast("long").alias("u"), F.col("_target").cast("long").alias("v"), F.coalesce(F.col("_id").try_cast("int"), F.lit(0)).alias("key"),
-        _datum(ek.get("length")).cast("double").alias("length"), *[values_of(_datum(ek.get(t))).alias(t) for t in tags], shape.alias("geometry"),
+        _datum(ek.get("length")).cast("double").alias("length"), *[values_of(_datum(ek.get(t))).alias(t) for t in EDGE_TAGS], shape.alias("geometry"),
     )
     at = lambda end, name: nodes.select(F.col("node_id").alias(end), F.struct("x", "y").alias(name))
     both = edges.join(at("u", "_a"), "u", "left").join(at("v", "_b"), "v", "left")
