@@ -18,6 +18,8 @@ from velotrace.operators.spikes import far_off, hampel, strange_readings, strang
 from velotrace.operators.stops import Dwelling, found_slots, trips_and_stops
 
 BAD = [reading(900, 1, "5", lat=None), reading(901, 1, "5", lon=None), reading(902, None, "5"), reading(903, 1, "5", box=None), (904, None, None, None, None, None, None)]
+#: Readings that count but have no name.
+NAMELESS = [reading(None, 7777 + i, "77", box="nameless") for i in range(30)]
 
 
 def clash(df):
@@ -72,7 +74,7 @@ def test_orphans_with_hot_key_and_many_ranges(spark):
 
 
 def test_detections_near_edges(spark):
-    data = [reading(1, 0, "120"), reading(2, 1, "0"), reading(3, 2, "x"), reading(4, 3, "80", lat=LAT + 500 * M_LAT), reading(6, 0, "50"), reading(5, 4, " 90 "), *BAD]
+    data = [reading(1, 0, "120"), reading(2, 1, "0"), reading(3, 2, "x"), reading(4, 3, "80", lat=LAT + 500 * M_LAT), reading(6, 0, "50"), reading(5, 4, " 90 "), *BAD, *NAMELESS]
     r = clash(spark.createDataFrame(data, RAW))
     x, y = 405177.0, 5757490.0
     from velotrace.operators.points import load_points
@@ -100,6 +102,7 @@ def test_series_fills_and_marks(spark):
     assert got[-1]["last_value"] == 3.0 and got[-2]["filled_value"] == 8.0
     assert missing_periods(regular_series(spark.createDataFrame(data, RAW))).count() == 63
     assert regular_series(spark.createDataFrame([], RAW)).count() == 0
+    assert regular_series(spark.createDataFrame(NAMELESS, RAW)).agg(F.sum("n_numbers")).first()[0] == 30
     assert regular_series(spark.createDataFrame(data[:4], RAW)).count() == 0
     with pytest.raises(ValueError, match="multiple"):
         regular_series(spark.createDataFrame([], RAW), period_s=7)
@@ -179,6 +182,7 @@ def test_strange_readings(spark):
     data += [reading(1000 + i, 1000 + i, "55.5") for i in range(19)] + [reading(1100, 1019.5, "err"), reading(1101, 1020, "55.9"), reading(1102, 1021, "0"), reading(1103, 1030, "-3"), reading(1104, 1031, "401"), reading(1105, 1032, "400"), reading(1106, 1033, "inf")]
     data += [reading(2000 + i, 1300 + i, "70") for i in range(19)] + [reading(3000, 1000, "999"), *BAD]
     got = {}
+    data += NAMELESS
     for r in strange_readings(clash(spark.createDataFrame(data, RAW))).collect():
         got.setdefault(r.reason, set()).add(r.row_seq)
     assert got["bounds"] == {1103, 1104, 1106}
@@ -264,4 +268,5 @@ def test_degenerate_pings(spark):
     got = dicts(trips_and_stops(spark.createDataFrame(nan, RAW)))
     assert [(r["kind"], r["reach_m"], r["n_pings"]) for r in got] == [("ride", None, 6)]
     assert trips_and_stops(spark.createDataFrame([], RAW)).count() == 0
+    assert [(r.kind, r.n_pings) for r in trips_and_stops(spark.createDataFrame(NAMELESS, RAW)).collect()] == [("ride", 30), ("move", 30)]
     assert T0.year == 2024

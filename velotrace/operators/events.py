@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from velotrace.functions.clean import no_nan
 from velotrace.operators.points import in_cell
 from velotrace.operators.shards import SECOND
 
@@ -121,7 +120,3 @@ def events_per_class(events: DataFrame) -> DataFrame:
 
 def linked_share(events: DataFrame) -> DataFrame:
     return events.agg(F.count(F.lit(1)).alias("n_events"), F.count("u").alias("n_linked"), F.avg(F.col("u").isNotNull().cast("int")).alias("linked_share"))
-
-
-def clean_clearance(events: DataFrame) -> DataFrame:
-    return events.withColumn("min_clearance_cm", no_nan(F.col("min_clearance_cm")))

@@ -113,13 +113,13 @@ def lines_near_points(points: DataFrame, lines: DataFrame, keys: list[str], reac
 def detections(readings: DataFrame) -> DataFrame:
     """(point = row_seq, x, y) of the readings that count whose number is above 0."""
     rows = dedup(sharded(usable(readings, F.col("lat"), F.col("lon")), 600 * SECOND), ("num", "lat", "lon"))
-    return with_utm32(rows.where(F.col("num") > 0)).select(F.col("row_seq").alias("point"), "x", "y")
+    return with_utm32(rows.where((F.col("num") > 0) & F.col("row_seq").isNotNull())).select(F.col("row_seq").alias("point"), "x", "y")
 
 
 def edges_near_detections(readings: DataFrame, edges: DataFrame, reach_m: float = 15.0) -> DataFrame:
     """row_seq, u, v, edge_key: street edges within reach_m of each detection.
 
-    Readings without position, time or box don't count; edges without geometry or with a null in
+    Readings without position, time or box don't count, those without row_seq can't be named; edges without geometry or with a null in
     (u, v, key) are left out; repeated edges count once. Empty tables give no rows.
     """
     ways = edges.where(F.col("u").isNotNull() & F.col("v").isNotNull() & F.col("key").isNotNull()).select("u", "v", F.col("key").alias("edge_key"), "geometry")

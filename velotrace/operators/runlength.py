@@ -19,6 +19,9 @@ PIECES = (
 )
 
 
+NO_ID = -(1 << 63)
+
+
 @dataclass(frozen=True)
 class Alike:
     """When an item goes on with the run of the item before.
@@ -119,8 +122,8 @@ def machine(alike: Alike, copies: bool) -> Callable[[Iterator[pa.RecordBatch]],
 
 
 def pieces(rows: DataFrame, alike: Alike, copies: bool) -> DataFrame:
-    """One row per shard (PIECES) of rows (entity, shard, t, t_end, id, item, v)."""
-    cols = rows.select("entity", "shard", "t", "t_end", "id", "item", "v")
+    """One row per shard (PIECES) of rows (entity, shard, t, t_end, id, item, v); a null id is NO_ID and comes first of equal times."""
+    cols = rows.select("entity", "shard", "t", "t_end", F.coalesce("id", F.lit(NO_ID)).alias("id"), "item", "v")
     return arrow_map(cols.repartition("entity", "shard").sortWithinPartitions("entity", "shard", "t", "id", "t_end", "item", "v"), machine(alike, copies), PIECES)
 
 

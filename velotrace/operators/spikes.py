@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from velotrace.functions.clean import no_nan
 from velotrace.functions.windows import medians_and_deviations
-from velotrace.operators.runlength import Alike, joined, pieces
+from velotrace.operators.runlength import NO_ID, Alike, joined, pieces
 from velotrace.operators.shards import SECOND, changes, dedup, numpy_of, sharded, usable, whole_groups
 from velotrace.session import arrow_map, cut
 
@@ -88,14 +88,15 @@ def strange_readings(readings: DataFrame, lowest: float = 0.0, highest: float =
 
     bounds: below lowest or above highest. stuck: in a run of least_stuck or more successive non-zero numbers
     of a ride, each within tolerance of the next. far_off: see far_off(); bounds and stuck values are no part of
-    what is usual, zeros neither. Text that is no number, nulls and copies don't count; no rows give none.
+    what is usual, zeros neither. Text that is no number, nulls and copies don't count; a reading
+    without row_seq can't be named and is left out. No rows give none.
     """
     gap = gap_s * SECOND
     rows = sharded(usable(readings), gap)
     alike = Alike(tolerance=tolerance, gap_us=None, least=least_stuck, lowest=0.0, absolute=True, ids=True)
     items = rows.select(F.col("box").alias("entity"), "shard", "t", F.col("t").alias("t_end"), F.col("row_seq").alias("id"), F.col("num").isNotNull().alias("item"), F.col("num").alias("v"))
-    stuck = cut(joined(pieces(items, alike, copies=True), alike, gap, 1).select(F.explode("ids").alias("row_seq")))
-    numbers = dedup(rows, ("num",)).where(F.col("num") != 0)
+    stuck = cut(joined(pieces(items, alike, copies=True), alike, gap, 1).select(F.explode("ids").alias("row_seq")).where(F.col("row_seq") != NO_ID))
+    numbers = dedup(rows, ("num",)).where((F.col("num") != 0) & F.col("row_seq").isNotNull())
     numbers = cut(numbers.join(stuck.withColumn("stuck", F.lit(True)), "row_seq", "left"))
     bad = (F.col("num") < lowest) | (F.col("num") > highest)
     usual = numbers.where(~bad & F.col("stuck").isNull()).select("box", "shard", "t", "row_seq", "num")
