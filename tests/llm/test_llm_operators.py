@@ -160,10 +160,10 @@ def test_one_run_over_many_shards(spark):
 
 def test_overtake_runs(spark):
     e = lambda i, s, end, n, traj="t": (f"{traj}_ev{i}", traj, i, at(s), at(end), n)
-    data = [e(1, 0, 2, 3), e(1, 0, 2, 3), e(2, 22, 23, 3), e(3, 43.000001, 44, 3), e(4, 50, None, 3), e(5, 60, 61, None), e(6, 62, 63, None), e(7, 64, 65, 2), e(8, 64, 66, 2), e(1, 0, 1, 3, None), e(9, None, 1, 2)]
+    data = [e(1, 0, 2, 3), e(1, 0, 2, 3), e(2, 22, 23, 3), e(3, 43.000001, 44, 3), e(4, 50, None, 3), e(5, 60, 61, None), e(6, 62, 63, None), e(7, 64, 65, 2), e(8, 64, 66, 2), e(1, 0, 1, 3, None), e(9, None, 1, 2), ("x", "u", None, at(100), at(101), 5), ("y", "u", None, at(105), at(106), 5)]
     df = spark.createDataFrame(data, "event_uid string, traj_id string, event_id long, `start` timestamp, `end` timestamp, n_samples long")
     got = sorted((r.start_us - us(0), r.end_us - us(0), r.n) for r in overtake_runs(df).collect())
-    assert got == [(0, 23_000_000, 2), (43_000_001, 50_000_000, 2), (64_000_000, 66_000_000, 2)]
+    assert got == [(0, 23_000_000, 2), (43_000_001, 50_000_000, 2), (64_000_000, 66_000_000, 2), (100_000_000, 106_000_000, 2)]
     assert overtake_runs(df.limit(0)).count() == 0
     with pytest.raises(ValueError, match="shard"):
         collapse(df, SAME, shard_s=60, ride_gap_s=600)
