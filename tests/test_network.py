@@ -90,6 +90,13 @@ def test_near_joins_equal_brute_force(spark, pts, segs):
     assert {(r.point, r.segment) for r in lines_near_points(p, g, ["segment"], 15.0).collect()} == want
 
 
+def test_very_long_and_endless_lines(spark):
+    points = spark.createDataFrame([(1, 3e5, 3e5 + 10.0), (2, 0.0, 0.0), (3, float("inf"), 1.0)], "point long, x double, y double")
+    line = lambda *c: [{"x": float(x), "y": float(y)} for x, y in c]
+    lines = spark.createDataFrame([("far", line((1e5, 1e5), (9e5, 9e5))), ("inf", line((0, 0), (float("inf"), 0))), ("nan", line((0, 0), (1, float("nan"))))], "name string, geometry array<struct<x:double,y:double>>")
+    assert [(r.point, r["name"]) for r in lines_near_points(points, lines, ["name"], 15.0).collect()] == [(1, "far")]
+
+
 def test_regions_with_holes_of_shape_and_boundaries(spark):
     ring = lambda *c: [{"x": float(x), "y": float(y)} for x, y in c]
     u_shape = ring((0, 0), (90, 0), (90, 60), (60, 60), (60, 30), (30, 30), (30, 60), (0, 60))

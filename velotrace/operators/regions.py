@@ -35,9 +35,10 @@ def binned_edges(regions: DataFrame, cell_m: float) -> DataFrame:
     rings = regions.repartition(parts, "region").select(
         "region", "ring", F.array_min(F.transform("ring", lambda p: p["x"])).alias("x_min")
     )
+    places = F.forall("ring", lambda p: F.coalesce((F.abs(p["x"]) < FARTHEST) & (F.abs(p["y"]) < FARTHEST), F.lit(False)))
     # outer, with the empty ones dropped after: a filter on rings would be pushed below what makes them, and repeat it
     sides = F.arrays_zip(F.col("ring").alias("a"), F.concat(F.slice("ring", 2, F.greatest(F.size("ring"), F.lit(0))), F.slice("ring", 1, 1)).alias("b"))
-    edges = rings.select("region", "x_min", F.explode_outer(F.when(F.size("ring") >= 3, sides)).alias("e")).select("region", "x_min", F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"))
+    edges = rings.select("region", "x_min", F.explode_outer(F.when((F.size("ring") >= 3) & places, sides)).alias("e")).select("region", "x_min", F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"))
     to = lambda c: F.floor(c / cell_m)
     strips = edges.where(F.col("ay") != F.col("by")).withColumn("strip", F.explode(F.sequence(to(F.least("ay", "by")), to(F.greatest("ay", "by")))))
     cells = strips.withColumn("stretch", F.explode(F.sequence(to(F.col("x_min")), to(F.greatest("ax", "bx")))))
@@ -53,7 +54,7 @@ def points_in_regions(points: DataFrame, regions: DataFrame, cell_m: float = 40.
     slanting edge itself counts as inside; points on horizontal edges are in by the half-open rule at
     a lower edge and out at an upper one, so callers who need both grow the ring a little.
 
-    Null or NaN coordinates, rings under 3 corners or null: no rows. Hot cells are split.
+    Null or NaN coordinates, rings under 3 corners, null or with such corners: no rows. Hot cells are split.
     """
     edges = binned_edges(regions, cell_m)
     to = lambda c: F.floor(F.col(c) / cell_m)
@@ -91,6 +92,29 @@ def segments(lines: DataFrame, keys: list[str]) -> DataFrame:
     return s.select(*keys, F.col("s.a.x").alias("x0"), F.col("s.a.y").alias("y0"), F.col("s.b.x").alias("x1"), F.col("s.b.y").alias("y1"))
 
 
+#: Coordinates beyond this are no places.
+FARTHEST = 1e9
+
+
+def real(*cols: str) -> Column:
+    """All of the columns are coordinates: not null, NaN or beyond FARTHEST."""
+    ok = F.lit(True)
+    for c in cols:
+        ok = ok & F.coalesce(F.abs(F.col(c)) < FARTHEST, F.lit(False))
+    return ok
+
+
+def cut_long(parts: DataFrame, most_m: float = 250.0) -> DataFrame:
+    """Segments (x0, y0, x1, y1 and others) of more than most_m in equal shorter ones, so that the cells of their boxes grow with their length only."""
+    n = F.greatest(F.ceil(distance(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")) / most_m), F.lit(1))
+    many = parts.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    on = lambda a, b, i: F.col(a) + (F.col(b) - F.col(a)) * i / F.col("_n")
+    i, last = F.col("_i"), F.col("_i") + 1 == F.col("_n")
+    new = {f"_{c}0": F.when(i == 0, F.col(f"{c}0")).otherwise(on(f"{c}0", f"{c}1", i)) for c in "xy"} | {f"_{c}1": F.when(last, F.col(f"{c}1")).otherwise(on(f"{c}0", f"{c}1", i + 1)) for c in "xy"}
+    ends = ("x0", "y0", "x1", "y1")
+    return many.withColumns(new).drop("_n", "_i", *ends).withColumnsRenamed({f"_{c}": c for c in ends})
+
+
 def lines_near_points(points: DataFrame, lines: DataFrame, keys: list[str], reach_m: float, cell_m: float = 40.0) -> DataFrame:
     """(point, keys...) for each point and line at most reach_m apart, each pair once.
 
@@ -99,7 +123,7 @@ def lines_near_points(points: DataFrame, lines: DataFrame, keys: list[str], reac
     direction, is one region. lines: (keys..., geometry array<struct<x,y>>); equal rows of lines give one pair.
     """
     ends = ["x0", "y0", "x1", "y1"]
-    parts = segments(lines, keys).where(~F.isnan(F.col("x0") + F.col("y0") + F.col("x1") + F.col("y1")))
+    parts = cut_long(segments(lines, keys).where(real(*ends)))
     turned = F.struct("x1", "y1") < F.struct("x0", "y0")
     parts = parts.select(*keys, *[F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in zip(ends, ["x1", "y1", "x0", "y0"], strict=True)]).distinct()
     region = F.struct(*ends)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velotrace.functions.geo import point_segment_distance
-from velotrace.operators.regions import cell_key
+from velotrace.operators.regions import cell_key, cut_long, real
 from velotrace.operators.skew import hot_keys, spread
 
 
@@ -23,24 +23,16 @@ def in_cells(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, cell
     )
 
 
-def known(*cols: str) -> Column:
-    """All of the columns are neither null nor NaN."""
-    ok = F.lit(True)
-    for c in cols:
-        ok = ok & F.col(c).isNotNull() & ~F.isnan(c)
-    return ok
-
-
 def segments_near_points(points: DataFrame, segments: DataFrame, reach_m: float, rows_per_split: int = 200_000) -> DataFrame:
     """Columns of points (point, x, y, ...) and segments (segment, x0, y0, x1, y1) with distance_m <= reach_m.
 
-    Rows with null or NaN coordinates have no neighbours. The grid is as wide as the reach, and a segment
+    Rows with null, NaN or endless coordinates have no neighbours. The grid is as wide as the reach, and a segment
     lies in all cells that its widened box meets, so that a point looks into its own cell only.
     """
     to = lambda c: F.floor(F.col(c) / reach_m)
     # points without a place need no filter: no distance to them is within reach
     p = points.withColumn("cell", cell_key(to("x"), to("y")))
-    s = in_cells(segments.where(known("x0", "y0", "x1", "y1")), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), reach_m, reach_m)
+    s = in_cells(segments.where(real("x0", "y0", "x1", "y1")), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), reach_m, reach_m)
     p, s = spread(p, s, hot_keys(p.select(F.col("cell").alias("key")), rows_per_split), "cell", F.col("point"))
     d = point_segment_distance(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
     return p.join(s.hint("merge"), ["cell", "salt"]).withColumn("distance_m", d).where(F.col("distance_m") <= reach_m).drop("cell", "salt")
@@ -68,8 +60,8 @@ def nearest_line(left: DataFrame, right: DataFrame, reach_m: float) -> DataFrame
     """
     ends = ("x0", "y0", "x1", "y1")
     cols = [F.col(c) for c in ends]
-    a = in_cells(left.where(known(*ends)), *cols, reach_m, 0.0)
-    b = in_cells(right.where(known(*ends)), *cols, reach_m, reach_m)
+    a = in_cells(cut_long(left.where(real(*ends))), *cols, reach_m, 0.0)
+    b = in_cells(cut_long(right.where(real(*ends))), *cols, reach_m, reach_m)
     a, b = spread(a, b, hot_keys(a.select(F.col("cell").alias("key")), 200_000), "cell", F.xxhash64("line", *ends))
     pairs = a.alias("a").join(b.alias("b").hint("merge"), (F.col("a.cell") == F.col("b.cell")) & (F.col("a.salt") == F.col("b.salt")))
     near = pairs.select("a.line", "b.near", segment_distance("a", "b").alias("distance_m")).where(F.col("distance_m") <= reach_m)
