@@ -124,3 +124,16 @@ def test_matching_follows_the_road(spark):
     assert {got[f"t_p{i}"] for i in range(1, 9)} == {(1, 2)} and {got[f"t_p{i}"] for i in range(12, 20)} == {(2, 3)}
     near = {r.point_id: (r.u, r.v) for r in mm.nearest_edge(points.select("point_id", "x", "y"), chords).collect()}
     assert near["t_p2"] == (1, 2) and "far_p0" not in near
+
+
+def test_matching_finds_ways_of_any_length(spark):
+    corners = [(i, 100.0 * i, 0.0) for i in range(31)] + [(40, 3040.0, 0.0), (41, 3140.0, 0.0), (42, 3000.0, 600.0), (43, 3040.0, 600.0), (50, 9000.0, 0.0), (51, 9100.0, 0.0)]
+    nodes = spark.createDataFrame(corners, "node_id long, x double, y double")
+    edges = spark.createDataFrame([*((i, i + 1) for i in range(30)), (30, 42), (42, 43), (43, 40), (40, 41), (50, 51)], "u long, v long")
+    places = [*range(5, 100, 5), *range(2005, 2100, 5), *range(2905, 3000, 5), *range(3092, 3140, 5)]  # an outage of 1.9 km, and of 0.8 km; then a way round of 1.2 km
+    walk = [("b", "t", f"t_p{i}", i, float(x), 0.0) for i, x in enumerate(places)] + [("b", "t", f"t_p{len(places)}", len(places), 9050.0, 0.0)]
+    points = spark.createDataFrame(walk, "boxId string, traj_id string, point_id string, ordinal long, x double, y double")
+    got = {r.point_id: (r.u, r.v) for r in mm.match_paths(points, mm.straight_map(edges, nodes)).collect()}
+    at = [got[f"t_p{i}"] for i in range(len(walk))]
+    assert set(at[1:18]) == {(0, 1)} and set(at[20:37]) == {(20, 21)} and set(at[39:56]) == {(29, 30)} and set(at[58:-1]) == {(40, 41)}
+    assert at[-1] == (None, None)  # no way leads there

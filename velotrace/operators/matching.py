@@ -24,7 +24,6 @@ class Matching:
     noise: float = 15.0
     min_prob_norm: float = 0.001
     most: int = 8  # candidates per point, the nearest
-    route_limit: float = 400.0  # network distances are looked for up to here
     most_nodes: int = 2_000_000  # a larger map is not sent to the workers
 
 
@@ -49,38 +48,58 @@ def nearest_edge(points: DataFrame, chords: DataFrame, max_dist: float = Matchin
     return best.select("point_id", "b.u", "b.v", "b.distance_m")
 
 
+#: Nodes whose distances a worker remembers, over all starts.
+MOST_HELD = 1_000_000
+
+
 class Roads:
-    """Adjacency with lengths, and node distances up to a limit, remembered per start."""
+    """Adjacency with lengths, and node distances, remembered per start as far as they were looked for."""
 
-    def __init__(self, u: np.ndarray, v: np.ndarray, length: np.ndarray, limit: float):
+    def __init__(self, u: np.ndarray, v: np.ndarray, length: np.ndarray):
         self.next: dict[int, list[tuple[int, float]]] = {}
+        self.parent: dict[int, int] = {}
         for a, b, d in zip(u.tolist(), v.tolist(), length.tolist(), strict=True):
             self.next.setdefault(a, []).append((b, d))
-        self.limit, self.known = limit, {}
-
-    def from_node(self, start: int) -> dict[int, float]:
-        if start not in self.known:
-            if len(self.known) > 20_000:
-                self.known.clear()
-            done, queue = {}, [(0.0, start)]
-            while queue:
-                d, a = heapq.heappop(queue)
-                if a in done:
-                    continue
-                done[a] = d
-                for b, w in self.next.get(a, ()):
-                    if b not in done and d + w <= self.limit:
-                        heapq.heappush(queue, (d + w, b))
-            self.known[start] = done
-        return self.known[start]
+            self.parent[self.part(a)] = self.part(b)
+        self.known: dict[int, tuple[dict[int, float], list[tuple[float, int]]]] = {}
+        self.held = 0
+
+    def part(self, node: int) -> int:
+        """The same number for all nodes that hang together, whatever the direction."""
+        parent = self.parent
+        while (up := parent.setdefault(node, node)) != node:
+            parent[node] = node = parent.setdefault(up, up)
+        return node
+
+    def distances(self, start: int, goals: set[int]) -> dict[int, float]:
+        """Node distances from start, of all goals that can be reached at least; the search has no limit and goes on where the last one ended."""
+        if self.held > MOST_HELD:
+            self.known.clear()
+            self.held = 0
+        done, queue = self.known.setdefault(start, ({}, [(0.0, start)]))
+        part = self.part(start)
+        missing = {g for g in goals if g not in done and self.part(g) == part}
+        before = len(done)
+        while missing and queue:
+            d, a = heapq.heappop(queue)
+            if a in done:
+                continue
+            done[a] = d
+            missing.discard(a)
+            for b, w in self.next.get(a, ()):
+                if b not in done:
+                    heapq.heappush(queue, (d + w, b))
+        self.held += len(done) - before
+        return done
 
 
 def decode(steps: list[list[tuple]], places: np.ndarray, roads: Roads, how: Matching) -> list[tuple[int, int] | None]:
     """Most likely edge per point. steps: per point the candidates (u, v, distance, along, length).
 
     Emission falls with the squared distance to the edge, transition with the difference of the straight and the network
-    distance. A path whose mean likelihood per point sinks under min_prob_norm ends there: the rest is null, as
-    it is from a point on that cannot be reached, and a trajectory whose first point has no candidate is null as a whole.
+    distance, which is looked for in the whole network: a step may pass any number of edges between two points, which
+    stands for states without a point of their own. A path whose mean likelihood per point sinks under min_prob_norm ends there: the rest is null, as
+    it is from a point on that no way leads to, and a trajectory whose first point has no candidate is null as a whole.
     """
     out: list[tuple[int, int] | None] = [None] * len(steps)
     if not steps or not steps[0]:
@@ -98,8 +117,9 @@ def decode(steps: list[list[tuple]], places: np.ndarray, roads: Roads, how: Matc
             break
         straight = float(np.hypot(*(places[i] - places[i - 1])))
         route = np.full((len(before), len(now)), np.inf)
+        goals = {c[0] for c in now}
         for a, (u0, v0, _, s0, l0) in enumerate(before):
-            reach = roads.from_node(v0)
+            reach = roads.distances(v0, goals)
             for b, (u1, v1, _, s1, _) in enumerate(now):
                 if (u0, v0) == (u1, v1) and s1 >= s0 - how.noise:
                     route[a, b] = abs(s1 - s0)
@@ -125,7 +145,7 @@ def path_decoder(how: Matching, network: object) -> Callable[[pd.DataFrame], pd.
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if "roads" not in held:
-            held["roads"] = Roads(*network.value, how.route_limit)
+            held["roads"] = Roads(*network.value)
         pdf = pdf.sort_values("ordinal", kind="stable")
         steps = [[] if c is None else [(int(e["u"]), int(e["v"]), e["d"], e["s"], e["l"]) for e in c] for c in pdf["near"]]
         edges = decode(steps, pdf[["x", "y"]].to_numpy(), held["roads"], how)
