@@ -137,3 +137,14 @@ def test_matching_finds_ways_of_any_length(spark):
     at = [got[f"t_p{i}"] for i in range(len(walk))]
     assert set(at[1:18]) == {(0, 1)} and set(at[20:37]) == {(20, 21)} and set(at[39:56]) == {(29, 30)} and set(at[58:-1]) == {(40, 41)}
     assert at[-1] == (None, None)  # no way leads there
+
+
+def test_matching_keeps_all_candidates(spark):
+    ends = [(100 + k, 0.0, 2.0 * k) for k in range(-6, 7)] + [(200 + k, 300.0, 2.0 * k) for k in range(-6, 7)] + [(300, 600.0, 20.0)]
+    nodes = spark.createDataFrame([(n, x, y) for n, x, y in ends if n != 206] + [(206, 300.0, 20.0)], "node_id long, x double, y double")
+    edges = spark.createDataFrame([*((100 + k, 200 + k) for k in range(-6, 7)), (206, 300)], "u long, v long")  # 13 streets side by side, of which the outermost only goes on
+    places = [*range(5, 300, 10), *range(305, 600, 10)]
+    walk = [("b", "t", f"t_p{i}", i, float(x), 0.0) for i, x in enumerate(places)]
+    points = spark.createDataFrame(walk, "boxId string, traj_id string, point_id string, ordinal long, x double, y double")
+    got = {r.point_id: (r.u, r.v) for r in mm.match_paths(points, mm.straight_map(edges, nodes)).collect()}
+    assert {got[f"t_p{i}"] for i in range(30)} == {(106, 206)} and {got[f"t_p{i}"] for i in range(31, 60)} == {(206, 300)}

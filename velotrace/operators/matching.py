@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velotrace.operators.spatial_join import segments_near_points
@@ -23,7 +23,6 @@ class Matching:
     max_dist_init: float = 60.0
     noise: float = 15.0
     min_prob_norm: float = 0.001
-    most: int = 8  # candidates per point, the nearest
     most_nodes: int = 2_000_000  # a larger map is not sent to the workers
 
 
@@ -157,7 +156,7 @@ def path_decoder(how: Matching, network: object) -> Callable[[pd.DataFrame], pd.
 def match_paths(points: DataFrame, chords: DataFrame, how: Matching = Matching()) -> DataFrame:  # noqa: B008
     """traj_id, point_id, u, v: the most likely edge of every point of a trajectory, null where there is none.
 
-    points: boxId, traj_id, point_id, ordinal, x, y. Candidates come from a grid join, the nearest `most` are kept; the
+    points: boxId, traj_id, point_id, ordinal, x, y. All chords within the distance are candidates, from a grid join; the
     map goes to the workers if it has at most most_nodes chords (else an error says so); each trajectory is decoded on its own.
     """
     spark = points.sparkSession
@@ -173,9 +172,7 @@ def match_paths(points: DataFrame, chords: DataFrame, how: Matching = Matching()
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     along = F.coalesce(F.try_divide((F.col("x") - F.col("x0")) * dx + (F.col("y") - F.col("y0")) * dy, F.sqrt(dx * dx + dy * dy)), F.lit(0.0))
     span = F.sqrt(dx * dx + dy * dy)
-    rank = F.row_number().over(Window.partitionBy("point_id").orderBy("distance_m", "u", "v"))
-    kept = near.withColumn("_r", rank).where(F.col("_r") <= how.most)
-    lists = kept.groupBy("point_id").agg(
+    lists = near.groupBy("point_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("distance_m").alias("d"), "u", "v", F.greatest(F.lit(0.0), F.least(along, span)).alias("s"), span.alias("l")))).alias("near")
     )
     ready = p.join(lists, "point_id", "left")
