@@ -9,13 +9,14 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.helpers import LAT, LON, M_LAT, M_LON, RAW, T0, at, dicts, reading, us
+from velotrace.functions.geo import with_utm32
 from velotrace.operators.orphans import event_orphans, orphan_report, orphans
 from velotrace.operators.regions import edges_near_detections
 from velotrace.operators.regular import missing_periods, regular_series
 from velotrace.operators.runlength import Alike, joined, pieces
 from velotrace.operators.shards import sharded
 from velotrace.operators.spikes import far_off, hampel, strange_readings, strange_rides
-from velotrace.operators.stops import Dwelling, found_slots, trips_and_stops
+from velotrace.operators.stops import Dwelling, corners, found_slots, trips_and_stops
 
 BAD = [reading(900, 1, "5", lat=None), reading(901, 1, "5", lon=None), reading(902, None, "5"), reading(903, 1, "5", box=None), (904, None, None, None, None, None, None)]
 #: Readings that count but have no name.
@@ -261,6 +262,23 @@ def test_leaving_and_coming_back_is_two_stops(spark):
     close_to(summary(trips_and_stops(spark.createDataFrame(data, RAW))), [("ride", 0, 439), ("stop", 0, 200), ("move", 206, 233), ("stop", 240, 439)])
 
 
+def test_reach_is_exact_in_every_direction(spark):
+    toward = lambda deg, t: (LAT + 4 * t * np.sin(np.radians(deg)) * M_LAT, LON + 4 * t * np.cos(np.radians(deg)) * M_LON)
+    df = spark.createDataFrame([reading(100 * d + t, t, "0", *map(float, toward(d + 0.5, t)), f"b{d}") for d in range(12) for t in range(51)], RAW)
+    far = {}
+    for r in with_utm32(df.select("row_seq", "lat", "lon")).orderBy("row_seq").collect():
+        far.setdefault(f"b{r.row_seq // 100}", []).append((r.x, r.y))
+    got = {r.box: r.reach_m for r in trips_and_stops(df, Dwelling(shard_s=30)).where("kind = 'ride'").collect()}
+    for box, xy in far.items():
+        assert abs(got[box] - np.hypot(*(np.array(xy) - np.median(xy[:5], axis=0)).T).max()) < 1e-6
+    rng = np.random.default_rng(4)
+    x, y, g = np.round(rng.normal(0, 9, 900)), np.round(rng.normal(0, 9, 900)), np.sort(rng.integers(0, 9, 900))
+    k = corners(x, y, g)
+    for cx, cy in rng.normal(0, 30, (9, 2)):
+        d = np.hypot(x - cx, y - cy)
+        assert all(d[g == n].max() == d[k][g[k] == n].max() for n in range(9))
+
+
 def test_degenerate_pings(spark):
     same = [reading(i, 0) for i in range(10)]
     assert trips_and_stops(spark.createDataFrame(same, RAW)).count() == 0  # one reading that counts

@@ -38,10 +38,8 @@ class Dwelling:
     halo_s: int = 90
 
 
-DIRECTIONS = 64  # the reach of a ride is read off its support in so many directions: too small by 0.13 % at most
-
 PIECES = (
-    "box string, shard long, n long, t0 long, t1 long, start_x double, start_y double, support array<double>, "
+    "box string, shard long, n long, t0 long, t1 long, start_x double, start_y double, corner_x array<double>, corner_y array<double>, "
     "parts array<struct<stay:boolean,t0:long,t1:long,n:long,sx:double,sy:double,x0:double,x1:double,y0:double,y1:double,path:double,fx:double,fy:double,lx:double,ly:double>>"
 )
 FOUND = "box string, ride long, kind string, t0 long, t1 long, n_pings long, x double, y double, distance_m double, reach_m double"
@@ -63,6 +61,25 @@ def strays(x: np.ndarray, y: np.ndarray, piece: np.ndarray, how: Dwelling) -> np
     return ~(np.hypot(x - mx, y - my) <= how.stray_m)
 
 
+def corners(x: np.ndarray, y: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Ascending indices of the corners of each group's convex hull. group: ascending.
+
+    A point on or under the line between its neighbours in x is no upper corner. Of two neighbours one is dropped at a time,
+    so a corner that is there twice stays.
+    """
+    order, found = np.lexsort((y, x, group)), []
+    for up in (1.0, -1.0):
+        k, turn, idle = order, 0, 0
+        while idle < 2:
+            dx, dy = np.diff(x[k]), up * np.diff(y[k])
+            under = np.zeros(len(k), bool)
+            under[1:-1] = (dx[:-1] * dy[1:] >= dy[:-1] * dx[1:]) & (group[k][2:] == group[k][:-2])
+            under[turn % 2 :: 2] = False
+            k, turn, idle = k[~under], turn + 1, 0 if under.any() else idle + 1
+        found.append(k)
+    return np.unique(np.concatenate(found))
+
+
 def cores(t: np.ndarray, x: np.ndarray, y: np.ndarray, piece: np.ndarray, how: Dwelling) -> np.ndarray:
     """True for pings of whose neighbours in time enough are neighbours in place."""
     n = len(t)
@@ -109,8 +126,6 @@ def clusters(t: np.ndarray, x: np.ndarray, y: np.ndarray, piece: np.ndarray, how
 
 def describe(how: Dwelling) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Pings sorted by (box, shard, t, row_seq) to one row (PIECES) per ride and shard; pings of the halo (own false) only fill neighbourhoods."""
-    angle = np.arange(DIRECTIONS) * (2 * math.pi / DIRECTIONS)
-    rays = np.stack([np.cos(angle), np.sin(angle)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ("box", "shard")):
@@ -141,16 +156,14 @@ def describe(how: Dwelling) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             )
             of_part = np.bincount(slot[start], minlength=len(head)) if m else np.zeros(len(head), int)
             sx, sy, some = np.full(len(head), np.nan), np.full(len(head), np.nan), np.zeros(len(head), bool)
-            support = np.zeros((0, DIRECTIONS))
+            hull = corners(gx, gy, slot)
             if m:
                 a, b = spans(np.r_[True, slot[1:] != slot[:-1]])
                 k = slot[a]
                 some[k] = True
                 # where a ride begins: the median of its first pings
                 sx[k], sy[k] = (medians(v, a, np.minimum(a + 5, b), 5) for v in (gx, gy))
-                support = np.maximum.reduceat(np.stack([gx, gy], axis=1) @ rays, a, axis=0)
-            lengths = np.where(some, DIRECTIONS, 0)
-            offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
+            offsets = pa.array(np.r_[0, np.cumsum(np.bincount(slot[hull], minlength=len(head)))].astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     table["box"].combine_chunks().take(pa.array(head)).cast(pa.string()),
@@ -160,10 +173,10 @@ def describe(how: Dwelling) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                     pa.array(t[tail]),
                     pa.array(sx, mask=~some),
                     pa.array(sy, mask=~some),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(support.ravel())),
+                    *(pa.ListArray.from_arrays(offsets, pa.array(v[hull])) for v in (gx, gy)),
                     pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(of_part)].astype(np.int32)), parts),
                 ],
-                ["box", "shard", "n", "t0", "t1", "start_x", "start_y", "support", "parts"],
+                ["box", "shard", "n", "t0", "t1", "start_x", "start_y", "corner_x", "corner_y", "parts"],
             )
 
     return run
@@ -234,8 +247,6 @@ class Ride:
 
 def assemble(how: Dwelling) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (PIECES and ride) sorted by (box, ride, t0) to rows FOUND: the ride, its stops and its moves."""
-    angle = np.arange(DIRECTIONS) * (2 * math.pi / DIRECTIONS)
-    rays = np.stack([np.cos(angle), np.sin(angle)])
     names = [f.split()[0] for f in FOUND.split(", ")]
 
     def summed(key: tuple, ride: Ride, head: dict) -> list[tuple]:
@@ -264,7 +275,7 @@ def assemble(how: Dwelling) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 if row["start_x"] is not None:
                     if head["x"] is None:
                         head["x"], head["y"], head["far"] = row["start_x"], row["start_y"], 0.0
-                    head["far"] = max(head["far"], float((np.array(row["support"]) - np.array([head["x"], head["y"]]) @ rays).max()))
+                    head["far"] = max(head["far"], float(np.hypot(np.array(row["corner_x"]) - head["x"], np.array(row["corner_y"]) - head["y"]).max()))
                 for p in row["parts"]:
                     ride.add(p)
             yield flush()
@@ -298,7 +309,7 @@ def trips_and_stops(readings: DataFrame, how: Dwelling | None = None) -> DataFra
     ordered = dealt.repartition("box", "shard").sortWithinPartitions("box", "shard", "t", "row_seq", "x", "y")
     pieces = arrow_map(ordered.select("box", "shard", "t", "x", "y", "own"), describe(how), PIECES)
     whole = rides(pieces, how.gap_s * SECOND, how.min_readings)
-    return arrow_map(whole.select("box", "ride", "t0", "t1", "n", "start_x", "start_y", "support", "parts").repartition("box", "ride").sortWithinPartitions("box", "ride", "t0"), assemble(how), FOUND)
+    return arrow_map(whole.select("box", "ride", "t0", "t1", "n", "start_x", "start_y", "corner_x", "corner_y", "parts").repartition("box", "ride").sortWithinPartitions("box", "ride", "t0"), assemble(how), FOUND)
 
 
 def found_slots(segments: DataFrame, how: Dwelling | None = None, slot_s: int = 600) -> DataFrame:
