@@ -10,6 +10,7 @@ from velotrace.functions.geo import axis_angle, compass_bearing, point_segment_d
 from velotrace.operators import events as ev
 from velotrace.operators import points as pt
 from velotrace.operators import quality as ql
+from velotrace.plans import core
 
 
 def load(spark, data):
@@ -178,3 +179,13 @@ def test_one_hot_box_is_cut_by_time(spark, gap):
     t = trace(spark, data, gap_minutes=gap)
     assert t.select("cell").distinct().count() >= 20 and t.select("traj_id").distinct().count() == 1
     assert ql.longest_runs(t).first().longest_nonzero_run == 400
+
+
+def test_events_without_uid_are_kept_and_linked(spark, tmp_path):
+    rows = [("e1", "p1", None, None), ("e1", "p1", None, None), (None, "p1", None, None), (None, "p1", None, None), (None, "zz", "p2", None), (None, None, None, None)]
+    spark.createDataFrame(rows, "event_uid string, closest_point_id string, first_point_id string, last_point_id string").write.parquet(f"{tmp_path}/overtake_events.parquet")
+    spark.createDataFrame([("p1", 1, 2), ("p2", 3, 4)], "point_id string, u long, v long").write.parquet(f"{tmp_path}/matched_points.parquet")
+    got = sorted(((r.event_uid or "", r.u or 0, r.v or 0) for r in core.link_events(spark, str(tmp_path)).collect()))
+    assert got == [("", 0, 0), ("", 1, 2), ("", 3, 4), ("e1", 1, 2)]
+    share = core.linked_share(spark, str(tmp_path)).first()
+    assert (share.n_events, share.n_linked) == (4, 3)

@@ -82,16 +82,24 @@ def one_edge_per_point(matched: DataFrame) -> DataFrame:
     return p.groupBy("point_id").agg(F.min_by(F.struct("u", "v"), F.struct(*order)).alias("_uv"))
 
 
+def each_event_once(events: DataFrame) -> DataFrame:
+    """One row per event_uid; of rows without event_uid, those equal in all columns once."""
+    whole = F.when(F.col("event_uid").isNull(), F.struct(*[F.col(f"`{c}`") for c in events.columns]))
+    return events.withColumn("_whole", whole).dropDuplicates(["event_uid", "_whole"]).drop("_whole")
+
+
 def link_events(events: DataFrame, matched: DataFrame) -> DataFrame:
     """Events with u, v of their closest point, else of their first, else of their last: whichever is placed first; v is of the same point as u.
 
     One join: an event's points are put in a row by priority and the best placed one is taken. An event without
-    event_uid is not linked; repeated events come out as often.
+    event_uid is linked like any other; repeated events come out as often.
     """
     bare = events.drop("u", "v", "edge_class")
-    wanted = bare.select("event_uid", F.posexplode(F.array("closest_point_id", "first_point_id", "last_point_id")).alias("_prio", "point_id")).where(F.col("point_id").isNotNull())
-    best = wanted.join(one_edge_per_point(matched), "point_id").groupBy("event_uid").agg(F.min_by("_uv", "_prio").alias("_uv"))
-    return bare.join(best, "event_uid", "left").select(*bare.columns, F.col("_uv.u").alias("u"), F.col("_uv.v").alias("v"))
+    ids = ("closest_point_id", "first_point_id", "last_point_id")
+    keyed = bare.withColumn("_event", F.struct("event_uid", *ids))  # a struct is not null, whatever is in it
+    wanted = keyed.select("_event", F.posexplode(F.array(*ids)).alias("_prio", "point_id")).where(F.col("point_id").isNotNull())
+    best = wanted.join(one_edge_per_point(matched), "point_id").groupBy("_event").agg(F.min_by("_uv", "_prio").alias("_uv"))
+    return keyed.join(best, "_event", "left").select(*bare.columns, F.col("_uv.u").alias("u"), F.col("_uv.v").alias("v"))
 
 
 def pair(df: DataFrame) -> DataFrame:

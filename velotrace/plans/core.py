@@ -57,7 +57,7 @@ def chords(spark: SparkSession, d: str) -> DataFrame:
 
 
 def linked(spark: SparkSession, d: str) -> DataFrame:
-    return ev.link_events(table(spark, d, "overtake_events").dropDuplicates(["event_uid"]), table(spark, d, "matched_points"))
+    return ev.link_events(ev.each_event_once(table(spark, d, "overtake_events")), table(spark, d, "matched_points"))
 
 
 # scans and cleaning
