@@ -17,7 +17,7 @@ from velotrace.llm.bpe import TOKENIZERS, VOCABULARY, Bpe, count_tokens, decode,
 from velotrace.llm.digests import build, cluster, estimates, merge, percentiles, quantile
 from velotrace.llm.mixing import mixed, shares
 from velotrace.llm.runs import SAME, collapse, overtake_runs, reading_runs
-from velotrace.llm.splitting import split, split_documents
+from velotrace.llm.splitting import split, split_documents, stretches_of
 
 DOCS = "doc_id long, text string"
 
@@ -134,6 +134,19 @@ def test_cuts_prefer_strong_boundaries(spark):
         split(spark.createDataFrame([], DOCS), limit=10, overlap=9)
 
 
+def test_overlap_of_long_words_is_in_tokens(spark, bpe):
+    random.seed(8)
+    texts = ["".join(random.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=9000)), "".join(chr(random.randint(0x4E00, 0x9FA5)) for _ in range(2500)), "straßenbahnhaltestelle" * 900]
+    out = pieces_of(spark, texts)
+    check_pieces(texts, out, bpe, 1000, 50)
+    for i, t in enumerate(texts):
+        for a, b in zip(out[i], out[i][1:], strict=False):
+            assert 45 <= bpe.count(t.encode()[b.start_byte : a.end_byte].decode()) <= 52
+    # no token ends with a character for more than 40 tokens: characters count as their bytes
+    assert stretches_of("é".encode() * 50, [1, *[2] * 49, 1]) == ([2] * 50, [2] * 50)
+    assert stretches_of("aéb".encode(), [2, 1, 1]) == ([2, 1], [3, 1])
+
+
 def test_split_documents(spark):
     df = spark.createDataFrame([(1, "a b " * 600), (2, "a b " * 600), (2, "a b " * 600), (None, "a b " * 600), (3, "short"), (4, None)], DOCS)
     assert sorted(r.doc_id for r in split_documents(df).collect()) == [1, 2]

@@ -20,7 +20,7 @@ SENTENCE_ENDS = ".!?…。！？"
 CLOSERS = "\"')]}”’»"
 #: Stands for the tokens of a unit before its last.
 INNER = "x"
-#: A piece of text of more tokens is cut at its characters, which count as their bytes (a character never has more tokens).
+#: A piece of text of more tokens is cut inside, where a token ends together with a character.
 LONG_UNIT = 40
 
 
@@ -47,10 +47,29 @@ def strength(text: str, end: int) -> str:
     return "W" if last.isspace() else "T"
 
 
-def units(text: str, parts: list[str], counts: list[int]) -> tuple[str, np.ndarray]:
+def stretches_of(raw: bytes, lengths: list[int]) -> tuple[list[int], list[int]]:
+    """Tokens and bytes of the stretches of a long word, which end where a token ends together with a character. lengths: bytes of its tokens.
+
+    A stretch of more than LONG_UNIT tokens goes on to be cut at its characters, which count as their bytes (a character never has more tokens).
+    """
+    weights, sizes, n, begin, end = [], [], 0, 0, 0
+    for k in lengths:
+        n, end = n + 1, end + k
+        if end < len(raw) and raw[end] & 0xC0 == 0x80:
+            continue
+        each = [end - begin]
+        if n > LONG_UNIT:
+            each = np.diff([i for i in range(begin, end) if raw[i] & 0xC0 != 0x80], append=end).tolist()
+        weights += [n] if n <= LONG_UNIT else each
+        sizes += each
+        n, begin = 0, end
+    return weights, sizes
+
+
+def units(text: str, parts: list[str], counts: list[int], lengths: Callable[[str], list[int]]) -> tuple[str, np.ndarray]:
     """Marks of a text, a letter per counted token, of which a unit's last is its boundary's strength; and the bytes up to there (0 at other tokens).
 
-    parts and counts: the text by the tokenizer's pattern, and the tokens of each part. Strengths that
+    parts and counts: the text by the tokenizer's pattern, and the tokens of each part; lengths gives the bytes of a part's tokens. Strengths that
     follow from the characters on both sides of an end alone are remembered.
     """
     marks, weights, sizes, at = [], [], [], 0
@@ -70,9 +89,9 @@ def units(text: str, parts: list[str], counts: list[int]) -> tuple[str, np.ndarr
             weights.append(n)
             sizes.append(width(s))
             continue
-        each = [width(c) for c in s]
-        marks += [INNER * (w - 1) + "C" for w in each[:-1]] + [INNER * (each[-1] - 1) + letter]
-        weights += each
+        tokens, each = stretches_of(s.encode("utf-8", "replace"), lengths(s))
+        marks += [INNER * (w - 1) + "C" for w in tokens[:-1]] + [INNER * (tokens[-1] - 1) + letter]
+        weights += tokens
         sizes += each
     upto = np.cumsum(weights, dtype=np.int64)
     places = np.zeros(upto[-1] if len(upto) else 0, np.int32)
@@ -89,6 +108,7 @@ def marker(content: Broadcast, limit: int) -> Callable[[Iterator[pa.RecordBatch]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(content)
+        lengths = lambda s: [len(bpe.strings[i]) for i in bpe.piece(s)]
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
                 rows = []
@@ -97,7 +117,7 @@ def marker(content: Broadcast, limit: int) -> Callable[[Iterator[pa.RecordBatch]
                     parts = bpe.find(text or "")
                     counts = [len(bpe.piece(s)) for s in parts]
                     n = sum(counts)
-                    rows.append((n, *((None, None) if n <= limit else units(text, parts, counts))))
+                    rows.append((n, *((None, None) if n <= limit else units(text, parts, counts, lengths))))
                 arrays = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.list_(pa.int32())))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *arrays], names)
 
@@ -123,7 +143,7 @@ def split(documents: DataFrame, limit: int = 1000, overlap: int = 50, slack: int
 
     A text of at most limit tokens is one piece. Others are written as marks, one letter per token, and cut by one
     regular expression with bounded quantifiers: at the strongest boundary in the second half of the room,
-    else at a weaker one, in words too long for that between characters. Every further piece begins up to overlap tokens before the
+    else at a weaker one, in words too long for that between tokens that end with a character. Every further piece begins up to overlap tokens before the
     cut, at the first boundary there. Room for new text is limit - overlap - slack, slack for pieces whose
     ends get other tokens than they had in the text. boundary: the strength at the end, see STRENGTHS.
 
