@@ -134,6 +134,12 @@ def test_cuts_prefer_strong_boundaries(spark):
         split(spark.createDataFrame([], DOCS), limit=10, overlap=9)
 
 
+def test_boundaries_with_many_blanks_or_closing_marks(spark):
+    block = "one two three four five six seven eight nine ten " * 12
+    assert {p.boundary for p in pieces_of(spark, [(block + "end\n" + " " * 40 + "\n") * 20])[0]} == {"P"}
+    assert {p.boundary for p in pieces_of(spark, [(block + 'end."\')]}"\') ') * 20])[0][:-1]} == {"S"}
+
+
 def test_overlap_of_long_words_is_in_tokens(spark, bpe):
     random.seed(8)
     texts = ["".join(random.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=9000)), "".join(chr(random.randint(0x4E00, 0x9FA5)) for _ in range(2500)), "straßenbahnhaltestelle" * 900]

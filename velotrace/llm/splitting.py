@@ -24,29 +24,28 @@ INNER = "x"
 LONG_UNIT = 40
 
 
-def strength(text: str, end: int) -> str:
-    """How natural a cut of text before position end is, for an end between two pieces of the tokenizer's pattern."""
-    last, rest = text[end - 1], text[end : end + 1]
+def strength(last: str, rest: str, breaks: int, bare: str) -> str:
+    """How natural a cut is between the characters last and rest (none at the end), where two pieces of the tokenizer's pattern meet.
+
+    breaks: line ends among the blanks up to there; bare: the last character that is no closing mark.
+    """
     if last in LINE_ENDS:
-        i = end - 1
-        breaks = 0
-        while i >= 0 and end - i <= 16 and text[i].isspace():
-            if text[i] in LINE_ENDS and not (text[i] == "\r" and text[i + 1 : i + 2] == "\n"):
-                breaks += 1
-            i -= 1
         if rest and rest in LINE_ENDS:
             return "T"  # amid a row of line ends
         return "P" if breaks > 1 else "L"
     if not rest:
         return "P"
     if rest.isspace():
-        i = end - 1
-        while i > 0 and end - i <= 4 and text[i] in CLOSERS:
-            i -= 1
-        return "S" if text[i] in SENTENCE_ENDS else "W"
+        return "S" if bare in SENTENCE_ENDS else "W"
     return "W" if last.isspace() else "T"
 
 
+def line_ends(blanks: str, rest: str) -> int:
+    """Line ends among blanks before rest; carriage return and line feed are one."""
+    n = sum(map(blanks.count, LINE_ENDS)) - blanks.count("\r\n")
+    return n - (blanks[-1] == "\r" and rest == "\n")
+
+
 def stretches_of(raw: bytes, lengths: list[int]) -> tuple[list[int], list[int]]:
     """Tokens and bytes of the stretches of a long word, which end where a token ends together with a character. lengths: bytes of its tokens.
 
@@ -72,17 +71,26 @@ def units(text: str, parts: list[str], counts: list[int], lengths: Callable[[str
     parts and counts: the text by the tokenizer's pattern, and the tokens of each part; lengths gives the bytes of a part's tokens. Strengths that
     follow from the characters on both sides of an end alone are remembered.
     """
-    marks, weights, sizes, at = [], [], [], 0
+    marks, weights, sizes, breaks, bare = [], [], [], 0, " "
     remembered: dict[str, str] = {}
     plain = text.isascii()
     width = len if plain else (lambda s: len(s.encode("utf-8", "replace")))
     for s, n, following in zip(parts, counts, [*parts[1:], ""], strict=True):
-        at += len(s)
-        sides = s[-1] + following[:1]
+        last, rest = s[-1], following[:1]
+        if last.isspace():
+            word = s.rstrip()
+            breaks = line_ends(s[len(word) :], rest) + (0 if word else breaks)
+        else:
+            breaks = 0
+        if last not in CLOSERS:
+            bare = last
+        elif opened := s.rstrip(CLOSERS):
+            bare = opened[-1]
+        sides = last + rest
         letter = remembered.get(sides)
         if letter is None:
-            letter = strength(text, at)
-            if s[-1] not in LINE_ENDS and s[-1] not in CLOSERS:
+            letter = strength(last, rest, breaks, bare)
+            if last not in LINE_ENDS and last not in CLOSERS:
                 remembered[sides] = letter
         if n <= LONG_UNIT:
             marks.append(INNER * (n - 1) + letter)
