@@ -7,16 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velotrace.operators.shards import changes, numpy_of, rides, whole_groups
-from velotrace.session import arrow_map
+from velotrace.session import arrow_map, cut
 
-PIECES = (
-    "entity string, shard long, n long, t0 long, t1 long, items long, head_t long, head_v double, tail_t long, tail_v double, "
-    "runs array<struct<t0:long,t1:long,n:long,v0:double,v1:double,opens:boolean,closes:boolean,ids:array<long>>>"
-)
+RUN = "struct<t0:long,t1:long,n:long,v0:double,v1:double>"
+PIECES = f"entity string, shard long, n long, t0 long, t1 long, head {RUN}, tail {RUN}, whole boolean, inner array<{RUN}>"
 
 
 NO_ID = -(1 << 63)
@@ -35,7 +33,6 @@ class Alike:
     least: int
     lowest: float | None = None
     absolute: bool = False
-    ids: bool = False
 
     def fit(self, v: np.ndarray) -> np.ndarray:
         ok = ~np.isnan(v)
@@ -49,74 +46,103 @@ class Alike:
         return ok if self.gap_us is None else ok & (t - t_before <= self.gap_us)
 
 
+@dataclass(frozen=True)
+class Runs:
+    """Runs of the items of some shards: places of first and last item, count and shard, and whether the shard's first or last item is in them."""
+
+    starts: np.ndarray
+    ends: np.ndarray  # one behind the last item
+    shard: np.ndarray
+    opens: np.ndarray
+    closes: np.ndarray
+    first: np.ndarray  # of each shard the place of its first item, -1 if it has none
+    last: np.ndarray
+
+    @property
+    def count(self) -> np.ndarray:
+        return self.ends - self.starts
+
+
+def runs_of(alike: Alike, v: np.ndarray, begin: np.ndarray, end: np.ndarray, shard: np.ndarray, shards: int) -> Runs:
+    """The state machine over items in order: value, begin, end and the number of the shard. Every fit item is in a run, maybe of its own."""
+    m = len(v)
+    same = np.r_[False, shard[1:] == shard[:-1]][:m]
+    on = np.zeros(m, bool)
+    if m > 1:
+        on[1:] = same[1:] & alike.goes_on(v[1:], v[:-1], begin[1:], end[:-1])
+    starts = np.flatnonzero(alike.fit(v) & ~on)
+    # an unfit item ends a run, so that a run is the stretch from its start to the next start or unfit item
+    stop = np.flatnonzero(~on)
+    ends = np.r_[stop[1:], m][np.searchsorted(stop, starts)] if len(starts) else starts
+    head = np.flatnonzero(~same)
+    first, last = np.full(shards, -1), np.full(shards, -1)
+    first[shard[head]], last[shard[head]] = head, (np.r_[head[1:], m] - 1 if m else head)
+    at = shard[starts]
+    return Runs(starts, ends, at, starts == first[at], ends - 1 == last[at], first, last)
+
+
 def list_of(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), values)
 
 
+def without_copies(table: pa.Table, keys: tuple[str, str]) -> tuple[pa.Table, np.ndarray]:
+    """The first of rows equal in keys and t, and where groups of keys begin."""
+    begins, t = changes(table, keys), numpy_of(table, "t")
+    keep = begins | np.r_[True, t[1:] != t[:-1]]
+    return table.filter(pa.array(keep)), begins[keep]
+
+
+def edge_rows(run: Runs, which: np.ndarray, v: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.StructArray:
+    """Of each shard the run that holds its first (which: first) or last item, as RUN; n is 0 if that item is in none, null if there is no item."""
+    at = np.maximum(which, 0)
+    held = np.searchsorted(run.starts, at, "right") - 1
+    ok = held >= 0
+    held = np.maximum(held, 0)
+    some = len(run.starts) > 0
+    inside = ok & (run.ends[held] > at) if some else ok & False
+    pick = lambda inner, alone: np.where(inside, inner, alone)
+    if len(v) == 0:
+        empty = pa.nulls(len(which), pa.int64())
+        return pa.StructArray.from_arrays([empty, empty, empty, pa.nulls(len(which), pa.float64()), pa.nulls(len(which), pa.float64())], ["t0", "t1", "n", "v0", "v1"])
+    s = run.starts[held] if some else at
+    e = run.ends[held] - 1 if some else at
+    cols = [pick(begin[s], begin[at]), pick(end[e], end[at]), pick(e - s + 1, 0).astype(np.int64), pick(v[s], v[at]), pick(v[e], v[at])]
+    none = which < 0
+    return pa.StructArray.from_arrays([pa.array(c, mask=none) for c in cols], ["t0", "t1", "n", "v0", "v1"])
+
+
 def machine(alike: Alike, copies: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (entity, shard, t, t_end, id, item, v) sorted by all but the last two, to one row per shard as in PIECES.
 
-    A run is kept if it has enough items or touches the first or last item of its shard. copies: of
-    rows equal in (entity, t) only the first counts.
+    head and tail: the runs of the shard's first and last item; whole: they are one. inner: the others that have enough
+    items. copies: of rows equal in (entity, t) only the first counts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ("entity", "shard")):
-            begins, t = changes(table, ("entity", "shard")), numpy_of(table, "t")
             if copies:
-                keep = begins | np.r_[True, t[1:] != t[:-1]]
-                table, begins, t = table.filter(pa.array(keep)), begins[keep], t[keep]
-            end, v, item, ident = (numpy_of(table, k) for k in ("t_end", "v", "item", "id"))
+                table, begins = without_copies(table, ("entity", "shard"))
+            else:
+                begins = changes(table, ("entity", "shard"))
+            t, end, v, item = (numpy_of(table, k) for k in ("t", "t_end", "v", "item"))
             at = np.flatnonzero(begins)
             size = np.diff(np.r_[at, len(t)])
-            shard_no = np.repeat(np.arange(len(at)), size)
             k = np.flatnonzero(item)
-            g, v, s, e, ident = shard_no[k], v[k], t[k], end[k], ident[k]
-            m = len(k)
-            same = np.r_[False, g[1:] == g[:-1]] if m else np.zeros(0, bool)
-            on = np.zeros(m, bool)
-            if m > 1:
-                on[1:] = same[1:] & alike.goes_on(v[1:], v[:-1], s[1:], e[:-1])
-            fit = alike.fit(v)
-            starts = np.flatnonzero(fit & ~on)
-            # an unfit item ends a run, so that a run is the stretch from its start to the next start or unfit item
-            stop = np.flatnonzero(~on)
-            ends = np.r_[stop[1:], m][np.searchsorted(stop, starts)] if len(starts) else starts
-            count, where = ends - starts, g[starts] if m else starts
-            head = np.flatnonzero(~same)
-            tail = np.r_[head[1:], m] - 1 if m else head
-            first, last = np.full(len(at), -1), np.full(len(at), -1)
-            first[g[head]], last[g[head]] = head, tail
-            opens, closes = starts == first[where], ends - 1 == last[where]
-            kept = (count >= alike.least) | opens | closes
-            starts, ends, count, where, opens, closes = (x[kept] for x in (starts, ends, count, where, opens, closes))
-            if alike.ids and len(starts):
-                flat = np.concatenate([np.arange(a, b) for a, b in zip(starts, ends, strict=True)])
-                ids = list_of(pa.array(ident[flat]), count)
-            else:
-                ids = list_of(pa.array([], pa.int64()), np.zeros(len(starts), int))
-            runs = pa.StructArray.from_arrays(
-                [pa.array(s[starts]), pa.array(e[ends - 1]), pa.array(count.astype(np.int64)), pa.array(v[starts]), pa.array(v[ends - 1]), pa.array(opens), pa.array(closes), ids],
-                ["t0", "t1", "n", "v0", "v1", "opens", "closes", "ids"],
-            )
-            some = first >= 0
-            pick = lambda values, i: pa.array(values[np.maximum(i, 0)] if m else np.zeros(len(i), values.dtype), mask=~some)
+            v, s, e = v[k], t[k], end[k]
+            r = runs_of(alike, v, s, e, np.repeat(np.arange(len(at)), size)[k], len(at))
+            kept = (r.count >= alike.least) & ~r.opens & ~r.closes
+            a, b, where = r.starts[kept], r.ends[kept], r.shard[kept]
+            inner = pa.StructArray.from_arrays([pa.array(s[a]), pa.array(e[b - 1]), pa.array((b - a).astype(np.int64)), pa.array(v[a]), pa.array(v[b - 1])], ["t0", "t1", "n", "v0", "v1"])
+            whole = np.zeros(len(at), bool)
+            whole[r.shard[r.opens & r.closes]] = True
             yield pa.RecordBatch.from_arrays(
                 [
-                    table["entity"].combine_chunks().take(pa.array(at)).cast(pa.string()),
-                    table["shard"].combine_chunks().take(pa.array(at)),
-                    pa.array(size.astype(np.int64)),
-                    pa.array(t[at]),
-                    pa.array(t[at + size - 1]),
-                    pa.array(np.bincount(g, minlength=len(at)).astype(np.int64)),
-                    pick(s, first),
-                    pick(v, first),
-                    pick(e, last),
-                    pick(v, last),
-                    list_of(runs, np.bincount(where, minlength=len(at))),
+                    table["entity"].combine_chunks().take(pa.array(at)).cast(pa.string()), table["shard"].combine_chunks().take(pa.array(at)), pa.array(size.astype(np.int64)),
+                    pa.array(t[at]), pa.array(t[at + size - 1]), edge_rows(r, r.first, v, s, e), edge_rows(r, r.last, v, s, e),
+                    pa.array(whole | (r.first == r.last) & (r.first >= 0)), list_of(inner, np.bincount(where, minlength=len(at))),
                 ],
-                ["entity", "shard", "n", "t0", "t1", "items", "head_t", "head_v", "tail_t", "tail_v", "runs"],
-            )
+                ["entity", "shard", "n", "t0", "t1", "head", "tail", "whole", "inner"],
+            )
 
     return run
 
@@ -127,29 +153,45 @@ def pieces(rows: DataFrame, alike: Alike, copies: bool) -> DataFrame:
     return arrow_map(cols.repartition("entity", "shard").sortWithinPartitions("entity", "shard", "t", "id", "t_end", "item", "v"), machine(alike, copies), PIECES)
 
 
-def joined(shards: DataFrame, alike: Alike, ride_gap_us: int | None, min_rows: int) -> DataFrame:
-    """Runs of at least alike.least items: entity, t0, t1, n, v0, v1, ids. Runs go on over the borders of shards.
+def chained(slim: DataFrame, alike: Alike, by: str) -> DataFrame:
+    """A row per run at the border of a shard (by, ride, shard, at: 0 head or 1 tail, and RUN), with its chain over borders.
 
-    Complete runs pass as they are. Of a shard only the runs at its borders (at most two) go through the
-    scan, so a run may be as long as a ride. ride_gap_us None: an entity is one ride.
+    slim: (by, ride, shard, head, tail, whole). A head goes on with the tail of the shard before that has items, of the same ride. A
+    shard of one run has only a head. Rows without a run (n 0) stand between runs and are no chain's part.
     """
-    if ride_gap_us is None:
-        whole = shards.withColumn("ride", F.lit(1).cast("long"))
-    else:
-        whole = rides(shards, ride_gap_us, min_rows, by="entity")
-    before = Window.partitionBy("entity", "ride").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("items") > 0, F.struct("tail_t", "tail_v")), ignorenulls=True).over(before)
-    runs = whole.withColumn("before", last).select("entity", "ride", "before", F.explode("runs").alias("r")).select("entity", "ride", "before", "r.*")
-    inner = ~F.col("opens") & ~F.col("closes")
-    done = runs.where(inner).select("entity", "t0", "t1", "n", "v0", "v1", "ids")
-    b = F.col("before")
-    fit = lambda c: F.lit(True) if alike.lowest is None else ((F.abs(c) if alike.absolute else c) > alike.lowest)
-    links = F.col("opens") & b.isNotNull() & fit(b["tail_v"]) & ~F.isnan(b["tail_v"]) & (F.abs(F.col("v0") - b["tail_v"]) <= alike.tolerance)
+    ends = F.when(F.col("whole"), F.array(F.struct(F.lit(0).alias("at"), F.col("head").alias("r")))).otherwise(
+        F.array(F.struct(F.lit(0).alias("at"), F.col("head").alias("r")), F.struct(F.lit(1).alias("at"), F.col("tail").alias("r")))
+    )
+    edge = slim.where(F.col("head").isNotNull()).select(by, "ride", "shard", F.explode(ends).alias("e")).select(by, "ride", "shard", "e.at", "e.r.*")
+    order = Window.partitionBy(by).orderBy("shard", "at")
+    before = lambda c: F.lag(c).over(order)
+    links = (F.col("at") == 0) & (F.col("n") > 0) & (before("n") > 0) & (before("ride") == F.col("ride")) & (F.abs(F.col("v0") - before("v1")) <= alike.tolerance)
     if alike.gap_us is not None:
-        links &= F.col("t0") - b["tail_t"] <= alike.gap_us
-    order = Window.partitionBy("entity", "ride").orderBy("t0", "t1").rowsBetween(Window.unboundedPreceding, 0)
-    edge = runs.where(~inner).withColumn("no", F.sum(F.when(F.coalesce(links, F.lit(False)), 0).otherwise(1)).over(order))
-    chained = edge.groupBy("entity", "ride", "no").agg(
-        F.min("t0").alias("t0"), F.max_by("t1", "t0").alias("t1"), F.sum("n").alias("n"), F.min_by("v0", "t0").alias("v0"), F.max_by("v1", "t0").alias("v1"), F.flatten(F.collect_list("ids")).alias("ids")
+        links &= F.col("t0") - before("t1") <= alike.gap_us
+    return edge.withColumn("chain", F.sum(F.when(F.coalesce(links, F.lit(False)), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("n") > 0)
+
+
+def numbered(shards: DataFrame, ride_gap_us: int | None, min_rows: int, by: str) -> DataFrame:
+    """Rides of shards, see rides(); ride_gap_us None: an entity is one ride."""
+    return shards.withColumn("ride", F.lit(1).cast("long")) if ride_gap_us is None else rides(shards, ride_gap_us, min_rows, by=by)
+
+
+def joined(shards: DataFrame, alike: Alike, ride_gap_us: int | None, min_rows: int) -> DataFrame:
+    """Runs of at least alike.least items: entity, t0, t1, n, v0, v1. Runs go on over the borders of shards.
+
+    Inner runs of a shard pass as they are; through the scan go only its first and last run (and the inner ones of a shard
+    of fewer than min_rows rows, whose ride may be dropped), so a scanned row is small however many runs a shard has, and a
+    run may be as long as a ride. The shards are written once, as both ways read them. ride_gap_us None: an entity is one ride.
+    """
+    shards = cut(shards)
+    sure = F.lit(True) if ride_gap_us is None else F.col("n") >= min_rows
+    run: list[Column | str] = ["r.t0", "r.t1", "r.n", "r.v0", "r.v1"]
+    inner = shards.where(sure).select("entity", F.explode("inner").alias("r")).select("entity", *run)
+    slim = numbered(shards.select("entity", "shard", "n", "t0", "t1", "head", "tail", "whole", F.when(~sure, F.col("inner")).alias("inner")), ride_gap_us, min_rows, "entity")
+    edge = chained(slim, alike, "entity").groupBy("entity", "chain").agg(
+        F.min("t0").alias("t0"), F.max_by("t1", "t0").alias("t1"), F.sum("n").alias("n"), F.min_by("v0", "t0").alias("v0"), F.max_by("v1", "t0").alias("v1")
     )
-    return done.unionByName(chained.drop("ride", "no")).where(F.col("n") >= alike.least)
+    parts = inner.unionByName(edge.drop("chain"))
+    if ride_gap_us is not None and min_rows > alike.least + 2:  # an inner run has an item before and one after it
+        parts = parts.unionByName(slim.select("entity", F.explode("inner").alias("r")).select("entity", *run))
+    return parts.where(F.col("n") >= alike.least)

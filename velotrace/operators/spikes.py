@@ -3,148 +3,220 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velotrace.functions.clean import no_nan
-from velotrace.functions.windows import medians_and_deviations
-from velotrace.operators.runlength import NO_ID, Alike, joined, pieces
-from velotrace.operators.shards import SECOND, changes, dedup, numpy_of, sharded, usable, whole_groups
+from velotrace.functions.windows import medians
+from velotrace.operators.runlength import NO_ID, RUN, Alike, chained, edge_rows, list_of, runs_of, without_copies
+from velotrace.operators.shards import SECOND, changes, numpy_of, rides, sharded, usable, whole_groups
 from velotrace.session import arrow_map, cut
 
 SCALE = 1.4826  # of a normal distribution: usual deviation over median absolute deviation
 
 
-def hampel(v: np.ndarray, reach: int, least: int, floor: float) -> np.ndarray:
-    """Deviations of each value from the usual level around it, in usual deviations; NaN if too few values are near.
+def split_levels(v: np.ndarray, reach: int, jump: float) -> int:
+    """Where the usual level of a source changes, 0 if it doesn't: the place between whose rolling medians before and after is the largest step.
 
-    The usual level is the rolling median, taken apart over the values before and those after, so that both
-    levels of a source that changes its level count: the smaller deviation holds. The unit is the smaller of the
-    two scaled median absolute deviations, as a window over a change has a large one. Where neither
-    side alone has half a window, both sides together are one.
+    The step counts from `jump` usual deviations on, taken from the rolling medians of the side that spreads less.
     """
     n = len(v)
     i = np.arange(n)
-    before = medians_and_deviations(v, np.maximum(i - reach, 0), i, reach)
-    after = medians_and_deviations(v, np.minimum(i + 1, n), np.minimum(i + 1 + reach, n), reach)
-    enough = np.stack([np.minimum(i, reach) >= reach // 2, np.minimum(n - 1 - i, reach) >= reach // 2])
-    mad = np.fmin(np.where(enough[0], before[1], np.nan), np.where(enough[1], after[1], np.nan))
-    unit = np.maximum(SCALE * mad, floor)
-    z = np.fmin(np.where(enough[0], np.abs(v - before[0]), np.nan), np.where(enough[1], np.abs(v - after[0]), np.nan)) / unit
-    few = ~enough.any(axis=0)
-    if few.any() and n > least:
-        k = np.flatnonzero(few)
-        others = np.stack([np.delete(v, j) for j in k])
-        med = np.median(others, axis=1)
-        dev = np.median(np.abs(others - med[:, None]), axis=1)
-        z[k] = np.abs(v[k] - med) / np.maximum(SCALE * dev, floor)
-    return z
-
-
-def judge(reach: int, least: int, floor: float, limit: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by (box, block, rank) to the row_seq of far-off ones; neighbours of the block (own false) only fill windows."""
+    before, after = medians(v, np.maximum(i - reach, 0), i, reach), medians(v, i, np.minimum(i + reach, n), reach)
+    unit = SCALE * min(np.nanmedian(np.abs(v - before)), np.nanmedian(np.abs(v - after)))
+    step = np.where(np.minimum(i, n - i) >= min(reach // 2, n // 4), np.abs(before - after), 0.0)
+    k = int(step.argmax())
+    return k if step[k] > jump * unit and k else 0
+
+
+def hampel(v: np.ndarray, reach: int = 100, least: int = 8, floor: float = 0.5, jump: float = 1.5) -> np.ndarray:
+    """Deviations of each value of a source, in order, from its usual level, in usual deviations; NaN if there are not more than `least` values.
+
+    The level is the rolling median of up to reach values to either side, which doesn't look over a change of level; after one, the other
+    level is usual too and the smaller deviation holds. The unit is the scaled median absolute deviation of all values from their
+    rolling medians: that of one window alone is too rough to part values near the limit.
+    """
+    n = len(v)
+    if n <= least:
+        return np.full(n, np.nan)
+    i, k = np.arange(n), split_levels(v, reach, jump)
+    low, high = np.where(i < k, 0, k), np.where(i < k, k, n)
+    off = np.abs(v - medians(v, np.maximum(i - reach, low), np.minimum(i + reach + 1, high), 2 * reach + 1))
+    unit = max(SCALE * float(np.median(off)), floor)
+    if k:
+        off = np.minimum(off, np.abs(v - np.where(i < k, np.median(v[k:]), np.median(v[:k]))))
+    return off / unit
+
+
+#: What is known of a number once its shard has been looked through: USUAL, BAD (out of bounds), STUCK; or that it is in the first or last run of
+#: the shard, which neighbours may make a stuck one.
+USUAL, BAD, STUCK, HEAD, TAIL = 0, 1, 2, 4, 8
+NUMBERS = f"box string, shard long, n long, t0 long, t1 long, head {RUN}, tail {RUN}, whole boolean, sure long, in_head long, in_tail long, numbers array<struct<row_seq:long,num:double,kind:int>>"
+
+
+def look_through(alike: Alike, lowest: float, highest: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (box, shard, t, row_seq, num) sorted by these, copies among them, to one row per shard as in NUMBERS.
+
+    numbers: those that are not 0 and have a row_seq, in order. sure, in_head, in_tail: how many of them are usual for certain, or if the
+    first (last) run is not stuck.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ("box", "shard")):
+            table, begins = without_copies(table, ("box", "shard"))
+            t, v = numpy_of(table, "t"), numpy_of(table, "num")
+            at = np.flatnonzero(begins)
+            size = np.diff(np.r_[at, len(t)])
+            k = np.flatnonzero(~np.isnan(v))
+            g, v, t1, ident = np.repeat(np.arange(len(at)), size)[k], v[k], t[k], numpy_of(table, "row_seq")[k]
+            r = runs_of(alike, v, t1, t1, g, len(at))
+            kind = np.where((v < lowest) | (v > highest), BAD, USUAL)
+            mark = np.where(r.count >= alike.least, STUCK, np.where(r.opens, HEAD, np.where(r.closes, TAIL, USUAL)))
+            # runs don't overlap, so marks are spread by where they begin and end
+            step = np.zeros(len(v) + 1, np.int64)
+            np.add.at(step, r.starts, mark)
+            np.add.at(step, r.ends, -mark)
+            kind = kind | np.cumsum(step)[: len(v)]
+            named = (v != 0) & (ident != NO_ID)
+            count = lambda kinds: pa.array(np.bincount(g[named & (kind == kinds)], minlength=len(at)).astype(np.int64))
+            whole = np.zeros(len(at), bool)
+            whole[r.shard[r.opens & r.closes]] = True
+            numbers = pa.StructArray.from_arrays([pa.array(ident[named]), pa.array(v[named]), pa.array(kind[named].astype(np.int32))], ["row_seq", "num", "kind"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    table["box"].combine_chunks().take(pa.array(at)).cast(pa.string()), table["shard"].combine_chunks().take(pa.array(at)), pa.array(size.astype(np.int64)), pa.array(t[at]), pa.array(t[at + size - 1]),
+                    edge_rows(r, r.first, v, t1, t1), edge_rows(r, r.last, v, t1, t1), pa.array(whole | (r.first == r.last) & (r.first >= 0)), count(USUAL), count(HEAD), count(TAIL),
+                    list_of(numbers, np.bincount(g[named], minlength=len(at))),
+                ],
+                [f.split()[0] for f in NUMBERS.split(", ")],
+            )
+
+    return run
+
+
+def judge(how: Callable[[np.ndarray], np.ndarray], limit: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by (box, block, rank) to row_seq and reason; usual numbers of neighbouring blocks (own false) only fill windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ("box", "block")):
             at = np.flatnonzero(changes(table, ("box", "block")))
-            v, own, rank, total, ident = (numpy_of(table, k) for k in ("num", "own", "rank", "total", "row_seq"))
-            out = []
+            v, own, kind, ident = (numpy_of(table, k) for k in ("num", "own", "kind", "row_seq"))
+            far = np.zeros(len(v), bool)
             for a, b in zip(at, np.r_[at[1:], len(v)], strict=True):
-                far = hampel(v[a:b], reach, least, floor) > limit
-                out.append(ident[a:b][far & own[a:b]])
-            if out and (found := np.concatenate(out)).size:
-                yield pa.RecordBatch.from_arrays([pa.array(found)], ["row_seq"])
+                k = a + np.flatnonzero(kind[a:b] == USUAL)
+                with np.errstate(invalid="ignore"):
+                    far[k] = how(v[k]) > limit
+            found = [(own & (kind & BAD > 0), "bounds"), (own & (kind & STUCK > 0), "stuck"), (own & far, "far_off")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ident[f] for f, _ in found])), pa.array(np.concatenate([np.full(f.sum(), why) for f, why in found]), pa.string())], ["row_seq", "reason"])
 
     return run
 
 
-def far_off(values: DataFrame, reach: int = 100, least: int = 8, floor: float = 0.5, limit: float = 5.0, block: int = 4096) -> DataFrame:
-    """row_seq of values far outside what their source shows around them. values: box, shard, t, row_seq, num.
+def judged(ranked: DataFrame, reach: int = 100, limit: float = 4.5, block: int = 4096, **how: float) -> DataFrame:
+    """row_seq, reason of the numbers of ranked (box, rank, total, row_seq, num, kind). rank: how many usual numbers of the box are before.
 
-    A source's values are numbered in time order (rank within the shard, plus a prefix sum over shards) and
-    cut into blocks of equal number, each with reach neighbours of the next blocks, so that windows are as
-    of the whole source and a source of any size is spread. Sources of fewer than least + 1 values aren't judged.
+    A box of any size is spread: it is cut into equal blocks of about `block` usual numbers, each with `reach` neighbours from the blocks before
+    and after, and what is usual is told per block (a box of up to 1.5 blocks is one).
     """
-    inner = Window.partitionBy("box", "shard").orderBy("t", "row_seq")
-    sums = values.groupBy("box", "shard").agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy("box").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("base", F.coalesce(F.sum("c").over(upto), F.lit(0))).withColumn("total", F.sum("c").over(Window.partitionBy("box")))
-    ranked = values.withColumn("i", F.row_number().over(inner) - 1).join(sums.select("box", "shard", "base", "total"), ["box", "shard"])
-    r = (F.col("base") + F.col("i")).alias("rank")
-    ranked = ranked.select("box", "row_seq", "num", "total", r)
-    home = F.floor(F.col("rank") / block)
-    into = F.col("rank") % block
-    blocks = F.array(home, F.when((into < reach) & (home > 0), home - 1), F.when((into >= block - reach) & ((home + 1) * block < F.col("total")), home + 1))
-    dealt = ranked.withColumn("block", F.explode(F.filter(blocks, lambda b: b.isNotNull()))).withColumn("own", F.col("block") == home)
-    ordered = dealt.repartition("box", "block").sortWithinPartitions("box", "block", "rank")
-    return arrow_map(ordered, judge(reach, least, floor, limit), "row_seq long")
-
-
-def strange_readings(readings: DataFrame, lowest: float = 0.0, highest: float = 400.0, tolerance: float = 0.5, least_stuck: int = 20, gap_s: int = 600) -> DataFrame:
+    blocks = F.greatest(F.lit(1), F.round(F.col("total") / block).cast("long"))
+    of = lambda rank: F.floor(F.greatest(F.lit(0), F.least(rank, F.col("total") - 1)) * blocks / F.col("total"))
+    home = F.when(F.col("total") > 0, of(F.col("rank"))).otherwise(F.lit(0))
+    usual = (F.col("kind") == USUAL) & (F.col("total") > 0)
+    all_blocks = F.when(usual, F.array_distinct(F.array(home, of(F.col("rank") - reach), of(F.col("rank") + reach)))).otherwise(F.array(home))
+    dealt = ranked.withColumn("block", F.explode(all_blocks)).withColumn("own", F.col("block") == home)
+    ordered = dealt.select("box", "block", "rank", "row_seq", "num", "kind", "own").repartition("box", "block").sortWithinPartitions("box", "block", "rank", "row_seq")
+    return arrow_map(ordered, judge(partial(hampel, reach=reach, **how), limit), "row_seq long, reason string")
+
+
+def strange_readings(readings: DataFrame, lowest: float = 0.0, highest: float = 400.0, tolerance: float = 0.5, least_stuck: int = 20, gap_s: int = 600, limit: float = 4.5) -> DataFrame:
     """row_seq, reason (bounds, stuck or far_off) of readings that count; a reading can have several reasons.
 
     bounds: below lowest or above highest. stuck: in a run of least_stuck or more successive non-zero numbers
-    of a ride, each within tolerance of the next. far_off: see far_off(); bounds and stuck values are no part of
-    what is usual, zeros neither. Text that is no number, nulls and copies don't count; a reading
-    without row_seq can't be named and is left out. No rows give none.
+    of a ride, each within tolerance of the next. far_off: more than `limit` usual deviations from the usual level, see
+    hampel(); bounds and stuck values are no part of what is usual, zeros neither. Text that is no number, nulls and
+    copies don't count; a reading without row_seq can't be named and is left out. No rows give none.
+
+    Readings are shuffled once, by box and stretch of time; a state machine goes over each stretch and marks its numbers.
+    One slim row per stretch tells which runs at its border are stuck and how many usual numbers came before; with these, the numbers are
+    ranked and judged in blocks. The marked numbers (not 0) are written once, as both ways read them.
     """
     gap = gap_s * SECOND
-    rows = sharded(usable(readings), gap)
-    alike = Alike(tolerance=tolerance, gap_us=None, least=least_stuck, lowest=0.0, absolute=True, ids=True)
-    items = rows.select(F.col("box").alias("entity"), "shard", "t", F.col("t").alias("t_end"), F.col("row_seq").alias("id"), F.col("num").isNotNull().alias("item"), F.col("num").alias("v"))
-    stuck = cut(joined(pieces(items, alike, copies=True), alike, gap, 1).select(F.explode("ids").alias("row_seq")).where(F.col("row_seq") != NO_ID))
-    numbers = dedup(rows, ("num",)).where((F.col("num") != 0) & F.col("row_seq").isNotNull())
-    numbers = cut(numbers.join(stuck.withColumn("stuck", F.lit(True)), "row_seq", "left"))
-    bad = (F.col("num") < lowest) | (F.col("num") > highest)
-    usual = numbers.where(~bad & F.col("stuck").isNull()).select("box", "shard", "t", "row_seq", "num")
-    return (
-        numbers.where(bad).select("row_seq", F.lit("bounds").alias("reason"))
-        .unionByName(stuck.select("row_seq", F.lit("stuck").alias("reason")))
-        .unionByName(far_off(usual).select("row_seq", F.lit("far_off").alias("reason")))
+    rows = sharded(usable(readings), gap).select("box", "shard", "t", F.coalesce("row_seq", F.lit(NO_ID)).alias("row_seq"), "num")
+    alike = Alike(tolerance=tolerance, gap_us=None, least=least_stuck, lowest=0.0, absolute=True)
+    ordered = rows.repartition("box", "shard").sortWithinPartitions("box", "shard", "t", "row_seq", "num")
+    shards = cut(arrow_map(ordered, look_through(alike, lowest, highest), NUMBERS))
+    slim = rides(shards.drop("numbers"), gap, 1)
+    chain = chained(slim, alike, "box").withColumn("stuck", F.sum("n").over(Window.partitionBy("box", "chain")) >= least_stuck)
+    edges = chain.groupBy("box", "shard").agg(F.bool_or(F.col("stuck") & (F.col("at") == 0)).alias("head_stuck"), F.bool_or(F.col("stuck") & (F.col("at") == 1)).alias("tail_stuck"))
+    flagged = slim.select("box", "shard", "sure", "in_head", "in_tail").join(edges, ["box", "shard"], "left")
+    lost = lambda c: F.coalesce(F.col(c), F.lit(False))
+    usual = F.col("sure") + F.when(lost("head_stuck"), 0).otherwise(F.col("in_head")) + F.when(lost("tail_stuck"), 0).otherwise(F.col("in_tail"))
+    upto = Window.partitionBy("box").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    counted = flagged.withColumn("c", usual).select(
+        "box", "shard", lost("head_stuck").alias("head_stuck"), lost("tail_stuck").alias("tail_stuck"), F.coalesce(F.sum("c").over(upto), F.lit(0)).alias("base"), F.sum("c").over(Window.partitionBy("box")).alias("total")
     )
+    both = shards.select("box", "shard", "numbers").where(F.size("numbers") > 0).join(counted, ["box", "shard"])
+    edge = lambda k, bit, stuck: F.when(k.bitwiseAND(F.lit(bit)) > 0, k.bitwiseAND(F.lit(BAD)).bitwiseOR(F.when(F.col(stuck), F.lit(STUCK)).otherwise(F.lit(0)))).otherwise(k)
+    settled = F.transform("numbers", lambda x: F.struct(x["row_seq"].alias("row_seq"), x["num"].alias("num"), edge(edge(x["kind"], HEAD, "head_stuck"), TAIL, "tail_stuck").alias("kind")))
+    each = both.withColumn("numbers", settled).select("box", "shard", "base", "total", F.posexplode("numbers").alias("i", "x")).select("box", "shard", "base", "total", "i", "x.*")
+    # of a stretch of ten minutes, so a window is small
+    before = Window.partitionBy("box", "shard").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.col("base") + F.coalesce(F.sum((F.col("kind") == USUAL).cast("long")).over(before), F.lit(0))
+    return judged(each.withColumn("rank", rank).select("box", "rank", "total", "row_seq", "num", "kind"), limit=limit)
 
 
-def ordinary_limit(measures: DataFrame, times: float) -> DataFrame:
-    """box, lowest_far: the lowest value at least `times` the next lower one of its box, at or above the box's median.
+def rate_bins(m: Column, per_doubling: int) -> Column:
+    """A bin of a value >= 0: per_doubling of them to each doubling, 0 in one of its own."""
+    return F.when(m > 0, F.floor(F.log2(m) * per_doubling)).otherwise(F.lit(-(1 << 40)))
 
-    measures: box, m (not negative). Values are counted into bins of a factor of 2 first, as no gap of a factor
-    of `times` > 2 is inside one, so the scan per box is over bins, not rows. Boxes without such a gap don't come out.
+
+def ordinary_limits(q: DataFrame, times: float, run_floor: float, per_doubling: int = 8) -> DataFrame:
+    """box, high_run (highest run below run_floor), far_rate (the lowest far-off rate), null if there is none.
+
+    q: box, run, rate, wrong_run. Rates are those of rides whose run is ordinary. The screen is a Hampel filter: what is within one usual deviation above
+    the box's median is ordinary for certain, as a value `times` (> 2.5) the highest ordinary one can't be; both come from a histogram
+    whose bins are narrow. Above the screen the first gap of the factor parts ordinary rates from far-off ones, which no bin hides. So a box's
+    rides are never brought together: what is ordered per box are its bins, a few hundred at most.
     """
-    bins = measures.withColumn("bin", F.when(F.col("m") > 0, F.floor(F.log2("m"))).otherwise(F.lit(-2000)))
-    per = bins.groupBy("box", "bin").agg(F.min("m").alias("low"), F.max("m").alias("high"))
-    usual = measures.groupBy("box").agg(F.percentile_approx("m", 0.5, 10000).alias("usual"))
-    below = F.lag("high").over(Window.partitionBy("box").orderBy("bin"))
-    gaps = per.withColumn("below", below).join(usual, "box")
-    far = (F.col("below") > 0) & (F.col("below") >= F.col("usual")) & (F.col("low") >= times * F.col("below"))
-    return gaps.where(far).groupBy("box").agg(F.min("low").alias("lowest_far"))
+    run = F.when(~F.col("wrong_run") & (F.col("run") < run_floor), F.col("run"))
+    plain = F.when((F.col("rate") >= 0) & (F.col("wrong_run") | F.col("run").isNull() | (F.col("run") < run_floor)), F.col("rate"))
+    per = q.select("box", run.alias("run"), plain.alias("m"), rate_bins(plain, per_doubling).alias("bin")).groupBy("box", "bin").agg(
+        F.max("run").alias("run"), F.count("m").alias("c"), F.min("m").alias("low"), F.max("m").alias("high")
+    )
+    box = Window.partitionBy("box")
+    median = lambda c: F.min(F.when(F.col("upto") * 2 >= F.col("all"), F.col(c))).over(box)
+    cumulated = lambda df, by: df.withColumn("upto", F.sum("c").over(box.orderBy(by).rowsBetween(Window.unboundedPreceding, 0)))
+    b = per.withColumn("high_run", F.max("run").over(box)).withColumn("all", F.sum("c").over(box))
+    b = cumulated(b, "high").withColumn("middle", median("high")).withColumn("off", F.abs(F.col("high") - F.col("middle")))
+    b = cumulated(b, "off").withColumn("screen", F.col("middle") + SCALE * median("off"))
+    below = F.lag("high").over(box.orderBy("high"))
+    far = (F.col("c") > 0) & (below > 0) & (F.col("low") >= times * below) & (F.col("low") > F.col("screen"))
+    return b.withColumn("far_rate", F.when(far, F.col("low"))).groupBy("box").agg(F.first("high_run").alias("high_run"), F.min("far_rate").alias("far_rate"))
 
 
 def strange_rides(quality: DataFrame, times: float = 3.0, run_floor: float = 25.0) -> DataFrame:
     """traj_id, reason of rides with an impossible or far-off longest_nonzero_run or raw_per_km.
 
-    Impossible: negative, or a run above n_points. Far off: at least `times` the highest ordinary value of the box;
-    ordinary values reach from the box's median up to the first gap of that factor, and ordinary runs stay
-    below run_floor. Rides with a strange run aren't used for the ordinary rate. Null and NaN measures,
-    and rows without traj_id, are not flagged; a null box is a box of its own; repeated rows count once.
+    Impossible: negative, or a run above n_points. Far off: at least `times` the highest ordinary value of the box, see
+    ordinary_limits(). Ordinary runs stay below run_floor, so the highest of those below is the measure for the others (run_floor if a
+    box has none); rides of longer runs don't count for the ordinary rate. Null and NaN measures, and rows without traj_id,
+    are not flagged; a null box is a box of its own; repeated rows count once.
     """
     q = quality.where(F.col("traj_id").isNotNull()).select(
         "traj_id", F.coalesce("boxId", F.lit("")).alias("box"), F.col("longest_nonzero_run").cast("double").alias("run"), F.col("n_points").alias("n"), no_nan(F.col("raw_per_km").cast("double")).alias("rate")
     ).distinct()
-    wrong_run = F.coalesce((F.col("run") < 0) | (F.col("run") > F.col("n")), F.lit(False))
-    small = q.where(~wrong_run & F.col("run").isNotNull() & (F.col("run") < run_floor)).groupBy("box").agg(F.max("run").alias("high_run"))
-    limits = ordinary_limit(q.where(~wrong_run & (F.col("run") < run_floor)).select("box", F.col("run").alias("m")), times)
-    q = q.withColumn("wrong_run", wrong_run).join(small, "box", "left").join(limits.withColumnRenamed("lowest_far", "far_run"), "box", "left")
-    cap = F.least(F.greatest(times * F.col("high_run"), F.lit(run_floor)), F.coalesce("far_run", F.lit(float("inf"))))
-    q = q.withColumn("far", F.coalesce(~F.col("wrong_run") & (F.col("run") >= F.coalesce(cap, F.lit(times * run_floor))), F.lit(False)))
-    plain = q.where(~F.col("far") & (F.col("rate") >= 0)).select("box", F.col("rate").alias("m"))
-    q = q.join(ordinary_limit(plain, times).withColumnRenamed("lowest_far", "far_rate"), "box", "left")
+    q = q.withColumn("wrong_run", F.coalesce((F.col("run") < 0) | (F.col("run") > F.col("n")), F.lit(False)))
+    # a box may have a third of all rides: AQE splits its part of this join
+    q = q.join(ordinary_limits(q, times, run_floor), "box", "left")
+    far_run = F.greatest(F.lit(run_floor), times * F.coalesce("high_run", F.lit(run_floor)))
     reasons = F.array_compact(
         F.array(
             F.when(F.col("wrong_run"), F.lit("run_impossible")),
-            F.when(F.col("far"), F.lit("run_far_off")),
+            F.when(~F.col("wrong_run") & (F.col("run") >= far_run), F.lit("run_far_off")),
             F.when(F.col("rate") < 0, F.lit("rate_impossible")),
             F.when(F.col("rate") >= F.col("far_rate"), F.lit("rate_far_off")),
         )

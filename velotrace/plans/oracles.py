@@ -162,20 +162,19 @@ nu AS (SELECT * FROM rd1 WHERE v IS NOT NULL),
 sk0 AS (SELECT *, CASE WHEN v <> 0 AND lag(v) OVER w <> 0 AND abs(v - lag(v) OVER w) <= 0.5 THEN 0 ELSE 1 END AS s FROM nu WINDOW w AS (PARTITION BY boxId, ride ORDER BY t)),
 sk1 AS (SELECT *, sum(s) OVER (PARTITION BY boxId, ride ORDER BY t) AS run FROM sk0),
 sk AS (SELECT *, v <> 0 AND count(*) OVER (PARTITION BY boxId, ride, run) >= 20 AS stuck FROM sk1),
-us AS (SELECT boxId, row_seq, t, v FROM sk WHERE v <> 0 AND v BETWEEN 0 AND 400 AND NOT stuck),
-wi AS (SELECT *, count(*) OVER (PARTITION BY boxId) AS n, list(v) OVER (PARTITION BY boxId ORDER BY t, row_seq ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) AS a, list(v) OVER (PARTITION BY boxId ORDER BY t, row_seq ROWS BETWEEN 1 FOLLOWING AND 100 FOLLOWING) AS b FROM us),
-me AS (SELECT *, coalesce(len(a), 0) >= 50 AS fa, coalesce(len(b), 0) >= 50 AS fb, list_aggregate(a, 'median') AS ma, list_aggregate(b, 'median') AS mb, list_concat(coalesce(a, []), coalesce(b, [])) AS c FROM wi),
-mc AS (SELECT *, list_aggregate(c, 'median') AS m FROM me),
-de AS (SELECT *, CASE WHEN fa THEN list_aggregate(list_transform(a, lambda z: abs(z - ma)), 'median') END AS da, CASE WHEN fb THEN list_aggregate(list_transform(b, lambda z: abs(z - mb)), 'median') END AS db,
-  CASE WHEN NOT fa AND NOT fb AND n > 8 THEN list_aggregate(list_transform(c, lambda z: abs(z - m)), 'median') END AS dc FROM mc),
-fa AS (SELECT row_seq FROM de WHERE CASE WHEN fa OR fb THEN least(CASE WHEN fa THEN abs(v - ma) END, CASE WHEN fb THEN abs(v - mb) END) / greatest(1.4826 * least(da, db), 0.5) ELSE abs(v - m) / greatest(1.4826 * dc, 0.5) END > 5),
+us AS (SELECT boxId, row_seq, v, row_number() OVER (PARTITION BY boxId ORDER BY t, row_seq) AS i, count(*) OVER (PARTITION BY boxId) AS n FROM sk WHERE v <> 0 AND v BETWEEN 0 AND 400 AND NOT stuck),
+lv AS (SELECT us.*, k, i * 40 > n * k AS late FROM us, (SELECT 0 AS k UNION ALL SELECT unnest(range(4, 37))) WHERE n > 8),
+le AS (SELECT *, median(v) OVER (PARTITION BY boxId, k, late) AS m FROM lv),
+co AS (SELECT boxId, k, sum(abs(v - m)) AS cost FROM le GROUP BY ALL),
+ch AS (SELECT boxId, CASE WHEN min(cost) < 0.85 * max(cost) FILTER (k = 0) THEN arg_min(k, (cost, k)) ELSE 0 END AS k FROM co GROUP BY boxId),
+un AS (SELECT boxId, median(abs(v - m)) AS mad, min(m) AS low, max(m) AS high FROM le JOIN ch USING (boxId, k) GROUP BY boxId),
+fa AS (SELECT row_seq FROM us JOIN un USING (boxId) WHERE least(abs(v - low), abs(v - high)) > 4.75 * greatest(1.4826 * mad, 0.5)),
 tq AS (SELECT DISTINCT traj_id, coalesce(boxId, '') AS box, longest_nonzero_run AS run, n_points AS n, CASE WHEN isnan(raw_per_km) THEN NULL ELSE raw_per_km END AS rate FROM trajectory_quality WHERE traj_id IS NOT NULL),
 tw AS (SELECT *, coalesce(run < 0 OR run > n, FALSE) AS wrong FROM tq),
-ru AS (SELECT box, run, lag(run) OVER (PARTITION BY box ORDER BY run) AS below, quantile_disc(run, 0.5) OVER (PARTITION BY box) AS usual FROM tw WHERE NOT wrong AND run < 25),
-rl AS (SELECT box, max(run) AS high, min(run) FILTER (below > 0 AND below >= usual AND run >= 3 * below) AS far FROM ru GROUP BY box),
-tf AS (SELECT tw.*, coalesce(NOT wrong AND run >= CASE WHEN high IS NULL THEN 75 ELSE least(greatest(3 * high, 25), coalesce(far, 1e300)) END, FALSE) AS far FROM tw LEFT JOIN rl USING (box)),
-ra AS (SELECT box, rate, lag(rate) OVER (PARTITION BY box ORDER BY rate) AS below, quantile_disc(rate, 0.5) OVER (PARTITION BY box) AS usual FROM tf WHERE NOT far AND rate >= 0),
-rr AS (SELECT box, min(rate) AS far_rate FROM ra WHERE below > 0 AND below >= usual AND rate >= 3 * below GROUP BY box),
+rl AS (SELECT box, max(run) AS high FROM tw WHERE NOT wrong AND run < 25 GROUP BY box),
+tf AS (SELECT tw.*, coalesce(NOT wrong AND run >= 25 AND run >= 3 * coalesce(high, 25), FALSE) AS far FROM tw LEFT JOIN rl USING (box)),
+ra AS (SELECT box, rate, lag(rate) OVER (PARTITION BY box ORDER BY rate) AS below, percent_rank() OVER (PARTITION BY box ORDER BY rate) AS place FROM tw WHERE rate >= 0 AND (wrong OR run IS NULL OR run < 25)),
+rr AS (SELECT box, min(rate) AS far_rate FROM ra WHERE place >= 0.5 AND below > 0 AND rate >= 3 * below GROUP BY box),
 fo AS (SELECT 'reading' AS kind, row_seq::VARCHAR AS record_id, 'bounds' AS reason FROM one WHERE v < 0 OR v > 400 UNION ALL SELECT 'reading', row_seq::VARCHAR, 'stuck' FROM sk WHERE stuck UNION ALL SELECT 'reading', row_seq::VARCHAR, 'far_off' FROM fa
   UNION ALL SELECT 'trajectory', traj_id, 'run_impossible' FROM tf WHERE wrong UNION ALL SELECT 'trajectory', traj_id, 'run_far_off' FROM tf WHERE far
   UNION ALL SELECT 'trajectory', traj_id, 'rate_impossible' FROM tf WHERE rate < 0 UNION ALL SELECT 'trajectory', traj_id, 'rate_far_off' FROM tf JOIN rr USING (box) WHERE rate >= far_rate)"""
