@@ -174,7 +174,7 @@ tw AS (SELECT *, coalesce(run < 0 OR run > n, FALSE) AS wrong FROM tq),
 rl AS (SELECT box, max(run) AS high FROM tw WHERE NOT wrong AND run < 25 GROUP BY box),
 tf AS (SELECT tw.*, coalesce(NOT wrong AND run >= 25 AND run >= 3 * coalesce(high, 25), FALSE) AS far FROM tw LEFT JOIN rl USING (box)),
 ra AS (SELECT box, rate, lag(rate) OVER (PARTITION BY box ORDER BY rate) AS below, percent_rank() OVER (PARTITION BY box ORDER BY rate) AS place FROM tw WHERE rate >= 0 AND (wrong OR run IS NULL OR run < 25)),
-rr AS (SELECT box, min(rate) AS far_rate FROM ra WHERE place >= 0.5 AND below > 0 AND rate >= 3 * below GROUP BY box),
+rr AS (SELECT box, min(rate) AS far_rate FROM ra WHERE place > 0.5 AND below > 0 AND rate >= 3 * below GROUP BY box),
 fo AS (SELECT 'reading' AS kind, row_seq::VARCHAR AS record_id, 'bounds' AS reason FROM one WHERE v < 0 OR v > 400 UNION ALL SELECT 'reading', row_seq::VARCHAR, 'stuck' FROM sk WHERE stuck UNION ALL SELECT 'reading', row_seq::VARCHAR, 'far_off' FROM fa
   UNION ALL SELECT 'trajectory', traj_id, 'run_impossible' FROM tf WHERE wrong UNION ALL SELECT 'trajectory', traj_id, 'run_far_off' FROM tf WHERE far
   UNION ALL SELECT 'trajectory', traj_id, 'rate_impossible' FROM tf WHERE rate < 0 UNION ALL SELECT 'trajectory', traj_id, 'rate_far_off' FROM tf JOIN rr USING (box) WHERE rate >= far_rate)"""
