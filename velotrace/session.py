@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -33,12 +34,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder of the session (spark.checkpoint.dir).
 
-    A folder of our own is set only where the session has none, as in local tests.
+    A folder of our own is set only where the session has none and all runs on this machine, as in local tests; on a
+    cluster the executors don't share a local folder, so that is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="velotrace-"))
     return df.checkpoint(eager=True)
 
