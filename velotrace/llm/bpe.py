@@ -139,12 +139,27 @@ def vocabulary(spark: SparkSession, folder: str = TOKENIZERS, name: str = VOCABU
     return spark.sparkContext.broadcast(path.read_bytes())
 
 
+#: Splits of a text table of this many bytes in the mean are dealt out anew, as encoding is work per text.
+LARGEST_SPLIT = 256 << 20
+#: Spark's estimate of a size of which nothing is known.
+UNKNOWN = (1 << 63) - 1
+
+
 def dealt(documents: DataFrame, *cols: Column | str) -> DataFrame:
-    """The columns, dealt out evenly by a hash of them, as files may have few row groups and encoding is work per text."""
-    spark = documents.sparkSession
-    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """The columns, as the table is split; texts move only if its splits are fewer than the cores or too large.
+
+    Then they are dealt out evenly by a hash, into twice as many parts as there are cores, or more by the size of the input.
+    """
     df = documents.select(*cols)
-    return df.repartition(parts, F.xxhash64(*df.columns))
+    plan = df._jdf.queryExecution()  # noqa: SLF001
+    if "Exchange" in plan.executedPlan().toString():
+        return df  # comes from a shuffle, whose parts follow its size
+    size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
+    size = 0 if size >= UNKNOWN else size
+    cores, splits = documents.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if splits >= cores and size <= splits * LARGEST_SPLIT:
+        return df
+    return df.repartition(max(2 * cores, 2 * size // LARGEST_SPLIT), F.xxhash64(*df.columns))
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
