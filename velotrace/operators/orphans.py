@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from velotrace.operators.skew import hot_keys, spread
+from velotrace.operators.skew import spread
 from velotrace.session import arrow_map
 
 NEVER = (1 << 63) - 1
@@ -26,34 +27,47 @@ def range_of(key: Column, ranges: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key), 64 - int(math.log2(ranges))).cast("long") if ranges > 1 else F.lit(0).cast("long")
 
 
+def looked_up(parents: dict[str, np.ndarray | pa.Array], hashes: np.ndarray, keys: pa.Array, at: np.ndarray) -> np.ndarray:
+    """Which of the keys are parents that are there at their time: a binary search for the hash, then the text of those of equal hash is compared."""
+    found = np.zeros(len(hashes), bool)
+    held = parents["hash"]
+    place = np.searchsorted(held, hashes)
+    left = np.flatnonzero(place < len(held))
+    left = left[held[place[left]] == hashes[left]]
+    while len(left):
+        where = place[left]
+        same = pc.equal(parents["key"].take(pa.array(where)), keys.take(pa.array(left))).to_numpy(zero_copy_only=False)
+        hit, spot = left[same], where[same]
+        found[hit] = (parents["since"][spot] <= at[hit]) & (parents["gone"][spot] > at[hit])
+        # another text of the same hash stands next
+        left = left[~same]
+        place[left] += 1
+        left = left[place[left] < len(held)]
+        left = left[held[place[left]] == hashes[left]]
+    return found
+
+
 def probe() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by (part, salt, side, key), parents (side 0) first: misses among the references (side 1)."""
+    """Rows sorted by (part, salt, side, hash), parents (side 0) first: misses among the references (side 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[tuple, list[np.ndarray], list[np.ndarray], list[np.ndarray]] | None = None
+        group, waiting, parents = None, [], None
         for batch in batches:
             part, salt, side = (batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in ("part", "salt", "side"))
             edge = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (salt[1:] != salt[:-1]) | (side[1:] != side[:-1])])
             for a, b in zip(edge, np.r_[edge[1:], len(part)], strict=True):
-                group, rows = (int(part[a]), int(salt[a])), batch.slice(a, b - a)
-                key = rows.column("key").to_numpy(zero_copy_only=False).astype(object)
-                if held is None or held[0] != group:
-                    held = (group, [], [], [])
+                rows = batch.slice(a, b - a)
+                if group != (int(part[a]), int(salt[a])):
+                    group, waiting, parents = (int(part[a]), int(salt[a])), [], None
                 if side[a] == 0:
-                    held[1].append(key)
-                    held[2].append(rows.column("since").to_numpy(zero_copy_only=False))
-                    held[3].append(rows.column("gone").to_numpy(zero_copy_only=False))
+                    waiting.append(rows.select(["hash", "key", "since", "gone"]))
                     continue
-                if len(held[1]) > 1:
-                    held = (group, *([np.concatenate(x)] for x in held[1:]))
-                at = rows.column("at").to_numpy(zero_copy_only=False)
-                found = np.zeros(len(key), bool)
-                if held[1]:
-                    keys, since, gone = (x[0] for x in held[1:])
-                    i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    found = (keys[i] == key) & (since[i] <= at) & (gone[i] > at)
-                miss = pa.array(~found)
-                yield pa.RecordBatch.from_arrays([rows.column("ref").filter(miss)], ["ref"])
+                if parents is None:
+                    table = pa.Table.from_batches(waiting, rows.select(["hash", "key", "since", "gone"]).schema).combine_chunks()
+                    parents = {k: table[k].combine_chunks() if k == "key" else table[k].to_numpy() for k in table.column_names}
+                number = lambda k, r=rows: r.column(k).to_numpy(zero_copy_only=False)
+                missing = pa.array(~looked_up(parents, number("hash"), rows.column("key"), number("at")))
+                yield pa.RecordBatch.from_arrays([rows.column("ref").filter(missing)], ["ref"])
 
     return run
 
@@ -66,20 +80,21 @@ def orphans(references: DataFrame, parents: DataFrame, keys_per_range: int = 200
     hold. Null keys are no references and no parents; a key without since (null) is never there.
 
     Both sides are partitioned by ranges of hashed keys, whose number follows the number of parents. A
-    range's parents arrive sorted and become arrays; batches of references are looked up in them by
-    binary search. Ranges with very many references (a hot key) are split, their parents repeated.
+    range's parents arrive sorted by hash and become arrays; batches of references are looked up in them by
+    binary search, and texts are compared only where hashes are equal. Ranges with very many references (a hot key) are split, their parents repeated.
     """
     one = parents.where(F.col("key").isNotNull()).groupBy("key").agg(F.coalesce(F.min("since"), F.lit(NEVER)).alias("since"), F.coalesce(F.min("gone"), F.lit(NEVER)).alias("gone"))
     ranges = ranges_for(parents, keys_per_range)
     left = references.where(F.col("key").isNotNull()).select("ref", "key", "at", range_of(F.col("key"), ranges).alias("part"))
     right = one.withColumn("part", range_of(F.col("key"), ranges))
-    left, right = spread(left, right, hot_keys(left.select(F.col("part").alias("key")), references_per_split), "part", F.to_json("ref"))
+    left, right = spread(left, right, "part", F.to_json("ref"), references_per_split)
     kind = left.schema["ref"].dataType
-    both = right.select("part", "salt", F.lit(0).alias("side"), "key", "since", "gone", F.lit(None).cast("long").alias("at"), F.lit(None).cast(kind).alias("ref")).unionByName(
-        left.select("part", "salt", F.lit(1).alias("side"), "key", F.lit(None).cast("long").alias("since"), F.lit(None).cast("long").alias("gone"), "at", "ref")
+    h = F.xxhash64("key").alias("hash")
+    both = right.select("part", "salt", F.lit(0).alias("side"), h, "key", "since", "gone", F.lit(None).cast("long").alias("at"), F.lit(None).cast(kind).alias("ref")).unionByName(
+        left.select("part", "salt", F.lit(1).alias("side"), h, "key", F.lit(None).cast("long").alias("since"), F.lit(None).cast("long").alias("gone"), "at", "ref")
     )
     filled = both.fillna({"since": 0, "gone": 0, "at": 0})
-    ordered = filled.repartition("part", "salt").sortWithinPartitions("part", "salt", "side", "key")
+    ordered = filled.repartition("part", "salt").sortWithinPartitions("part", "salt", "side", "hash")
     return arrow_map(ordered, probe(), f"ref {kind.simpleString()}")
 
 
@@ -111,6 +126,9 @@ def event_references(events: DataFrame) -> DataFrame:
     ).where(F.col("r.key").isNotNull()).select("r.ref", "r.key", "at")
 
 
+REF_TABLES = {"closest_point_id": "matched_points", "edge": "muenster_edges_classified", "u": "network_nodes", "v": "network_nodes"}
+
+
 def event_orphans(events: DataFrame, points: DataFrame, retracted: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """event_uid, ref_field, period of the dangling references of matched events.
 
@@ -119,6 +137,10 @@ def event_orphans(events: DataFrame, points: DataFrame, retracted: DataFrame, no
     edge is only looked for if both its nodes are there. An event without loaded_at is judged after
     all loads and retractions. Repeated rows count once; empty tables are tables without parents.
     """
+    return _dangling(event_references(events), points, retracted, nodes, edges)
+
+
+def _dangling(references: DataFrame, points: DataFrame, retracted: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     at = lambda key, since, gone=None: (key.alias("key"), since.cast("long").alias("since"), (F.lit(None) if gone is None else gone).cast("long").alias("gone"))
     p = lambda c: F.concat(F.lit("p:"), F.col(c))
     n = F.concat(F.lit("n:"), F.col("node_id").cast("string"))
@@ -129,14 +151,22 @@ def event_orphans(events: DataFrame, points: DataFrame, retracted: DataFrame, no
         .unionByName(nodes.select(*at(n, F.lit(-NEVER))))
         .unionByName(edges.select(*at(e, F.lit(-NEVER))))
     )
-    missing = orphans(event_references(events), parents).select("ref.*")
+    missing = orphans(references, parents).select("ref.*")
     # an edge between nodes of which one is missing is no finding of its own
     per_event = Window.partitionBy("uid")
     ends = F.max(F.col("ref_field").isin("u", "v").cast("int")).over(per_event)
     return missing.withColumn("_ends", ends).where((F.col("ref_field") != "edge") | (F.col("_ends") == 0)).drop("_ends", "uid")
 
 
-def orphan_report(found: DataFrame) -> DataFrame:
-    """Dangling references per referred table, field and day of the event's start (null if it has none)."""
-    table = F.when(F.col("ref_field") == "closest_point_id", "matched_points").when(F.col("ref_field") == "edge", "muenster_edges_classified").otherwise("network_nodes")
-    return found.groupBy(table.alias("ref_table"), "ref_field", "period").agg(F.count(F.lit(1)).alias("n_orphans"))
+def orphan_report(found: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """Per referred table, field and day of the event's start (null if it has none): dangling references and, if all references
+    (event_references()) are given, how many there are and the share that dangles. Periods without a dangling one come out too then, with 0."""
+    table = F.col("ref_field")
+    for field, name in REF_TABLES.items():
+        table = F.when(F.col("ref_field") == field, F.lit(name)).otherwise(table)
+    keys = [table.alias("ref_table"), "ref_field", "period"]
+    if references is None:
+        return found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_orphans"))
+    both = references.select("ref.ref_field", "ref.period", F.lit(1).alias("all"), F.lit(0).alias("lost")).unionByName(found.select("ref_field", "period", F.lit(0).alias("all"), F.lit(1).alias("lost")))
+    g = both.groupBy(*keys).agg(F.sum("all").alias("n_references"), F.sum("lost").alias("n_orphans"))
+    return g.withColumn("orphan_share", F.col("n_orphans") / F.col("n_references"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from velotrace.functions.geo import distance, point_segment_distance, with_utm32
 from velotrace.operators.shards import SECOND, dedup, sharded, usable
-from velotrace.operators.skew import hot_keys, spread
+from velotrace.operators.skew import is_small, joined_by
 
 
 #: Cell of places that are not known.
@@ -45,7 +45,7 @@ def binned_edges(regions: DataFrame, cell_m: float) -> DataFrame:
     return cells.select(cell_key(F.col("stretch"), F.col("strip")).alias("cell"), "region", "ax", "ay", "bx", "by")
 
 
-def points_in_regions(points: DataFrame, regions: DataFrame, cell_m: float = 40.0, rows_per_split: int = 200_000, counted: DataFrame | None = None) -> DataFrame:
+def points_in_regions(points: DataFrame, regions: DataFrame, cell_m: float = 40.0, rows_per_split: int = 200_000) -> DataFrame:
     """(point, x, y, region) for each point inside a region or on its boundary.
 
     points: (point, x, y), point unique; regions: (region, ring). The ray from a point runs to growing x. An edge
@@ -54,23 +54,17 @@ def points_in_regions(points: DataFrame, regions: DataFrame, cell_m: float = 40.
     slanting edge itself counts as inside; points on horizontal edges are in by the half-open rule at
     a lower edge and out at an upper one, so callers who need both grow the ring a little.
 
-    Null or NaN coordinates, rings under 3 corners, null or with such corners: no rows. Hot cells are split;
-    they are found in `counted` (x, y), which may have more rows than points, where that is cheaper to make.
+    Null or NaN coordinates, rings under 3 corners, null or with such corners: no rows. Edges are broadcast if they are few enough, so that
+    points stay where they are until their crossings are summed; else both sides are shuffled by cell, hot cells split.
     """
-    edges = binned_edges(regions, cell_m)
     to = lambda c: F.floor(F.col(c) / cell_m)
     # null and NaN places need no filter: they straddle no edge
-    cell = cell_key(to("x"), to("y"))
-    hot = hot_keys((points if counted is None else counted).select(cell.alias("key")), rows_per_split)
-    placed, edges = spread(points.select("point", "x", "y", cell.alias("cell")), edges, hot, "cell", F.col("point"))
-    p, e = placed.alias("p"), edges.alias("e")
-    straddles = (F.least("e.ay", "e.by") <= F.col("p.y")) & (F.col("p.y") < F.greatest("e.ay", "e.by"))
-    at = F.col("e.ax") + (F.col("p.y") - F.col("e.ay")) * (F.col("e.bx") - F.col("e.ax")) / (F.col("e.by") - F.col("e.ay"))
-    # merged, as sizes are underestimated after explode() and no bound for a broadcast is known
-    crossed = p.join(e.hint("merge"), (F.col("p.cell") == F.col("e.cell")) & (F.col("p.salt") == F.col("e.salt")) & straddles & (at >= F.col("p.x")))
-    parity = crossed.groupBy(F.col("p.point").alias("point"), F.col("e.region").alias("region")).agg(
-        F.count(F.lit(1)).alias("crossings"), F.max((at == F.col("p.x")).cast("int")).alias("touching"), F.first("p.x").alias("x"), F.first("p.y").alias("y")
-    )
+    placed = points.select("point", "x", "y", cell_key(to("x"), to("y")).alias("cell"))
+    straddles = (F.least("ay", "by") <= F.col("y")) & (F.col("y") < F.greatest("ay", "by"))
+    at = F.col("ax") + (F.col("y") - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
+    pairs = joined_by(placed, binned_edges(regions, cell_m), ["cell"], "cell", F.col("point"), rows_per_split)
+    crossed = pairs.where(straddles & (at >= F.col("x")))
+    parity = crossed.groupBy("point", "region").agg(F.count(F.lit(1)).alias("crossings"), F.max((at == F.col("x")).cast("int")).alias("touching"), F.first("x").alias("x"), F.first("y").alias("y"))
     return parity.where((F.col("crossings") % 2 == 1) | (F.col("touching") == 1)).select("point", "x", "y", "region")
 
 
@@ -117,7 +111,7 @@ def cut_long(parts: DataFrame, most_m: float = 250.0) -> DataFrame:
     return many.withColumns(new).drop("_n", "_i", *ends).withColumnsRenamed({f"_{c}": c for c in ends})
 
 
-def lines_near_points(points: DataFrame, lines: DataFrame, keys: list[str], reach_m: float, cell_m: float = 40.0, counted: DataFrame | None = None) -> DataFrame:
+def lines_near_points(points: DataFrame, lines: DataFrame, keys: list[str], reach_m: float, cell_m: float = 40.0) -> DataFrame:
     """(point, keys...) for each point and line at most reach_m apart, each pair once.
 
     Every segment becomes a region, the rectangle that holds its surroundings; points in these regions are
@@ -130,10 +124,10 @@ def lines_near_points(points: DataFrame, lines: DataFrame, keys: list[str], reac
     parts = parts.select(*keys, *[F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in zip(ends, ["x1", "y1", "x0", "y0"], strict=True)]).distinct()
     region = F.struct(*ends)
     regions = parts.select(*ends).distinct().select(region.alias("region"), around(*[F.col(c) for c in ends], reach_m).alias("ring"))
-    inside = points_in_regions(points, regions, cell_m, counted=counted)
+    inside = points_in_regions(points, regions, cell_m)
     r = F.col("region")
     near = inside.where(point_segment_distance(F.col("x"), F.col("y"), *[r[c] for c in ends]) <= reach_m).select("point", *[r[c].alias(c) for c in ends])
-    return near.join(parts, ends).select("point", *keys).distinct()
+    return near.join(F.broadcast(parts) if is_small(parts) else parts, ends).select("point", *keys).distinct()
 
 
 def detections(readings: DataFrame) -> DataFrame:
@@ -149,6 +143,4 @@ def edges_near_detections(readings: DataFrame, edges: DataFrame, reach_m: float
     (u, v, key) are left out; repeated edges count once. Empty tables give no rows.
     """
     ways = edges.where(F.col("u").isNotNull() & F.col("v").isNotNull() & F.col("key").isNotNull()).select("u", "v", F.col("key").alias("edge_key"), "geometry")
-    # hot cells are told from all readings, copies too, which needs no exchange of them
-    counted = with_utm32(usable(readings, F.col("lat"), F.col("lon")).where(F.col("num") > 0)).select("x", "y")
-    return lines_near_points(detections(readings), ways, ["u", "v", "edge_key"], reach_m, counted=counted).withColumnRenamed("point", "row_seq")
+    return lines_near_points(detections(readings), ways, ["u", "v", "edge_key"], reach_m).withColumnRenamed("point", "row_seq")

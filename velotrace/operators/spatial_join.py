@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from velotrace.functions.geo import point_segment_distance
 from velotrace.operators.regions import cell_key, cut_long, real
-from velotrace.operators.skew import hot_keys, spread
+from velotrace.operators.skew import joined_by
 
 
 def in_cells(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, cell_m: float, pad_m: float) -> DataFrame:
@@ -33,9 +33,8 @@ def segments_near_points(points: DataFrame, segments: DataFrame, reach_m: float,
     # points without a place need no filter: no distance to them is within reach
     p = points.withColumn("cell", cell_key(to("x"), to("y")))
     s = in_cells(segments.where(real("x0", "y0", "x1", "y1")), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), reach_m, reach_m)
-    p, s = spread(p, s, hot_keys(p.select(F.col("cell").alias("key")), rows_per_split), "cell", F.col("point"))
     d = point_segment_distance(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    return p.join(s.hint("merge"), ["cell", "salt"]).withColumn("distance_m", d).where(F.col("distance_m") <= reach_m).drop("cell", "salt")
+    return joined_by(p, s, ["cell"], "cell", F.col("point"), rows_per_split).withColumn("distance_m", d).where(F.col("distance_m") <= reach_m).drop("cell")
 
 
 def segment_distance(a: str, b: str) -> Column:
@@ -62,8 +61,8 @@ def nearest_line(left: DataFrame, right: DataFrame, reach_m: float) -> DataFrame
     cols = [F.col(c) for c in ends]
     a = in_cells(cut_long(left.where(real(*ends))), *cols, reach_m, 0.0)
     b = in_cells(cut_long(right.where(real(*ends))), *cols, reach_m, reach_m)
-    a, b = spread(a, b, hot_keys(a.select(F.col("cell").alias("key")), 200_000), "cell", F.xxhash64("line", *ends))
-    pairs = a.alias("a").join(b.alias("b").hint("merge"), (F.col("a.cell") == F.col("b.cell")) & (F.col("a.salt") == F.col("b.salt")))
-    near = pairs.select("a.line", "b.near", segment_distance("a", "b").alias("distance_m")).where(F.col("distance_m") <= reach_m)
+    pack = lambda df, key, name: df.select("cell", key, F.struct(*ends).alias(name))
+    pairs = joined_by(pack(a, "line", "a"), pack(b, "near", "b"), ["cell"], "cell", F.xxhash64("line", "a"))
+    near = pairs.select("line", "near", segment_distance("a", "b").alias("distance_m")).where(F.col("distance_m") <= reach_m)
     best = near.groupBy("line").agg(F.min(F.struct("distance_m", "near")).alias("best"))
     return best.select("line", F.col("best.near").alias("near"), F.col("best.distance_m").alias("distance_m"))

@@ -271,7 +271,10 @@ SELECT traj_id, boxId, boxName, start_us, end_us, n_points, round(length_km, 4)
 g AS (SELECT least(u, v) AS u, greatest(u, v) AS v, len(arg_min(geometry, (u, v, key))) AS n FROM muenster_edges_classified WHERE geometry IS NOT NULL GROUP BY 1, 2)
 SELECT traj_id, u, v, (row_number() OVER (PARTITION BY traj_id ORDER BY f, u, v))::INT AS visit, n AS n_corners FROM m JOIN g USING (u, v)""",
         "p1_found": ORPHANS + "SELECT event_uid, ref_field FROM f",
-        "p1_report": ORPHANS + "SELECT CASE ref_field WHEN 'closest_point_id' THEN 'matched_points' WHEN 'edge' THEN 'muenster_edges_classified' ELSE 'network_nodes' END AS ref_table, ref_field, strftime(\"start\" AT TIME ZONE 'UTC', '%Y-%m-%d') AS period, count(*) AS n_orphans FROM f GROUP BY ALL",
+        "p1_report": ORPHANS + """, a AS (SELECT 'closest_point_id' AS ref_field, "start" FROM e WHERE closest_point_id <> '' UNION ALL SELECT 'u', "start" FROM e WHERE u IS NOT NULL UNION ALL SELECT 'v', "start" FROM e WHERE v IS NOT NULL
+  UNION ALL SELECT 'edge', "start" FROM e WHERE u IS NOT NULL AND v IS NOT NULL),
+b AS (SELECT ref_field, "start", 1 AS r, 0 AS o FROM a UNION ALL SELECT ref_field, "start", 0, 1 FROM f)
+SELECT CASE ref_field WHEN 'closest_point_id' THEN 'matched_points' WHEN 'edge' THEN 'muenster_edges_classified' ELSE 'network_nodes' END AS ref_table, ref_field, strftime("start" AT TIME ZONE 'UTC', '%Y-%m-%d') AS period, sum(r) AS n_references, sum(o) AS n_orphans, round(sum(o) / sum(r), 9) AS orphan_share FROM b GROUP BY ALL""",
         "p2_found": pts + f""", det AS (SELECT row_seq, x, y FROM (SELECT *, row_number() OVER (PARTITION BY boxId, t ORDER BY row_seq) AS n FROM pts) WHERE n = 1 AND value > 0),
 s0 AS (SELECT DISTINCT u, v, key, unnest(list_zip(geometry[1:len(geometry) - 1], geometry[2:])) AS s FROM muenster_edges_classified WHERE geometry IS NOT NULL AND u IS NOT NULL AND v IS NOT NULL AND key IS NOT NULL),
 s1 AS (SELECT u, v, key, s[1] AS p, s[2] AS q, unnest(range(floor((least(s[1].x, s[2].x) - 16) / 100)::BIGINT, floor((greatest(s[1].x, s[2].x) + 16) / 100)::BIGINT + 1)) AS gx FROM s0)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velotrace.operators.orphans import event_orphans, orphan_report
+from velotrace.operators.orphans import event_orphans, event_references, orphan_report
 from velotrace.operators.regions import edges_near_detections
 from velotrace.operators.regular import missing_periods, regular_series
 from velotrace.operators.spikes import strange_readings, strange_rides
@@ -27,7 +27,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    return orphan_report(_orphans(spark, d))
+    return orphan_report(_orphans(spark, d), event_references(table(spark, d, "matched_events"))).withColumn("orphan_share", F.round("orphan_share", 9))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
