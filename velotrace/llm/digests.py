@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velotrace.operators.skew import hot_keys, spread
-from velotrace.session import arrow_map
+from velotrace.operators.skew import joined_by
+from velotrace.session import arrow_map, cut
 
 DELTA = 400  # at most about this many centroids; a cluster in the middle holds 1 / 250 of the values
 BUFFER = 1 << 16  # values of a group that wait before they are clustered
@@ -165,11 +165,11 @@ def certified(rows: DataFrame, value: str, groups: list[str], found: DataFrame,
     """groups..., p, n, estimate, rank_error: a second pass counts the values below and up to each estimate.
 
     rank_error: how far p is from the stretch of ranks that the estimate holds, as a share of n; 0 if it is a right percentile.
+    found has one row per group and is written once; it is broadcast if there are few groups, so that values are counted where they are.
     """
     v = F.col(value).cast("double")
     kept = rows.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))).select(*groups, key_of(groups).alias("digest_key"), v.alias("_v"))
-    left, right = spread(kept, found, hot_keys(kept.select(F.col("digest_key").alias("key")), 1_000_000), "digest_key", F.col("_v"))
-    both = left.join(right, ["digest_key", "salt"])
+    both = joined_by(kept, cut(found), ["digest_key"], "digest_key", F.col("_v"), 1_000_000)
     e = F.col("estimates")
     counts = both.groupBy("digest_key", *groups).agg(
         F.first("n").alias("n"), F.first("estimates").alias("estimates"),

@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velotrace.llm.bpe import TOKENIZERS, VOCABULARY, count_tokens
-from velotrace.operators.skew import hot_keys, spread
+from velotrace.operators.skew import joined_by
 from velotrace.session import cut
 
-#: Tables with one row per source are broadcast up to so many sources; beyond it documents are joined with split hot sources.
-BROADCAST_SOURCES = 100_000
 #: Documents of about this many are ordered in one task.
 ORDERED = 50_000
 
@@ -20,12 +18,9 @@ def unit(seed: int, ident: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), ident), 11).cast("double") + 0.5) / float(1 << 53)
 
 
-def with_plan(rows: DataFrame, plan: DataFrame, sources: int, how: str = "inner") -> DataFrame:
+def with_plan(rows: DataFrame, plan: DataFrame, how: str = "inner") -> DataFrame:
     """Join of documents with one row per source."""
-    if sources <= BROADCAST_SOURCES:
-        return rows.join(F.broadcast(plan), "source", how)
-    left, right = spread(rows, plan, hot_keys(rows.select(F.col("source").alias("key")), 500_000), "source", F.col("doc_id"))
-    return left.join(right, ["source", "salt"], how).drop("salt")
+    return joined_by(rows, plan, ["source"], "source", F.col("doc_id"), 500_000, how)
 
 
 def allotment(sizes: DataFrame, targets: DataFrame, total: int | None) -> DataFrame:
@@ -76,7 +71,6 @@ def mixed(counted: DataFrame, targets: DataFrame, total: int | None = None, seed
     usable = counted.where(F.col("source").isNotNull() & (F.col("n_tokens") > 0))
     sizes = usable.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
     plan = allotment(sizes, targets, total)
-    sources = targets.select("source").distinct().count()
     scale = inclusion_scale(usable, plan, size_power)
     plan = cut(plan.join(sizes.select("source", "docs"), "source").join(scale, "source", "left"))
     bins = max(1024, (plan.agg(F.coalesce(F.max("docs"), F.lit(0))).first()[0]) // ORDERED * 2)
@@ -84,13 +78,13 @@ def mixed(counted: DataFrame, targets: DataFrame, total: int | None = None, seed
     u = unit(seed, F.col("doc_id"))
     # odds(u) / odds(p), mapped to [0, 1): q / (1 + q)
     odd = u * (1 - p) / (u * (1 - p) + (1 - u) * p)
-    ranked = with_plan(usable.select("doc_id", "source", "n_tokens"), plan.select("source", "whole", "rest", "scale"), sources)
+    ranked = with_plan(usable.select("doc_id", "source", "n_tokens"), plan.select("source", "whole", "rest", "scale"))
     ranked = ranked.withColumn("place", F.when(F.col("rest") > 0, F.when(p >= 1, F.lit(0.0)).otherwise(odd))).withColumn("bin", F.when(F.col("place").isNotNull(), F.least(F.floor(F.col("place") * bins), F.lit(bins - 1))))
     per = ranked.where(F.col("bin").isNotNull()).groupBy("source", "bin").agg(F.sum("n_tokens").alias("sum"), F.first("rest").alias("rest"))
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     filled = per.withColumn("begin", F.coalesce(F.sum("sum").over(upto), F.lit(0))).where((F.col("begin") < F.col("rest")) & (F.col("begin") + F.col("sum") >= F.col("rest")))
     edge = filled.select("source", F.col("bin").alias("edge_bin"), "begin")
-    placed = with_plan(ranked, edge, sources, "left")
+    placed = with_plan(ranked, edge, "left")
     inside = placed.where(F.col("bin") == F.col("edge_bin"))
     order = Window.partitionBy("source").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("begin") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0))
