@@ -21,6 +21,10 @@ def trace(spark, data, **how):
     return pt.trace(pt.segment(load(spark, data), **how))
 
 
+def tours(spark, data, **how):
+    return pt.journeys(load(spark, data), **how)
+
+
 def test_projection(spark):
     df = spark.createDataFrame([(51.9607, 7.6261), (None, 7.0)], "lat double, lon double")
     a, b = df.select(*[c.alias(n) for c, n in zip(utm32(F.col("lat"), F.col("lon")), "xy", strict=True)]).collect()
@@ -77,14 +81,14 @@ def test_lone_point_has_bearing_zero(spark):
 def test_longest_run_over_cells_and_nulls(spark):
     values = ["5"] * 4 + ["x"] + ["6"] * 7 + ["0", "1"]
     data = [reading(i, 250 * i, v) for i, v in enumerate(values)]
-    assert ql.longest_runs(trace(spark, data)).first().longest_nonzero_run == 7
+    assert ql.longest_runs(tours(spark, data)).first().longest_nonzero_run == 7
 
 
 def test_quality_flags(spark):
     still = [reading(i, 0, "1" if i < 2 else "0", box="still") for i in range(5)]
     null = [reading(100 + i, i, "x" if i == 2 else "3", box="null") for i in range(5)]
     ride = [reading(200 + i, i, "9" if i in (3, 4, 9) else "0", lat=LAT + 5 * i * M_LAT, box="ride") for i in range(60)]
-    got = {r["boxId"]: r for r in dicts(ql.quality_table(ql.trajectory_stats(trace(spark, still + null + ride))))}
+    got = {r["boxId"]: r for r in dicts(ql.quality_table(ql.trajectory_stats(tours(spark, still + null + ride))))}
     assert got["still"]["mean_speed_kmh"] is None and not got["still"]["f_speed"]
     assert got["still"]["nonzero_share"] == 0.4 and not got["still"]["f_nz_share"]
     assert got["still"]["raw_per_km"] is None and got["still"]["f_too_short"] and not got["still"]["f_rate"]
@@ -95,14 +99,17 @@ def test_quality_flags(spark):
 
 def test_reports_agree(spark):
     data = [reading(1000 * b + i, i, str(i % (b + 1)), lat=LAT + (4 + b) * i * M_LAT, box=f"b{b}") for b in range(4) for i in range(80)]
-    q = ql.quality_table(ql.trajectory_stats(trace(spark, data)))
+    q = ql.quality_table(ql.trajectory_stats(tours(spark, data)))
     s = ql.keep_summary(q).first()
     assert s.n == 4 == sum(r.n for r in ql.flag_histogram(q).collect())
     assert s.n_kept == q.where("flag_reasons = 'ok'").count()
 
 
 def test_good_scope(spark):
-    t = trace(spark, [reading(i, i) for i in range(5)])
+    data = [reading(i, i) for i in range(5)] + [reading(10 + i, 9000 + i) for i in range(5)]
+    j = tours(spark, data).of(spark.createDataFrame([("b_2",)], "traj_id string"))
+    assert {r.point_id for r in pt.trace(pt.segment(load(spark, data), among=j)).collect()} == {f"b_2_p{i}" for i in range(5)}
+    t = trace(spark, data[:5])
     assert pt.scope_to_good(t, None).count() == 5
     assert pt.scope_to_good(t, spark.createDataFrame([], "traj_id string")).count() == 0
 
@@ -110,7 +117,7 @@ def test_good_scope(spark):
 def test_events_merge_at_three_seconds(spark):
     hits = {0: "140", 3: "120", 6.000001: "150", 20: "120", 21: "0", 22: "120", 23: "150"}
     data = [reading(i, s, v) for i, (s, v) in enumerate(sorted(hits.items()))]
-    got = sorted(dicts(ev.overtake_events(trace(spark, data))), key=lambda r: r["event_id"])
+    got = sorted(dicts(ev.overtake_events(tours(spark, data))), key=lambda r: r["event_id"])
     assert [(r["event_uid"], r["n_samples"], r["min_clearance_cm"], r["is_close"]) for r in got] == [
         ("b_1_ev1", 2, 120, True), ("b_1_ev2", 1, 150, False), ("b_1_ev3", 3, 120, True)]
     assert got[2]["closest_point_id"] == "b_1_p3" and got[2]["last_point_id"] == "b_1_p6" and got[0]["duration_s"] == 3
@@ -118,24 +125,24 @@ def test_events_merge_at_three_seconds(spark):
 
 def test_events_go_over_cells(spark):
     data = [reading(i, 2 * i, "5" if i % 50 else "0") for i in range(1000)]
-    got = sorted((r.event_id, r.n_samples) for r in ev.overtake_events(trace(spark, data)).collect())
+    got = sorted((r.event_id, r.n_samples) for r in ev.overtake_events(tours(spark, data)).collect())
     assert got == [(i + 1, 49) for i in range(20)]
     long = [reading(i, 3 * i, "5") for i in range(1000)]
-    assert [(r.event_id, r.n_samples) for r in ev.overtake_events(trace(spark, long)).collect()] == [(1, 1000)]
+    assert [(r.event_id, r.n_samples) for r in ev.overtake_events(tours(spark, long)).collect()] == [(1, 1000)]
 
 
 def test_summary_without_events(spark):
-    t = trace(spark, [reading(i, i, lat=LAT + 50 * i * M_LAT) for i in range(6)])
+    t = tours(spark, [reading(i, i, lat=LAT + 50 * i * M_LAT) for i in range(6)])
     s = dicts(ev.summarise(t, ev.overtake_events(t)))[0]
     assert (s["n_overtakes"], s["min_overtake_cm"], s["overtake_rate_per_km"]) == (0, None, 0.0)
 
 
 def test_empty_table(spark):
-    t = trace(spark, [])
-    assert t.count() == 0
+    rows, t = trace(spark, []), tours(spark, [])
+    assert rows.count() == 0 == t.cells.count()
     e = ev.overtake_events(t)
     assert e.count() == 0 and ev.summarise(t, e).count() == 0
-    assert ql.quality_table(ql.trajectory_stats(t)).count() == 0 and pt.trajectory_lines(t).count() == 0
+    assert ql.quality_table(ql.trajectory_stats(t)).count() == 0 and pt.trajectory_lines(rows).count() == 0 == ql.box_overview(t).count()
 
 
 def test_clip_is_closed_and_comes_first(spark):
@@ -176,8 +183,9 @@ def test_sessions_stream_and_batch_agree(spark, tmp_path):
 @pytest.mark.parametrize("gap", [1, 10])
 def test_one_hot_box_is_cut_by_time(spark, gap):
     data = [reading(i, 30 * i, "4") for i in range(400)]
-    t = trace(spark, data, gap_minutes=gap)
-    assert t.select("cell").distinct().count() >= 20 and t.select("traj_id").distinct().count() == 1
+    t = tours(spark, data, gap_minutes=gap)
+    assert t.cells.count() >= 20 and t.cells.select("traj_id").distinct().count() == 1
+    assert t.cells.agg(F.sum("n")).first()[0] == 400
     assert ql.longest_runs(t).first().longest_nonzero_run == 400
 
 

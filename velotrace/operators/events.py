@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from velotrace.operators.points import in_cell
+from velotrace.operators.points import Journeys
 from velotrace.operators.shards import SECOND
 
 CLOSE_PASS_CM = 150.0
@@ -16,22 +16,21 @@ def seconds(start: Column, end: Column) -> Column:
     return (F.unix_micros(end) - F.unix_micros(start)) / 1e6
 
 
-def overtake_events(traced: DataFrame, threshold: float = 0.0, merge_gap_s: float = MERGE_GAP_S, close_cm: float = CLOSE_PASS_CM) -> DataFrame:
+def overtake_events(tours: Journeys, merge_gap_s: float = MERGE_GAP_S, close_cm: float = CLOSE_PASS_CM) -> DataFrame:
     """Detections of a trajectory at most merge_gap_s apart, as one event each; points without detection between them don't part them.
 
     The closest point is the earliest of those with the least value. Detections are ordered per cell; the last
-    detection and the number of events go over to the next cell (threshold must be that of segment()). No detections give no rows, typed.
+    detection and the number of events come over from the cells before (merge_gap_s must be that of journeys()). No detections give no rows, typed.
     """
-    here = in_cell()
-    t = F.unix_micros("createdAt")
-    gap = t - F.coalesce(F.unix_micros(F.lag("createdAt").over(here)), F.col("c_hit"))
-    hits = traced.where(F.col("value") > threshold).withColumn("_new", F.when(gap <= int(merge_gap_s * SECOND), 0).otherwise(1))
-    # events begun before a cell, from one row per cell with detections
-    cells = hits.groupBy("boxId", "traj_id", "cell").agg(F.sum("_new").alias("begun"))
-    upto = Window.partitionBy("boxId", "traj_id").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("boxId", "cell", F.coalesce(F.sum("begun").over(upto), F.lit(0)).alias("_base"))
-    numbered = hits.select("boxId", "cell", "traj_id", "createdAt", "row_seq", "value", "point_id", "x", "y", F.sum("_new").over(here.rowsBetween(Window.unboundedPreceding, 0)).alias("_in_cell"))
-    numbered = numbered.join(cells, ["boxId", "cell"]).withColumn("event_id", F.col("_base") + F.col("_in_cell"))
+    carried = tours.cells.select("boxId", "cell", "traj_id", "c_rows", "c_hit", "c_events")
+    hits = tours.hits.join(carried, ["boxId", "cell"]).select("boxId", "cell", "traj_id", "c_rows", "c_hit", "c_events", F.explode("hits").alias("h"))
+    here = Window.partitionBy("boxId", "cell").orderBy("h.i")
+    before = F.coalesce(F.lag("h.t").over(here), F.col("c_hit"))
+    new = hits.withColumn("_new", F.when(F.col("h.t") - before <= int(merge_gap_s * SECOND), 0).otherwise(1))
+    numbered = new.select(
+        "boxId", "traj_id", (F.col("c_events") + F.sum("_new").over(here.rowsBetween(Window.unboundedPreceding, 0))).alias("event_id"), F.timestamp_micros("h.t").alias("createdAt"), "h.row_seq", "h.value", "h.x", "h.y",
+        F.concat("traj_id", F.lit("_p"), (F.col("c_rows") + F.col("h.i")).cast("string")).alias("point_id"),
+    )
     at = F.struct("createdAt", "row_seq")
     events = numbered.groupBy("boxId", "traj_id", "event_id").agg(
         F.min("createdAt").alias("start"),
@@ -50,12 +49,11 @@ def overtake_events(traced: DataFrame, threshold: float = 0.0, merge_gap_s: floa
     )
 
 
-def summarise(traced: DataFrame, events: DataFrame, min_length_km: float = 0.2) -> DataFrame:
+def summarise(tours: Journeys, events: DataFrame, min_length_km: float = 0.2) -> DataFrame:
     """Per trajectory: extent in time and space, speed, and its overtakes; highest rates first, null rates last."""
-    at = F.struct("createdAt", "row_seq")
-    known = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), at))
-    base = traced.groupBy("boxId", "traj_id").agg(
-        known("boxName").alias("boxName"), F.min("createdAt").alias("start"), F.max("createdAt").alias("end"), F.count(F.lit(1)).alias("n_points"), (F.sum("step_m") / 1000).alias("length_km")
+    base = tours.cells.groupBy("boxId", "traj_id").agg(
+        F.min_by("known_name", F.when(F.col("known_name").isNotNull(), F.col("cell"))).alias("boxName"), F.timestamp_micros(F.min("t0")).alias("start"), F.timestamp_micros(F.max("t1")).alias("end"),
+        F.sum("n").alias("n_points"), (F.sum("path_m") / 1000).alias("length_km"),
     )
     per = events.groupBy("boxId", "traj_id").agg(
         F.count(F.lit(1)).alias("n_overtakes"), F.count_if("is_close").alias("n_close_passes"), F.min("min_clearance_cm").alias("min_overtake_cm"),
@@ -71,6 +69,11 @@ def summarise(traced: DataFrame, events: DataFrame, min_length_km: float = 0.2)
     ).orderBy(F.col("overtake_rate_per_km").desc_nulls_last(), "traj_id")
 
 
+def top_summary(summary: DataFrame, most: int = 15) -> DataFrame:
+    """The trajectories with the highest rates of overtakes, for a report."""
+    return summary.orderBy(F.col("overtake_rate_per_km").desc_nulls_last(), "traj_id").limit(most)
+
+
 def event_totals(events: DataFrame) -> DataFrame:
     return events.agg(F.count(F.lit(1)).alias("n_events"), F.count_if("is_close").alias("n_close"))
 
@@ -115,9 +118,9 @@ def class_of_pairs(edges: DataFrame) -> DataFrame:
 
 
 def join_edge_class(events: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """Events with edge_class of their node pair in either direction; null if there is none, or without edges."""
+    """Events with edge_class of their node pair in either direction; null if there is none, or without edges, or if these have no u, v."""
     bare = events.drop("edge_class")
-    if edges is None:
+    if edges is None or not {"u", "v"} <= set(edges.columns):
         return bare.withColumn("edge_class", F.lit(None).cast("string"))
     return pair(bare).join(class_of_pairs(edges), ["_a", "_b"], "left").select(*bare.columns, "edge_class")
 

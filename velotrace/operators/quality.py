@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velotrace.operators.points import in_cell
+from velotrace.operators.points import Journeys
 
 
 @dataclass(frozen=True)
@@ -23,44 +23,39 @@ class Limits:
     min_length_km: float = 0.2
 
 
-#: Flags in the order in which reasons are listed.
+# Flags in the order in which reasons are listed, and the words for them.
 REASONS = {"f_speed": "speed", "f_nz_share": "nz_share", "f_long_run": "long_run", "f_rate": "high_rate", "f_too_short": "too_short"}
 
 
-def detected(threshold: float = 0.0) -> Column:
-    return F.coalesce(F.col("value") > threshold, F.lit(False))
+def longest_runs(tours: Journeys) -> DataFrame:
+    """boxId, traj_id, longest_nonzero_run: most detections in a row, 0 if there are none; a null value ends a run.
 
-
-def longest_runs(traced: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """traj_id, longest_nonzero_run: most detections in a row, 0 if there are none; a null value ends a run.
-
-    A run is told by how many points without detection came before it in the trajectory. Points without detection
-    are one group, so that only detections are shuffled one by one.
+    Runs inside a cell are known there. One that goes over borders is told by how many points without detection came before it in the
+    trajectory: the parts of that number, at most two a cell, are summed.
     """
-    hit = detected(threshold)
-    zeros = F.col("c_zeros") + F.sum((~hit).cast("long")).over(in_cell().rowsBetween(Window.unboundedPreceding, 0))
-    runs = traced.withColumn("_zeros", F.when(hit, zeros)).groupBy("boxId", "traj_id", "_zeros").agg(F.count_if(hit).alias("run"))
-    return runs.groupBy("boxId", "traj_id").agg(F.max("run").alias("longest_nonzero_run"))
+    c = tours.cells
+    ends = F.array_compact(F.array(F.struct(F.col("c_zeros").alias("z"), F.col("head").alias("k")), F.when(F.col("zeros") > 0, F.struct((F.col("c_zeros") + F.col("zeros")).alias("z"), F.col("tail").alias("k")))))
+    over = c.select("boxId", "traj_id", F.explode(ends).alias("e")).groupBy("boxId", "traj_id", "e.z").agg(F.sum("e.k").alias("run"))
+    both = over.select("boxId", "traj_id", "run").unionByName(c.select("boxId", "traj_id", F.col("longest").cast("long").alias("run")))
+    return both.groupBy("boxId", "traj_id").agg(F.max("run").alias("longest_nonzero_run"))
 
 
-def trajectory_stats(traced: DataFrame, min_length_km: float = 0.2) -> DataFrame:
+def trajectory_stats(tours: Journeys, min_length_km: float = 0.2) -> DataFrame:
     """Measures per trajectory. Null values count as points; value_max is null if any value is; no speed without duration, no rate under min_length_km."""
-    at = F.struct("createdAt", "row_seq")
-    hit = detected()
-    hours = (F.unix_micros("end") - F.unix_micros("start")) / 3.6e9
-    stats = traced.groupBy("boxId", "traj_id").agg(
-        F.min_by("boxName", at).alias("boxName"),
-        F.count(F.lit(1)).alias("n_points"),
-        F.count_if(hit).alias("n_nonzero"),
-        F.avg(hit.cast("int")).alias("nonzero_share"),
-        F.when(F.count("value") == F.count(F.lit(1)), F.max("value")).alias("value_max"),
-        (F.sum("step_m") / 1000).alias("length_km"),
-        F.min("createdAt").alias("start"),
-        F.max("createdAt").alias("end"),
+    hours = (F.col("t1") - F.col("t0")) / 3.6e9
+    stats = tours.cells.groupBy("boxId", "traj_id").agg(
+        F.min_by("name", "cell")["boxName"].alias("boxName"),
+        F.sum("n").alias("n_points"),
+        F.sum("n_hits").alias("n_nonzero"),
+        (F.sum("n_hits") / F.sum("n")).alias("nonzero_share"),
+        F.when(F.sum("n_known") == F.sum("n"), F.max("value_max")).alias("value_max"),
+        (F.sum("path_m") / 1000).alias("length_km"),
+        F.min("t0").alias("t0"),
+        F.max("t1").alias("t1"),
     )
-    stats = stats.join(longest_runs(traced), ["boxId", "traj_id"])
+    stats = stats.join(longest_runs(tours), ["boxId", "traj_id"])
     long_enough = F.when(F.col("length_km") >= min_length_km, F.col("length_km"))
-    return stats.withColumn("mean_speed_kmh", F.try_divide("length_km", F.nullif(hours, F.lit(0.0)))).withColumn("raw_per_km", F.try_divide(F.col("n_nonzero").cast("double"), F.nullif(long_enough, F.lit(0.0)))).drop("start", "end")
+    return stats.withColumn("mean_speed_kmh", F.try_divide("length_km", F.nullif(hours, F.lit(0.0)))).withColumn("raw_per_km", F.try_divide(F.col("n_nonzero").cast("double"), F.nullif(long_enough, F.lit(0.0)))).drop("t0", "t1")
 
 
 def quality_table(stats: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
@@ -84,6 +79,11 @@ def quality_table(stats: DataFrame, limits: Limits = Limits()) -> DataFrame:  #
     )
 
 
+def worst_first(quality: DataFrame) -> DataFrame:
+    """The quality table as it is listed: bad trajectories first, those with most flags at the top."""
+    return quality.orderBy("keep", F.col("n_flags").desc(), "traj_id")
+
+
 def good_trajectories(quality: DataFrame) -> DataFrame:
     return quality.where("keep").select("traj_id")
 
@@ -108,10 +108,7 @@ def box_keep_rates(quality: DataFrame, most: int = 15) -> DataFrame:
     return rates.select("boxId", "boxName", "n", F.bround("rate", 2).alias("keep_rate")).orderBy("keep_rate", "boxId", "boxName").limit(most)
 
 
-def box_overview(points: DataFrame, share_max: float = 0.40) -> DataFrame:
-    """Per box: points, trajectories, share and highest of detections, and whether the sensor looks stuck."""
-    hit = detected()
-    o = points.groupBy("boxId").agg(
-        F.count(F.lit(1)).alias("n_points"), F.count_distinct("traj_id").alias("n_trajectories"), F.avg(hit.cast("int")).alias("nonzero_share"), F.max("value").alias("value_max")
-    )
-    return o.withColumn("looks_stuck", F.col("nonzero_share") > share_max)
+def box_overview(tours: Journeys, share_max: float = 0.40) -> DataFrame:
+    """Per box: points, trajectories, share and highest of detections, and whether the sensor looks stuck; boxes with most points first."""
+    o = tours.cells.groupBy("boxId").agg(F.sum("n").alias("n_points"), F.count_distinct("traj_id").alias("n_trajectories"), (F.sum("n_hits") / F.sum("n")).alias("nonzero_share"), F.max("value_max").alias("value_max"))
+    return o.withColumn("looks_stuck", F.col("nonzero_share") > share_max).orderBy(F.col("n_points").desc(), "boxId")

@@ -40,8 +40,12 @@ def traced(spark: SparkSession, d: str) -> DataFrame:
     return pt.trace(pt.segment(points(spark, d)))
 
 
+def journeys(spark: SparkSession, d: str) -> pt.Journeys:
+    return pt.journeys(points(spark, d))
+
+
 def quality(spark: SparkSession, d: str) -> DataFrame:
-    return ql.quality_table(ql.trajectory_stats(traced(spark, d)))
+    return ql.worst_first(ql.quality_table(ql.trajectory_stats(journeys(spark, d))))
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
@@ -103,13 +107,12 @@ def box_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def traj_segment(spark: SparkSession, d: str) -> DataFrame:
-    g = pt.segment(points(spark, d)).groupBy("boxId", "traj_id").agg(F.count(F.lit(1)).alias("n_points"), F.min("createdAt").alias("start"), F.max("createdAt").alias("end"))
-    return g.select("boxId", "traj_id", "n_points", us("start"), us("end"))
+    return journeys(spark, d).cells.groupBy("boxId", "traj_id").agg(F.sum("n").alias("n_points"), F.min("t0").alias("start_us"), F.max("t1").alias("end_us"))
 
 
 @query
 def traj_length(spark: SparkSession, d: str) -> DataFrame:
-    return traced(spark, d).groupBy("boxId", "traj_id").agg(F.round(F.sum("step_m") / 1000, 4).alias("length_km")).drop("boxId")
+    return journeys(spark, d).cells.groupBy("boxId", "traj_id").agg(F.round(F.sum("path_m") / 1000, 4).alias("length_km")).drop("boxId")
 
 
 @query
@@ -124,14 +127,14 @@ def bearings(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def traj_lines(spark: SparkSession, d: str) -> DataFrame:
-    lines = pt.trajectory_lines(traced(spark, d))
-    end = lambda i, c: F.round(F.element_at("line", i)[c], 2)
-    return lines.select("traj_id", "n_points", end(1, "x").alias("x_first"), end(1, "y").alias("y_first"), end(-1, "x").alias("x_last"), end(-1, "y").alias("y_last"))
+    """The line of every trajectory, as text of its corners to the decimetre."""
+    corner = lambda p: F.concat_ws(" ", *[F.round(p[c] * 10).cast("long").cast("string") for c in "xy"])
+    return pt.trajectory_lines(traced(spark, d)).select("traj_id", "n_points", F.array_join(F.transform("line", corner), ",").alias("line_dm"))
 
 
 @query
 def distinct_counts(spark: SparkSession, d: str) -> DataFrame:
-    return pt.segment(points(spark, d)).agg(F.count(F.lit(1)).alias("n_points"), F.count_distinct("traj_id").alias("n_trajectories"), F.count_distinct("boxId").alias("n_boxes"))
+    return journeys(spark, d).cells.agg(F.sum("n").alias("n_points"), F.count_distinct("traj_id").alias("n_trajectories"), F.count_distinct("boxId").alias("n_boxes"))
 
 
 @query
@@ -151,7 +154,7 @@ def overtake_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def longest_run(spark: SparkSession, d: str) -> DataFrame:
-    return ql.longest_runs(traced(spark, d)).drop("boxId")
+    return ql.longest_runs(journeys(spark, d)).drop("boxId")
 
 
 @query
@@ -181,13 +184,15 @@ def box_keep_rate(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def box_overview(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ql.box_overview(pt.segment(points(spark, d))), nonzero_share=9)
+    return rounded(ql.box_overview(journeys(spark, d)), nonzero_share=9)
 
 
 @query
 def good_scope_points(spark: SparkSession, d: str) -> DataFrame:
-    t = traced(spark, d)
-    return pt.scope_to_good(t, ql.good_trajectories(ql.quality_table(ql.trajectory_stats(t)))).groupBy("traj_id").agg(F.count(F.lit(1)).alias("n_points"))
+    """Points of the trajectories that passed, with their ids."""
+    tours = journeys(spark, d)
+    good = ql.good_trajectories(ql.quality_table(ql.trajectory_stats(tours)))
+    return pt.trace(pt.segment(points(spark, d), among=tours.of(good))).select("row_seq", "traj_id", "point_id")
 
 
 @query
@@ -200,7 +205,8 @@ def plot_one_box(spark: SparkSession, d: str) -> DataFrame:
 @query
 def plot_trajectories(spark: SparkSession, d: str) -> DataFrame:
     """Lines per box for the legend: the fifteen largest by name, how many more there are."""
-    lines = pt.trajectory_lines(traced(spark, d)).groupBy("boxId").agg(F.count(F.lit(1)).alias("n_lines"))
+    n = journeys(spark, d).cells.groupBy("boxId", "traj_id").agg(F.sum("n").alias("n"))
+    lines = n.where("n >= 2").groupBy("boxId").agg(F.count(F.lit(1)).alias("n_lines"))
     top = lines.orderBy(F.col("n_lines").desc(), "boxId").limit(15)
     return top.join(F.broadcast(lines.agg(F.count(F.lit(1)).alias("n_boxes"))), F.lit(True)).select(F.left("boxId", F.lit(12)).alias("label"), "boxId", "n_lines", (F.greatest(F.col("n_boxes") - 15, F.lit(0))).cast("long").alias("n_more"))
 
@@ -210,7 +216,7 @@ def plot_trajectories(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def overtake_events(spark: SparkSession, d: str) -> DataFrame:
-    e = ev.overtake_events(traced(spark, d))
+    e = ev.overtake_events(journeys(spark, d))
     return rounded(
         e.select(
             "event_uid", "traj_id", "event_id", "boxId", us("start"), us("end"), "duration_s", "n_samples", "min_clearance_cm", "mean_clearance_cm", "is_close", "first_point_id", "last_point_id", "closest_point_id", "x", "y"
@@ -221,15 +227,23 @@ def overtake_events(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def traj_summary(spark: SparkSession, d: str) -> DataFrame:
-    t = traced(spark, d)
-    s = ev.summarise(t, ev.overtake_events(t))
+    return summary(journeys(spark, d))
+
+
+def summary(tours: pt.Journeys) -> DataFrame:
+    s = ev.summarise(tours, ev.overtake_events(tours))
     s = s.select("traj_id", "boxId", "boxName", us("start"), us("end"), "n_points", "length_km", "duration_min", "mean_speed_kmh", "n_overtakes", "n_close_passes", "min_overtake_cm", "mean_overtake_cm", "mean_event_duration_s", "overtake_rate_per_km")
     return rounded(s, length_km=4, duration_min=9, mean_speed_kmh=3, mean_overtake_cm=9, mean_event_duration_s=9, overtake_rate_per_km=4)
 
 
+@query
+def top_summary(spark: SparkSession, d: str) -> DataFrame:
+    return ev.top_summary(summary(journeys(spark, d)))
+
+
 @query
 def event_totals(spark: SparkSession, d: str) -> DataFrame:
-    return ev.event_totals(ev.overtake_events(traced(spark, d)))
+    return ev.event_totals(ev.overtake_events(journeys(spark, d)))
 
 
 @query

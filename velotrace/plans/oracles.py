@@ -199,6 +199,11 @@ def oracle_sql() -> dict[str, str]:
     tr = seg + TRACED
     q = tr + RUNS + QUALITY
     ev = tr + EVENTS
+    summary = ev + """,
+b AS (SELECT boxId, traj_id, arg_min(boxName, (t, row_seq)) FILTER (boxName IS NOT NULL) AS boxName, min(t) AS start_us, max(t) AS end_us, count(*) AS n_points, sum(step_m) / 1000 AS length_km, (max(t) - min(t)) / 6e7 AS duration_min FROM tr GROUP BY boxId, traj_id),
+g AS (SELECT traj_id, count(*) AS n, count(*) FILTER (is_close) AS c, min(min_clearance_cm) AS lo, avg(min_clearance_cm) AS mean, avg(duration_s) AS dur FROM ev GROUP BY traj_id)
+SELECT traj_id, boxId, boxName, start_us, end_us, n_points, round(length_km, 4) AS length_km, round(duration_min, 9) AS duration_min, round(length_km / nullif(duration_min / 60, 0), 3) AS mean_speed_kmh,
+  coalesce(n, 0) AS n_overtakes, coalesce(c, 0) AS n_close_passes, lo AS min_overtake_cm, round(mean, 9) AS mean_overtake_cm, round(dur, 9) AS mean_event_duration_s, round(CASE WHEN length_km >= 0.2 THEN coalesce(n, 0) / length_km END, 4) AS overtake_rate_per_km FROM b LEFT JOIN g USING (traj_id)"""
     ed = "WITH " + edges_cte()
     cl = ed + classes_cte("ed")
     roads = ed + roads_cte()
@@ -218,7 +223,7 @@ def oracle_sql() -> dict[str, str]:
         "traj_length": tr + " SELECT traj_id, round(sum(step_m) / 1000, 4) AS length_km FROM tr GROUP BY traj_id",
         "point_ids": tr + " SELECT row_seq, traj_id, point_id FROM tr",
         "bearings": tr + " SELECT row_seq, round(bearing, 2) AS bearing FROM tr",
-        "traj_lines": tr + " SELECT traj_id, count(*) AS n_points, round(arg_min(x, ordinal), 2) AS x_first, round(arg_min(y, ordinal), 2) AS y_first, round(arg_max(x, ordinal), 2) AS x_last, round(arg_max(y, ordinal), 2) AS y_last FROM tr GROUP BY traj_id HAVING count(*) >= 2",
+        "traj_lines": tr + " SELECT traj_id, count(*) AS n_points, string_agg(round(x * 10)::BIGINT || ' ' || round(y * 10)::BIGINT, ',' ORDER BY ordinal) AS line_dm FROM tr GROUP BY traj_id HAVING count(*) >= 2",
         "distinct_counts": seg + " SELECT count(*) AS n_points, count(DISTINCT traj_id) AS n_trajectories, count(DISTINCT boxId) AS n_boxes FROM seg",
         "session_windows": seg + " SELECT boxId, min(t) AS start_us, max(t) AS end_us, count(*) AS n_points, count(*) FILTER (value > 0) AS n_nonzero FROM seg GROUP BY boxId, traj_id",
         "overtake_windows": pts + ", a AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY boxId ORDER BY t, row_seq) <= 3000000 THEN 0 ELSE 1 END AS b FROM pts WHERE value > 0), g AS (SELECT *, sum(b) OVER (PARTITION BY boxId ORDER BY t, row_seq ROWS UNBOUNDED PRECEDING) AS no FROM a) "
@@ -231,15 +236,12 @@ def oracle_sql() -> dict[str, str]:
         "keep_summary": q + " SELECT count(*) AS n, count(*) FILTER (keep) AS n_kept, round(avg(keep::INT), 9) AS kept_share FROM q",
         "box_keep_rate": q + " SELECT boxId, boxName, count(*) AS n, round_even(avg(keep::INT), 2) AS keep_rate FROM q WHERE boxId IS NOT NULL AND boxName IS NOT NULL GROUP BY boxId, boxName ORDER BY keep_rate, boxId, boxName LIMIT 15",
         "box_overview": seg + " SELECT boxId, count(*) AS n_points, count(DISTINCT traj_id) AS n_trajectories, round(avg(coalesce(value > 0, FALSE)::INT), 9) AS nonzero_share, max(value) AS value_max, avg(coalesce(value > 0, FALSE)::INT) > 0.4 AS looks_stuck FROM seg GROUP BY boxId",
-        "good_scope_points": q + " SELECT traj_id, n_points FROM q WHERE keep",
+        "good_scope_points": q + " SELECT row_seq, traj_id, point_id FROM tr SEMI JOIN (SELECT traj_id FROM q WHERE keep) k USING (traj_id)",
         "plot_one_box": q + " SELECT boxId, traj_id, n_points, round(nonzero_share, 9) AS nonzero_share, longest_nonzero_run, value_max, (row_number() OVER (PARTITION BY boxId ORDER BY n_points DESC, traj_id))::INT AS page_rank FROM q",
         "plot_trajectories": tr + ", l AS (SELECT boxId, count(*) AS n_lines FROM (SELECT boxId, traj_id FROM tr GROUP BY ALL HAVING count(*) >= 2) GROUP BY boxId) SELECT left(boxId, 12) AS label, boxId, n_lines, greatest((SELECT count(*) FROM l) - 15, 0) AS n_more FROM l ORDER BY n_lines DESC, boxId LIMIT 15",
         "overtake_events": ev + " SELECT * REPLACE (round(duration_s, 6) AS duration_s, round(mean_clearance_cm, 9) AS mean_clearance_cm, round(x, 2) AS x, round(y, 2) AS y) FROM ev",
-        "traj_summary": ev + """,
-b AS (SELECT boxId, traj_id, arg_min(boxName, (t, row_seq)) FILTER (boxName IS NOT NULL) AS boxName, min(t) AS start_us, max(t) AS end_us, count(*) AS n_points, sum(step_m) / 1000 AS length_km, (max(t) - min(t)) / 6e7 AS duration_min FROM tr GROUP BY boxId, traj_id),
-g AS (SELECT traj_id, count(*) AS n, count(*) FILTER (is_close) AS c, min(min_clearance_cm) AS lo, avg(min_clearance_cm) AS mean, avg(duration_s) AS dur FROM ev GROUP BY traj_id)
-SELECT traj_id, boxId, boxName, start_us, end_us, n_points, round(length_km, 4) AS length_km, round(duration_min, 9) AS duration_min, round(length_km / nullif(duration_min / 60, 0), 3) AS mean_speed_kmh,
-  coalesce(n, 0) AS n_overtakes, coalesce(c, 0) AS n_close_passes, lo AS min_overtake_cm, round(mean, 9) AS mean_overtake_cm, round(dur, 9) AS mean_event_duration_s, round(CASE WHEN length_km >= 0.2 THEN coalesce(n, 0) / length_km END, 4) AS overtake_rate_per_km FROM b LEFT JOIN g USING (traj_id)""",
+        "traj_summary": summary,
+        "top_summary": summary + " ORDER BY overtake_rate_per_km DESC NULLS LAST, traj_id LIMIT 15",
         "event_totals": ev + " SELECT count(*) AS n_events, count(*) FILTER (is_close) AS n_close FROM ev",
         "link_events": li + " SELECT event_uid, u, v FROM li",
         "event_edge_class": li + " SELECT event_uid, u, v, edge_class FROM lc",
