@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -148,3 +150,66 @@ def test_matching_keeps_all_candidates(spark):
     points = spark.createDataFrame(walk, "boxId string, traj_id string, point_id string, ordinal long, x double, y double")
     got = {r.point_id: (r.u, r.v) for r in mm.match_paths(points, mm.straight_map(edges, nodes)).collect()}
     assert {got[f"t_p{i}"] for i in range(30)} == {(106, 206)} and {got[f"t_p{i}"] for i in range(31, 60)} == {(206, 300)}
+
+
+def grid_of_streets(n=4, step=60.0):
+    """A lattice of two-way streets: u, v, ends."""
+    at = {(i, j): n * i + j for i in range(n) for j in range(n)}
+    pairs = [(a, b) for (i, j), a in at.items() for b in (at.get((i + 1, j)), at.get((i, j + 1))) if b is not None]
+    xy = lambda k: (step * (k // n), step * (k % n))
+    both = [*pairs, *((b, a) for a, b in pairs)]
+    return np.array([a for a, _ in both]), np.array([b for _, b in both]), np.array([[*xy(a), *xy(b)] for a, b in both])
+
+
+def best_path(grid, roads, how, xy):
+    """Likelihood and edges of the best path by trying all of them."""
+    steps = []
+    for i, (x, y) in enumerate(xy):
+        _, c, d, s = grid.near(np.array([x]), np.array([y]), np.array([how.max_dist_init if i == 0 else how.max_dist]))
+        steps.append(list(zip(c.tolist(), d.tolist(), s.tolist(), strict=True)))
+    best = (-np.inf, None)
+    for path in itertools.product(*steps):
+        score = -(path[0][1] ** 2) / (2 * how.noise**2)
+        for (c0, _, s0), (c1, d1, s1), (p0, p1) in zip(path, path[1:], itertools.pairwise(xy), strict=False):
+            way = abs(s1 - s0) if c0 == c1 and s1 - s0 >= -how.noise else grid.length[c0] - s0 + roads.distances(int(grid.v[c0]), {int(grid.u[c1])}).get(int(grid.u[c1]), np.inf) + s1
+            score += -abs(way - np.hypot(*np.subtract(p1, p0))) / how.noise - d1**2 / (2 * how.noise**2)
+        best = max(best, (score, path), key=lambda b: b[0])
+    return best
+
+
+def test_decoder_equals_all_paths_tried():
+    rng = np.random.default_rng(5)
+    u, v, ends = grid_of_streets()
+    how = mm.Matching(max_dist=32.0, max_dist_init=32.0, min_prob_norm=1e-30)
+    grid = mm.Grid(u, v, ends, 32.0)
+    roads = mm.Roads(u, v, grid.length)
+    for _ in range(25):
+        xy = [(float(a), float(b)) for a, b in np.cumsum(rng.normal(0, 12, (4, 2)), axis=0) + rng.uniform(20, 160, 2)]
+        score, path = best_path(grid, roads, how, xy)
+        decoder = mm.Decoder(grid, roads, how)
+        for x, y in xy:
+            p, c, d, s = grid.near(np.array([x]), np.array([y]), np.array([32.0]))
+            decoder.point(x, y, c, d, s)
+        got = decoder.finish()
+        assert path is not None and len(got) == 4 and not decoder.over
+        assert abs(score - decoder.score.max()) < 1e-9
+
+
+def test_long_trajectories_are_decoded_in_parts():
+    rng = np.random.default_rng(6)
+    u, v, ends = grid_of_streets(8)
+    how = mm.Matching(min_prob_norm=1e-300)
+    grid = mm.Grid(u, v, ends, 60.0)
+    x = np.clip(210 + np.cumsum(rng.normal(0, 3, 3000)), 0, 420)
+    y = np.clip(210 + np.cumsum(rng.normal(0, 3, 3000)), 0, 420)
+    p, c, d, s = grid.near(x, y, np.full(3000, 50.0))
+    at = np.searchsorted(p, np.arange(3001))
+    whole, parts, found, most = (mm.Decoder(grid, mm.Roads(u, v, grid.length), how), mm.Decoder(grid, mm.Roads(u, v, grid.length), how), [], 0)
+    for i in range(3000):
+        k = slice(at[i], at[i + 1])
+        whole.point(x[i], y[i], c[k], d[k], s[k])
+        parts.point(x[i], y[i], c[k], d[k], s[k])
+        most = max(most, len(parts.held))
+        if i % 100 == 99:
+            found += parts.certain()
+    assert found + parts.finish() == whole.finish() and most < 1000

@@ -103,3 +103,9 @@ def changes(table: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
 def numpy_of(table: pa.Table, name: str) -> np.ndarray:
     """A column as numpy; nulls of doubles become NaN."""
     return table[name].combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def spans(begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the stretches that begin where begins is true."""
+    start = np.flatnonzero(begins)
+    return start, np.r_[start[1:], len(begins)]
