@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from velotrace.functions.clean import floor_div
 from velotrace.operators.shards import SECOND, dedup, rides, sharded, usable
+from velotrace.session import cut
 
 
 def regular_series(readings: DataFrame, period_s: int = 10, gap_s: int = 600, min_readings: int = 5) -> DataFrame:
@@ -17,8 +18,8 @@ def regular_series(readings: DataFrame, period_s: int = 10, gap_s: int = 600, mi
     period, carried over shards; null before its first number), status: observed, filled or empty.
 
     Shards are as wide as the gap that ends a ride, so all readings of a shard are of one ride, and no
-    shard inside a ride is empty. Each shard is summed up to one row; a prefix scan over these rows
-    gives the rides and the number carried in; then the shards are spread again and filled on their own.
+    shard inside a ride is empty. Each shard is summed up to one row, which is written once; a prefix scan over slim rows (times,
+    count and last number of each shard) gives the rides and the number carried in; then the shards are filled on their own.
 
     Null box, time or position: not a reading. Text that is no number: a reading without a number.
     Copies (equal box and time): the lowest row_seq. No rows, or rides under min_readings: no rows.
@@ -36,15 +37,15 @@ def regular_series(readings: DataFrame, period_s: int = 10, gap_s: int = 600, mi
         F.max("t").alias("t1"),
     )
     seen = F.when(F.col("n_numbers") > 0, F.struct("slot", "n_numbers", "mean", "last"))
-    shards = slots.groupBy("box", "shard").agg(F.sum("n").alias("n"), F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.array_sort(F.collect_list(seen)).alias("seen"))
-    shards = rides(shards.withColumn("tail", F.try_element_at("seen", F.lit(-1))["last"]), gap, min_readings)
+    shards = cut(slots.groupBy("box", "shard").agg(F.sum("n").alias("n"), F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.array_sort(F.collect_list(seen)).alias("seen")))
+    slim = rides(shards.select("box", "shard", "n", "t0", "t1", F.try_element_at("seen", F.lit(-1))["last"].alias("tail")), gap, min_readings)
     before = Window.partitionBy("box", "ride").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    carried = shards.withColumn("carry", F.last("tail", ignorenulls=True).over(before)).drop("tail")
+    carried = slim.select("box", "shard", "ride_t0", "ride_t1", F.last("tail", ignorenulls=True).over(before).alias("carry"))
     per = gap_s // period_s
     first = F.greatest(F.col("shard") * per, floor_div(F.col("ride_t0"), period_s * SECOND))
     final = F.least(F.col("shard") * per + per - 1, floor_div(F.col("ride_t1"), period_s * SECOND))
-    # the scan left each source in one partition; its shards are spread again before they grow
-    spread = carried.repartition("box", "shard").withColumn("slot", F.explode(F.sequence(first, final)))
+    # joined by shard, so that what a source has is spread again before it grows
+    spread = shards.select("box", "shard", "seen").join(carried, ["box", "shard"]).withColumn("slot", F.explode(F.sequence(first, final)))
     here = F.filter("seen", lambda s: s["slot"] <= F.col("slot"))
     spread = spread.withColumn("now", F.try_element_at(here, F.lit(-1)))
     hit = F.col("now")["slot"] == F.col("slot")
