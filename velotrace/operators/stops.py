@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from velotrace.functions.clean import floor_div
 from velotrace.functions.geo import with_utm32
 from velotrace.functions.windows import medians
-from velotrace.operators.shards import SECOND, changes, numpy_of, rides, usable, whole_groups
-from velotrace.session import arrow_map
+from velotrace.operators.shards import SECOND, changes, numpy_of, rides, spans, usable, whole_groups
+from velotrace.session import arrow_map, cut
 
 
 @dataclass(frozen=True)
@@ -45,11 +45,6 @@ PIECES = (
 FOUND = "box string, ride long, kind string, t0 long, t1 long, n_pings long, x double, y double, distance_m double, reach_m double"
 
 
-def spans(labels_change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start = np.flatnonzero(labels_change)
-    return start, np.r_[start[1:], len(labels_change)]
-
-
 def strays(x: np.ndarray, y: np.ndarray, piece: np.ndarray, how: Dwelling) -> np.ndarray:
     """True for pings far from the median position of the pings around them in their piece."""
     start, stop = spans(np.r_[True, piece[1:] != piece[:-1]])
@@ -307,8 +302,10 @@ def trips_and_stops(readings: DataFrame, how: Dwelling | None = None) -> DataFra
         "shard", F.explode(F.array_compact(F.array(home, F.when(into < halo, home - 1), F.when(into >= width - halo, home + 1))))
     ).withColumn("own", F.col("home") == F.col("shard")).drop("home")
     ordered = dealt.repartition("box", "shard").sortWithinPartitions("box", "shard", "t", "row_seq", "x", "y")
-    pieces = arrow_map(ordered.select("box", "shard", "t", "x", "y", "own"), describe(how), PIECES)
-    whole = rides(pieces, how.gap_s * SECOND, how.min_readings)
+    pieces = cut(arrow_map(ordered.select("box", "shard", "t", "x", "y", "own"), describe(how), PIECES))
+    # only slim rows go through the scan of a box; a shard has as many rows as rides
+    numbers = rides(pieces.select("box", "shard", "n", "t0", "t1"), how.gap_s * SECOND, how.min_readings).select("box", "shard", "t0", "ride")
+    whole = pieces.join(numbers, ["box", "shard", "t0"])
     return arrow_map(whole.select("box", "ride", "t0", "t1", "n", "start_x", "start_y", "corner_x", "corner_y", "parts").repartition("box", "ride").sortWithinPartitions("box", "ride", "t0"), assemble(how), FOUND)
 
 
