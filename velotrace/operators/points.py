@@ -100,13 +100,13 @@ def journeys(points: DataFrame, gap_minutes: float = GAP_MINUTES, min_points: in
     order = Window.partitionBy("boxId", "ride").orderBy("cell")
     upto = order.rowsBetween(Window.unboundedPreceding, -1)
     sofar = lambda c: F.coalesce(F.sum(c).over(upto), F.lit(0))
-    carried = whole.withColumns({
+    joint = whole.withColumns({
         "traj_id": F.concat_ws("_", "boxId", F.col("ride").cast("string")), "c_rows": sofar("n"), "c_zeros": sofar("zeros"), "c_hit": F.last("hit1", ignorenulls=True).over(upto),
         "c_last": F.lag("last").over(order), "c_next": F.lead("first").over(order),
     })
     first_new = F.when(F.col("hit0").isNotNull(), F.coalesce((F.col("hit0") - F.col("c_hit") > apart).cast("long"), F.lit(1))).otherwise(0)
     step_in = F.when(F.col("c_last").isNotNull(), distance(F.col("c_last")["x"], F.col("c_last")["y"], F.col("first")["x"], F.col("first")["y"])).otherwise(0.0)
-    done = carried.withColumns({"begun": F.col("begun") + first_new, "path_m": F.col("path_m") + step_in}).withColumn("c_events", sofar("begun"))
+    done = joint.withColumns({"begun": F.col("begun") + first_new, "path_m": F.col("path_m") + step_in}).withColumn("c_events", sofar("begun"))
     return Journeys(done.drop("ride", "ride_t0", "ride_t1", "ride_n", "hit0", "hit1"), cells.select("boxId", "cell", "hits").where(F.size("hits") > 0))
 
 
@@ -117,20 +117,24 @@ def segment(points: DataFrame, gap_minutes: float = GAP_MINUTES, min_points: int
     numbering. Carried: cell, c_rows (points of the trajectory before the cell), c_last and c_next (last point before, first point
     after the cell). No rows give none. among: journeys() of the same points and gap, whose trajectories alone come out.
     """
-    gap = int(gap_minutes * 60 * SECOND)
-    t = F.unix_micros("createdAt")
-    celled = points.withColumn("cell", floor_div(t, gap))
+    celled = points.withColumn("cell", floor_div(F.unix_micros("createdAt"), int(gap_minutes * 60 * SECOND)))
     if among is not None:
         return celled.join(among.cells.select("boxId", "cell", "traj_id", "c_rows", "c_last", "c_next"), ["boxId", "cell"])
+    return celled.join(carried(points, gap_minutes, min_points).drop("n", "t0", "t1"), ["boxId", "cell"])
+
+
+def carried(points: DataFrame, gap_minutes: float = GAP_MINUTES, min_points: int = MIN_POINTS) -> DataFrame:
+    """A row per cell of a trajectory, from sums made before the shuffle: boxId, cell, traj_id, n, t0, t1 and what segment() carries."""
+    gap = int(gap_minutes * 60 * SECOND)
+    t = F.unix_micros("createdAt")
     at, place = F.struct(t.alias("t"), F.col("row_seq")), F.struct("x", "y")
-    cells = celled.groupBy("boxId", "cell").agg(F.count(F.lit(1)).alias("n"), F.min(t).alias("t0"), F.max(t).alias("t1"), F.min_by(place, at).alias("first"), F.max_by(place, at).alias("last"))
+    cells = points.groupBy("boxId", floor_div(t, gap).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min(t).alias("t0"), F.max(t).alias("t1"), F.min_by(place, at).alias("first"), F.max_by(place, at).alias("last"))
     whole = rides(cells, gap, min_points, by="boxId")
     order = Window.partitionBy("boxId", "ride").orderBy("cell")
-    carried = whole.select(
-        "boxId", "cell", F.concat_ws("_", "boxId", F.col("ride").cast("string")).alias("traj_id"), F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("c_rows"),
+    return whole.select(
+        "boxId", "cell", F.concat_ws("_", "boxId", F.col("ride").cast("string")).alias("traj_id"), "n", "t0", "t1", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("c_rows"),
         F.lag("last").over(order).alias("c_last"), F.lead("first").over(order).alias("c_next"),
     )
-    return celled.join(carried, ["boxId", "cell"])
 
 
 def in_cell() -> WindowSpec:

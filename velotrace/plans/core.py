@@ -107,7 +107,7 @@ def box_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def traj_segment(spark: SparkSession, d: str) -> DataFrame:
-    return journeys(spark, d).cells.groupBy("boxId", "traj_id").agg(F.sum("n").alias("n_points"), F.min("t0").alias("start_us"), F.max("t1").alias("end_us"))
+    return pt.carried(points(spark, d)).groupBy("boxId", "traj_id").agg(F.sum("n").alias("n_points"), F.min("t0").alias("start_us"), F.max("t1").alias("end_us"))
 
 
 @query
@@ -134,7 +134,7 @@ def traj_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def distinct_counts(spark: SparkSession, d: str) -> DataFrame:
-    return journeys(spark, d).cells.agg(F.sum("n").alias("n_points"), F.count_distinct("traj_id").alias("n_trajectories"), F.count_distinct("boxId").alias("n_boxes"))
+    return pt.carried(points(spark, d)).agg(F.sum("n").alias("n_points"), F.count_distinct("traj_id").alias("n_trajectories"), F.count_distinct("boxId").alias("n_boxes"))
 
 
 @query
@@ -205,7 +205,7 @@ def plot_one_box(spark: SparkSession, d: str) -> DataFrame:
 @query
 def plot_trajectories(spark: SparkSession, d: str) -> DataFrame:
     """Lines per box for the legend: the fifteen largest by name, how many more there are."""
-    n = journeys(spark, d).cells.groupBy("boxId", "traj_id").agg(F.sum("n").alias("n"))
+    n = pt.carried(points(spark, d)).groupBy("boxId", "traj_id").agg(F.sum("n").alias("n"))
     lines = n.where("n >= 2").groupBy("boxId").agg(F.count(F.lit(1)).alias("n_lines"))
     top = lines.orderBy(F.col("n_lines").desc(), "boxId").limit(15)
     return top.join(F.broadcast(lines.agg(F.count(F.lit(1)).alias("n_boxes"))), F.lit(True)).select(F.left("boxId", F.lit(12)).alias("label"), "boxId", "n_lines", (F.greatest(F.col("n_boxes") - 15, F.lit(0))).cast("long").alias("n_more"))
