@@ -23,7 +23,7 @@ def edge(u, v, line, highway=("residential",), key=0, cycleway=None, cyclestreet
 
 def flags(spark, edges):
     df = spark.createDataFrame(edges, EDGE).select("*", *[F.lit("?").alias(c) for c in ("angle", "road", "line", "near", "dist_to_road", "cell", "salt")])
-    return {(r.u, r.v): r.is_sidepath for r in nw.flag_sidepaths(df).collect()}
+    return {(r.u, r.v): r.is_sidepath for r in nw.flag_sidepaths(df, sidepath_tag="is_sidepath_tag").collect()}
 
 
 def test_tags(spark):

@@ -26,6 +26,7 @@ REGIMES = [
 ]
 OTHER = "other"
 
+# Metres and degrees within which a path is beside a road.
 NEAR_M, MAX_M, MAX_ANGLE = 12.0, 30.0, 25.0
 TAGS = ["highway", *CYCLEWAY_COLUMNS, "cyclestreet", "bicycle_road"]
 
@@ -79,14 +80,15 @@ def nearest_roads(edges: DataFrame, max_m: float = MAX_M) -> DataFrame:
     )
 
 
-def flag_sidepaths(edges: DataFrame, near_m: float = NEAR_M, max_m: float = MAX_M, max_angle: float = MAX_ANGLE, sidepath_tag: str = "is_sidepath_tag") -> DataFrame:
+def flag_sidepaths(edges: DataFrame, near_m: float = NEAR_M, max_m: float = MAX_M, max_angle: float = MAX_ANGLE, sidepath_tag: str = "is_sidepath") -> DataFrame:
     """Edges (one per u, v, key) with is_sidepath and dist_to_road.
 
     A car-free edge is a sidepath within near_m of a motor road, or within max_m if it runs at most max_angle off it. The
-    tag (column sidepath_tag, if there is one) saying yes makes any edge one.
+    tag (column sidepath_tag as text or an array; a Boolean of that name is an earlier result and no tag) saying yes makes any edge one.
     """
     e = unique_edges(edges)
-    e = e.withColumn("_tagged", tag(e, sidepath_tag) == "yes")
+    told = sidepath_tag in e.columns and e.schema[sidepath_tag].dataType.typeName() in ("string", "array")
+    e = e.withColumn("_tagged", (tag(e, sidepath_tag) == "yes") if told else F.lit(False))
     roads = nearest_roads(e, max_m)
     by_place = (F.col("_dist") <= near_m) | (F.col("_angle") <= max_angle)
     near = roads.select("u", "v", "key", F.col("dist_to_road").alias("_dist"), F.col("angle").alias("_angle"))

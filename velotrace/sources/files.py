@@ -40,22 +40,31 @@ EXTRA_TAGS = [
 EDGE_TAGS = sorted({*USUAL_TAGS, *EXTRA_TAGS})
 
 
-def complete(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """The columns of schema in order; missing ones null, others left away."""
-    return df.select(*[(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+def complete(df: DataFrame, schema: T.StructType, *more: Column) -> DataFrame:
+    """The columns of schema in order, and more; missing ones null, others left away."""
+    return df.select(*[(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema], *more)
+
+
+def file_order() -> Column:
+    """A number that grows from row to row of a file, for a frame that reads files: where its block begins, and the row's number in the task.
+
+    A task reads no more bytes than a block has, and a row has a byte at least, so numbers of a block stay below those of the next. Files are told apart by
+    the highest bits, from their names.
+    """
+    block, name = F.col("_metadata.file_block_start"), F.pmod(F.xxhash64("_metadata.file_path"), F.lit(1 << 15))
+    return F.shiftleft(name.cast("long"), 48) + block + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
 
 
 def read_raw_csv(spark: SparkSession, path: str | list[str], row_order: Column | None = None) -> DataFrame:
     """Raw points with row_seq. A createdAt that is no time raises; a value that is no number stays text until load_points().
 
-    row_order makes row_seq; by default a hash of file and row content, as files have no row numbers that hold
-    in a distributed read. Rows of equal box and time are then ordered, though not as they are in the file.
+    row_order makes row_seq; by default the order in the file, see file_order().
     """
     names = spark.read.option("header", True).csv(path).columns
     present = T.StructType([T.StructField(n, RAW[n].dataType if n in RAW.names else T.StringType()) for n in names])
-    rows = complete(spark.read.schema(present).option("header", True).option("enforceSchema", False).csv(path), RAW)
-    order = row_order if row_order is not None else F.xxhash64("boxId", "createdAt", "value", "lat", "lon", "boxName")
-    return rows.withColumn("createdAt", F.to_timestamp("createdAt")).withColumn("row_seq", order)
+    read = spark.read.schema(present).option("header", True).option("enforceSchema", False).csv(path)
+    rows = complete(read, RAW, (row_order if row_order is not None else file_order()).alias("row_seq"))
+    return rows.withColumn("createdAt", F.to_timestamp("createdAt"))
 
 
 def read_quality_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -90,6 +99,8 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 # GraphML -----------------------------------------------------------------
 
+#: Attributes that a graph may declare.
+MOST_KEYS = 10_000
 DATA = "data array<struct<_VALUE:string,_key:string>>"
 
 
@@ -98,8 +109,10 @@ def _graphml(spark: SparkSession, path: str, tag: str, fields: str) -> DataFrame
 
 
 def graphml_keys(spark: SparkSession, path: str) -> dict[str, dict[str, str]]:
-    """For nodes and edges, attribute name to key id; a graph declares tens of them, so they are read to the driver."""
-    rows = spark.read.format("xml").option("rowTag", "key").schema("`_id` string, `_for` string, `_attr.name` string").load(path).limit(10_000).collect()
+    """For nodes and edges, attribute name to key id; a graph declares tens of them, so they are read to the driver (an error says so if there are over MOST_KEYS)."""
+    rows = spark.read.format("xml").option("rowTag", "key").schema("`_id` string, `_for` string, `_attr.name` string").load(path).distinct().limit(MOST_KEYS + 1).collect()
+    if len(rows) > MOST_KEYS:
+        raise ValueError(f"{path} declares more than {MOST_KEYS} attributes")
     out: dict[str, dict[str, str]] = {"node": {}, "edge": {}}
     for r in rows:
         for kind in ("node", "edge") if r["_for"] == "all" else (r["_for"],):
@@ -149,3 +162,31 @@ def read_network(spark: SparkSession, path: str, metric: bool = True) -> tuple[D
     both = edges.join(at("u", "_a"), "u", "left").join(at("v", "_b"), "v", "left")
     straight = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.array("_a", "_b"))
     return nodes, both.withColumn("geometry", F.coalesce("geometry", straight)).drop("_a", "_b").select(*edges.columns)
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """One GraphML document (in a folder) of nodes (node_id, x, y) and edges (u, v, key, length, tags, geometry), as read_network() reads it.
+
+    Tags are the EDGE_TAGS that edges have: one value as it is, several as a written list. Nulls are left out. The lines are made where the rows are; a
+    document has one order, so one task writes it.
+    """
+    safe = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    datum = lambda key, c: F.when(c.isNotNull(), F.concat(F.lit(f'<data key="{key}">'), safe(c.cast("string")), F.lit("</data>")))
+    quoted = lambda c: F.concat(F.lit("['"), F.array_join(c, "', '"), F.lit("']"))
+    tags = [t for t in EDGE_TAGS if t in edges.columns and edges.schema[t].dataType.typeName() in ("array", "string")]
+    text = lambda t: F.when(F.size(F.col(f"`{t}`")) == 1, F.col(f"`{t}`")[0]).otherwise(quoted(F.col(f"`{t}`"))) if edges.schema[t].dataType.typeName() == "array" else F.col(f"`{t}`")
+    keys = {"x": ("node", "double"), "y": ("node", "double"), "length": ("edge", "double"), "geometry": ("edge", "string")} | {t: ("edge", "string") for t in tags}
+    ids = {k: f"d{i}" for i, k in enumerate(keys)}
+    head = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', *(f'<key id="{ids[k]}" for="{f}" attr.name="{k}" attr.type="{kind}"/>' for k, (f, kind) in keys.items()), '<graph edgedefault="directed">']
+    spark = nodes.sparkSession
+    first = spark.createDataFrame([(0, i, "", line) for i, line in enumerate(head)] + [(3, 0, "", "</graph></graphml>")], "part int, a long, b string, value string")
+    n = nodes.select(F.lit(1).alias("part"), F.col("node_id").alias("a"), F.lit("").alias("b"), F.concat(F.lit('<node id="'), F.col("node_id").cast("string"), F.lit('">'), F.concat_ws("", datum(ids["x"], F.col("x")), datum(ids["y"], F.col("y"))), F.lit("</node>")).alias("value"))
+    wkt = F.concat(F.lit("LINESTRING ("), F.array_join(F.transform("geometry", lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ", "), F.lit(")"))
+    data = F.concat_ws("", datum(ids["length"], F.col("length")), *[datum(ids[t], text(t)) for t in tags], datum(ids["geometry"], wkt))
+    tail = [F.lit(f'" {k}="') if k else F.lit('">') for k in ("target", "id", "")]
+    e = edges.select(
+        F.lit(2).alias("part"), F.col("u").alias("a"), F.format_string("%s %s", "v", "key").alias("b"),
+        F.concat(F.lit('<edge source="'), F.col("u").cast("string"), tail[0], F.col("v").cast("string"), tail[1], F.col("key").cast("string"), tail[2], data, F.lit("</edge>")).alias("value"),
+    )
+    lines = first.unionByName(n).unionByName(e).where(F.col("value").isNotNull())
+    lines.repartition(1).sortWithinPartitions("part", "a", "b").select("value").write.mode("overwrite").text(path)
