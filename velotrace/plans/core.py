@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from velotrace.functions.geo import point_segment_distance
 from velotrace.operators import events as ev
 from velotrace.operators import matching as mm
 from velotrace.operators import network as nw
 from velotrace.operators import points as pt
 from velotrace.operators import quality as ql
+from velotrace.plans import stages
 from velotrace.sources.tables import EDGES, READINGS, table
 from velotrace.streaming import sessions
 
@@ -32,6 +34,12 @@ def rounded(df: DataFrame, **places: int) -> DataFrame:
     return df.withColumns({c: F.round(c, n) for c, n in places.items()})
 
 
+def decimetres(line: str) -> Column:
+    """A line as text: its corners in whole decimetres."""
+    corner = lambda p: F.concat_ws(" ", *[F.round(p[c] * 10).cast("long").cast("string") for c in "xy"])
+    return F.array_join(F.transform(line, corner), ",")
+
+
 def points(spark: SparkSession, d: str) -> DataFrame:
     return pt.load_points(table(spark, d, READINGS))
 
@@ -128,8 +136,7 @@ def bearings(spark: SparkSession, d: str) -> DataFrame:
 @query
 def traj_lines(spark: SparkSession, d: str) -> DataFrame:
     """The line of every trajectory, as text of its corners to the decimetre."""
-    corner = lambda p: F.concat_ws(" ", *[F.round(p[c] * 10).cast("long").cast("string") for c in "xy"])
-    return pt.trajectory_lines(traced(spark, d)).select("traj_id", "n_points", F.array_join(F.transform("line", corner), ",").alias("line_dm"))
+    return pt.trajectory_lines(traced(spark, d)).select("traj_id", "n_points", decimetres("line").alias("line_dm"))
 
 
 @query
@@ -276,7 +283,7 @@ def edge_classes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def edges_written(spark: SparkSession, d: str) -> DataFrame:
-    return nw.written(edges(spark, d).select("u", "v", "key", "highway", "cycleway", "bicycle_road"))
+    return nw.written(edges(spark, d).select("u", "v", "key", *[F.col(f"`{c}`") for c in nw.TAGS]))
 
 
 @query
@@ -286,7 +293,7 @@ def crosstab_margins(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def crosstab_wide(spark: SparkSession, d: str) -> DataFrame:
-    return nw.crosstab_wide(classified(spark, d)).select("highway", "roadside_track", "painted_lane", "other", F.col("All").alias("all_classes"))
+    return nw.crosstab_wide(classified(spark, d)).withColumnRenamed("All", "all_classes")
 
 
 @query
@@ -326,7 +333,8 @@ def main_bearing(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def nearest_road(spark: SparkSession, d: str) -> DataFrame:
-    return nw.nearest_roads(edges(spark, d)).select("u", "v", "key", F.round("dist_to_road", 4).alias("dist_to_road"))
+    r = nw.nearest_roads(edges(spark, d))
+    return r.select("u", "v", "key", F.col("road.u").alias("road_u"), F.col("road.v").alias("road_v"), F.col("road.key").alias("road_key"), F.round("dist_to_road", 4).alias("dist_to_road"), F.round("angle", 3).alias("angle"))
 
 
 @query
@@ -356,13 +364,13 @@ def straight_map(spark: SparkSession, d: str) -> DataFrame:
 @query
 def match_candidates(spark: SparkSession, d: str) -> DataFrame:
     c = mm.candidates(traced(spark, d).select("point_id", "x", "y"), chords(spark, d))
-    return c.groupBy("point_id").agg(F.count(F.lit(1)).alias("n_candidates"))
+    return c.select("point_id", "u", "v", F.round("distance_m", 3).alias("distance_m"))
 
 
 @query
 def nearest_edge_match(spark: SparkSession, d: str) -> DataFrame:
     n = mm.nearest_edge(traced(spark, d).select("point_id", "x", "y"), chords(spark, d))
-    return n.select("point_id", F.round("distance_m", 3).alias("distance_m"))
+    return n.select("point_id", "u", "v", F.round("distance_m", 3).alias("distance_m"))
 
 
 @query
@@ -370,6 +378,19 @@ def viterbi_match(spark: SparkSession, d: str) -> DataFrame:
     return mm.match_paths(traced(spark, d), chords(spark, d))
 
 
+@query
+def viterbi_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Per trajectory what holds for every match: points, whether any is placed, points placed after one that isn't, and placed on an edge that isn't near."""
+    t, c = traced(spark, d), chords(spark, d)
+    m = mm.match_paths(t, c)
+    at = t.select("traj_id", "point_id", "ordinal", "x", "y").join(m.drop("traj_id"), "point_id").join(c, ["u", "v"], "left")
+    far = point_segment_distance(F.col("x"), F.col("y"), *[F.col(k) for k in ("x0", "y0", "x1", "y1")]) > F.when(F.col("ordinal") == 0, F.lit(mm.Matching.max_dist_init)).otherwise(F.lit(mm.Matching.max_dist)) + 1e-6
+    on = F.col("u").isNotNull()
+    return at.groupBy("traj_id").agg(
+        F.count(F.lit(1)).alias("n_points"), F.bool_or(on).alias("any_placed"), (F.count_if(on) - F.coalesce(F.max(F.when(on, F.col("ordinal"))) + 1, F.lit(0))).alias("n_after_null"), F.count_if(F.coalesce(far, on)).alias("n_far"),
+    )
+
+
 @query
 def placed_share(spark: SparkSession, d: str) -> DataFrame:
     return rounded(mm.placed_share(table(spark, d, "matched_points")), placed_share=9)
@@ -390,7 +411,65 @@ def plot_match(spark: SparkSession, d: str) -> DataFrame:
     """Lines of the edges that a trajectory was placed on, in the order of their first visit."""
     g = mm.visited_geometries(table(spark, d, "matched_points"), table(spark, d, EDGES))
     rank = F.row_number().over(Window.partitionBy("traj_id").orderBy("first_at", "u", "v"))
-    return g.select("traj_id", "u", "v", rank.alias("visit"), F.size("geometry").cast("long").alias("n_corners"))
+    return g.select("traj_id", "u", "v", rank.alias("visit"), decimetres("geometry").alias("line_dm"))
+
+
+# maps
+
+
+@query
+def plot_network(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the network map: every edge with a geometry, its regime, how many edges the regime has, and its place among the regimes."""
+    c = classified(spark, d)
+    n = nw.class_counts(c).withColumn("legend", F.row_number().over(Window.partitionBy().orderBy(F.col("n").desc(), "edge_class")))  # 13 regimes at most
+    return c.where("geometry is not null").join(F.broadcast(n), "edge_class").select("u", "v", "key", "edge_class", "n", "legend", decimetres("geometry").alias("line_dm"))
+
+
+@query
+def plot_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the trajectory map in pieces, a piece per stretch of ten minutes, which begins where the one before ended."""
+    return pt.line_pieces(traced(spark, d)).select("boxId", "traj_id", "first", "n_points", decimetres("line").alias("line_dm"))
+
+
+# stages
+
+
+def staged(spark: SparkSession, d: str) -> stages.Trajectories:
+    raw, nodes = table(spark, d, READINGS), table(spark, d, "network_nodes")
+    return stages.trajectories(raw, nodes, stages.diagnostics(raw, nodes))
+
+
+@query
+def stage_network(spark: SparkSession, d: str) -> DataFrame:
+    """The network stage: regimes from tags and geometry."""
+    return stages.network(table(spark, d, EDGES)).edges.select("u", "v", "key", "is_sidepath", "is_cycling_street", "has_track_tag", "has_lane_tag", "separate_geometry", "edge_class")
+
+
+@query
+def stage_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """The diagnostics stage over readings within the network's extent."""
+    q = stages.diagnostics(table(spark, d, READINGS), table(spark, d, "network_nodes"))
+    return q.select("traj_id", "keep", "n_flags", "flag_reasons", "n_points", F.round("length_km", 4).alias("length_km"), "longest_nonzero_run")
+
+
+@query
+def stage_points(spark: SparkSession, d: str) -> DataFrame:
+    """The trajectory stage: points of the trajectories that diagnostics keeps."""
+    return staged(spark, d).points.select("row_seq", "point_id", F.round("bearing", 2).alias("bearing"))
+
+
+@query
+def stage_events(spark: SparkSession, d: str) -> DataFrame:
+    """The trajectory stage: overtakes of the trajectories that diagnostics keeps."""
+    return staged(spark, d).events.select("event_uid", "n_samples", "min_clearance_cm", "is_close", "closest_point_id")
+
+
+@query
+def stage_matched_events(spark: SparkSession, d: str) -> DataFrame:
+    """All stages, from readings to overtakes with the edge of their own match and its regime."""
+    t = staged(spark, d)
+    m = stages.matching(t.points, t.events, chords(spark, d), table(spark, d, EDGES))
+    return m.events.select("event_uid", "u", "v", "edge_class")
 
 
 def queries() -> dict[str, Query]:

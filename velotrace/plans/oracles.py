@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from velotrace.functions.geo import CENTRAL_MERIDIAN_DEG, FALSE_EASTING_M, SCALE, krueger
-from velotrace.operators.network import CAR_FREE, LANE_TAGS, MAIN, MOTOR, OTHER, REGIMES, TRACK_TAGS
+from velotrace.operators.network import CAR_FREE, LANE_TAGS, MAIN, MOTOR, OTHER, REGIMES, TAGS, TRACK_TAGS
 
 
 def texts(values: list[str]) -> str:
@@ -84,7 +84,7 @@ def edges_cte() -> str:
     """ed: one row per (u, v, key) with tags as text."""
     return f"""
 ed0 AS (SELECT *, row_number() OVER (PARTITION BY u, v, key ORDER BY (geometry IS NOT NULL) DESC, length DESC NULLS LAST) AS rn FROM muenster_edges_classified),
-ed AS (SELECT u, v, key, length, geometry, is_sidepath, highway, cycleway, bicycle_road, {tag("highway")} AS hw, {tag("cycleway")} AS c0, {tag("cycleway:left")} AS c1, {tag("cycleway:right")} AS c2, {tag("cycleway:both")} AS c3,
+ed AS (SELECT u, v, key, length, geometry, is_sidepath, {", ".join(f'"{c}"' for c in TAGS)}, {tag("highway")} AS hw, {tag("cycleway")} AS c0, {tag("cycleway:left")} AS c1, {tag("cycleway:right")} AS c2, {tag("cycleway:both")} AS c3,
   {tag("cyclestreet")} AS cs, {tag("bicycle_road")} AS br FROM ed0 WHERE rn = 1)"""
 
 
@@ -198,6 +198,11 @@ def oracle_sql() -> dict[str, str]:
     seg = pts + SEGMENTS
     tr = seg + TRACED
     q = tr + RUNS + QUALITY
+    within = (
+        pts.replace("pts AS (", "pts2 AS (")
+        + ", ex AS (SELECT min(x) - 2000 AS xa, min(y) - 2000 AS ya, max(x) + 2000 AS xb, max(y) + 2000 AS yb FROM network_nodes), pts AS (SELECT pts2.* FROM pts2, ex WHERE x BETWEEN xa AND xb AND y BETWEEN ya AND yb)"
+        + SEGMENTS + TRACED
+    )
     ev = tr + EVENTS
     summary = ev + """,
 b AS (SELECT boxId, traj_id, arg_min(boxName, (t, row_seq)) FILTER (boxName IS NOT NULL) AS boxName, min(t) AS start_us, max(t) AS end_us, count(*) AS n_points, sum(step_m) / 1000 AS length_km, (max(t) - min(t)) / 6e7 AS duration_min FROM tr GROUP BY boxId, traj_id),
@@ -248,9 +253,9 @@ SELECT traj_id, boxId, boxName, start_us, end_us, n_points, round(length_km, 4)
         "events_per_class": li + " SELECT edge_class, count(*) AS n FROM lc WHERE edge_class IS NOT NULL GROUP BY edge_class",
         "linked_share": li + " SELECT count(*) AS n_events, count(u) AS n_linked, round(avg((u IS NOT NULL)::INT), 9) AS linked_share FROM li",
         "edge_classes": cl + f" SELECT u, v, key, (cs = 'yes' OR br = 'yes') AS is_cycling_street, list_contains(m, 3) AS has_track_tag, list_contains(m, 5) AS has_lane_tag, (list_contains(m, 2) OR list_contains(m, 4)) AS separate_geometry, edge_class FROM cl",
-        "edges_written": ed + " SELECT u, v, key, array_to_string(highway, ';') AS highway, array_to_string(cycleway, ';') AS cycleway, array_to_string(bicycle_road, ';') AS bicycle_road FROM ed",
+        "edges_written": ed + " SELECT u, v, key, " + ", ".join(f"array_to_string(\"{c}\", ';') AS \"{c}\"" for c in TAGS) + " FROM ed",
         "crosstab_margins": cl + " SELECT CASE WHEN grouping(hw) = 1 THEN 'All' ELSE hw END AS highway, CASE WHEN grouping(edge_class) = 1 THEN 'All' ELSE edge_class END AS edge_class, count(*) AS n FROM cl GROUP BY CUBE (hw, edge_class)",
-        "crosstab_wide": cl + " SELECT CASE WHEN grouping(hw) = 1 THEN 'All' ELSE hw END AS highway, count(*) FILTER (edge_class = 'roadside_track') AS roadside_track, count(*) FILTER (edge_class = 'painted_lane') AS painted_lane, count(*) FILTER (edge_class = 'other') AS other, count(*) AS all_classes FROM cl GROUP BY ROLLUP (hw)",
+        "crosstab_wide": cl + " SELECT CASE WHEN grouping(hw) = 1 THEN 'All' ELSE hw END AS highway, " + ", ".join(f"count(*) FILTER (edge_class = '{c}') AS {c}" for c in [*dict.fromkeys(REGIMES), OTHER]) + ", count(*) AS all_classes FROM cl GROUP BY ROLLUP (hw)",
         "multi_match": cl + " SELECT count(*) AS n_edges, count(*) FILTER (len(m) > 1) AS n_multi, round(avg((len(m) > 1)::INT), 9) AS multi_share FROM cl",
         "condition_overlap": cl + f", r(i, l) AS (VALUES {labels}), c AS (SELECT a, b, count(*) AS n FROM (SELECT unnest(m) AS a, m FROM cl), LATERAL (SELECT unnest(m) AS b) GROUP BY a, b) "
         "SELECT r1.i AS rule_a, r2.i AS rule_b, r1.l AS label_a, r2.l AS label_b, coalesce(n, 0) AS n FROM r r1, r r2 LEFT JOIN c ON c.a = r1.i AND c.b = r2.i",
@@ -259,19 +264,31 @@ SELECT traj_id, boxId, boxName, start_us, end_us, n_points, round(length_km, 4)
         "class_counts": cl + " SELECT edge_class, count(*) AS n FROM cl GROUP BY edge_class",
         "plot_large_classes": cl + " SELECT edge_class, count(*) AS n, round(sum(length) / 1000, 3) AS km FROM cl GROUP BY edge_class HAVING count(*) >= 10",
         "main_bearing": ed + bearing_cte() + " SELECT u, v, key, round(bearing, 4) AS bearing FROM mb",
-        "nearest_road": roads + " SELECT u, v, key, round(dist_to_road, 4) AS dist_to_road FROM nr",
+        "nearest_road": roads + " SELECT nr.u, nr.v, nr.key, road.u AS road_u, road.v AS road_v, road.k AS road_key, round(dist_to_road, 4) AS dist_to_road, round(least(abs(x.bearing - y.bearing) % 180, 180 - abs(x.bearing - y.bearing) % 180), 3) AS angle FROM nr "
+        "LEFT JOIN mb x USING (u, v, key) LEFT JOIN mb y ON y.u = road.u AND y.v = road.v AND y.key = road.k",
         "sidepath_flags": roads + " SELECT u, v, key, is_sidepath FROM sp",
         "sidepath_share": roads + " SELECT count(*) FILTER (is_sidepath) AS n_sidepaths, round(avg(is_sidepath::INT), 9) AS share FROM sp",
         "reclassified": roads + classes_cte("sp") + " SELECT edge_class, count(*) AS n FROM cl GROUP BY edge_class",
         "straight_map": "WITH " + CHORDS + " SELECT u, v, round(x0, 3) AS x0, round(y0, 3) AS y0, round(x1, 3) AS x1, round(y1, 3) AS y1 FROM ch",
-        "match_candidates": tr + "," + CHORDS + candidates_cte("TRUE") + " SELECT point_id, count(*) AS n_candidates FROM cn GROUP BY point_id",
-        "nearest_edge_match": tr + "," + CHORDS + candidates_cte("u <= v") + " SELECT point_id, round(min(dist), 3) AS distance_m FROM cn GROUP BY point_id",
+        "match_candidates": tr + "," + CHORDS + candidates_cte("TRUE") + " SELECT point_id, u, v, round(dist, 3) AS distance_m FROM cn",
+        "nearest_edge_match": tr + "," + CHORDS + candidates_cte("u <= v") + " SELECT point_id, arg_min(u, (dist, u, v)) AS u, arg_min(v, (dist, u, v)) AS v, round(min(dist), 3) AS distance_m FROM cn GROUP BY point_id",
+        "viterbi_checked": tr + "," + CHORDS + ", fi AS (SELECT traj_id, x, y FROM tr WHERE ordinal = 0), "
+        f"pl AS (SELECT DISTINCT traj_id FROM fi JOIN ch ON x BETWEEN least(x0, x1) - 60 AND greatest(x0, x1) + 60 AND y BETWEEN least(y0, y1) - 60 AND greatest(y0, y1) + 60 WHERE {point_segment('x', 'y', 'x0', 'y0', 'x1', 'y1')} <= 60) "
+        "SELECT traj_id, count(*) AS n_points, bool_or(pl.traj_id IS NOT NULL) AS any_placed, 0 AS n_after_null, 0 AS n_far FROM tr LEFT JOIN pl USING (traj_id) GROUP BY traj_id",
         "placed_share": "SELECT traj_id, count(*) AS n_points, round(avg((u IS NOT NULL)::INT), 9) AS placed_share, bool_or(u IS NOT NULL) AS any_placed FROM matched_points GROUP BY traj_id",
         "placed_overall": "SELECT count(*) AS n_trajectories, count(*) FILTER (a) AS n_matched, round(sum(k) / sum(n), 9) AS placed_share FROM (SELECT bool_or(u IS NOT NULL) AS a, count(u) AS k, count(*) AS n FROM matched_points GROUP BY traj_id)",
         "visited_edges": "SELECT traj_id, least(u, v) AS u, greatest(u, v) AS v, epoch_us(min(createdAt)) AS first_at_us FROM matched_points WHERE u IS NOT NULL AND v IS NOT NULL GROUP BY ALL",
         "plot_match": """WITH m AS (SELECT traj_id, least(u, v) AS u, greatest(u, v) AS v, min(createdAt) AS f FROM matched_points WHERE u IS NOT NULL AND v IS NOT NULL GROUP BY ALL),
-g AS (SELECT least(u, v) AS u, greatest(u, v) AS v, len(arg_min(geometry, (u, v, key))) AS n FROM muenster_edges_classified WHERE geometry IS NOT NULL GROUP BY 1, 2)
-SELECT traj_id, u, v, (row_number() OVER (PARTITION BY traj_id ORDER BY f, u, v))::INT AS visit, n AS n_corners FROM m JOIN g USING (u, v)""",
+g AS (SELECT least(u, v) AS u, greatest(u, v) AS v, arg_min(geometry, (u, v, key)) AS g FROM muenster_edges_classified WHERE geometry IS NOT NULL GROUP BY 1, 2)
+SELECT traj_id, u, v, (row_number() OVER (PARTITION BY traj_id ORDER BY f, u, v))::INT AS visit, array_to_string(list_transform(g, lambda p: round(p.x * 10)::BIGINT || ' ' || round(p.y * 10)::BIGINT), ',') AS line_dm FROM m JOIN g USING (u, v)""",
+        "plot_network": cl + """, n AS (SELECT edge_class, count(*) AS n, (row_number() OVER (ORDER BY count(*) DESC, edge_class))::INT AS legend FROM cl GROUP BY edge_class)
+SELECT u, v, key, edge_class, n, legend, array_to_string(list_transform(geometry, lambda p: round(p.x * 10)::BIGINT || ' ' || round(p.y * 10)::BIGINT), ',') AS line_dm FROM cl JOIN n USING (edge_class) WHERE geometry IS NOT NULL""",
+        "plot_lines": tr + """, pc AS (SELECT *, t // 600000000 AS cell FROM tr), st AS (SELECT traj_id, cell, min(ordinal) AS first, count(*) AS n_points FROM pc GROUP BY ALL)
+SELECT boxId, st.traj_id, first, n_points, string_agg(round(x * 10)::BIGINT || ' ' || round(y * 10)::BIGINT, ',' ORDER BY ordinal) AS line_dm FROM st JOIN tr ON tr.traj_id = st.traj_id AND ordinal BETWEEN first - 1 AND first + n_points - 1 GROUP BY ALL""",
+        "stage_network": roads + classes_cte("sp") + " SELECT u, v, key, is_sidepath, (cs = 'yes' OR br = 'yes') AS is_cycling_street, list_contains(m, 3) AS has_track_tag, list_contains(m, 5) AS has_lane_tag, (list_contains(m, 2) OR list_contains(m, 4)) AS separate_geometry, edge_class FROM cl",
+        "stage_diagnostics": within + RUNS + QUALITY + " SELECT traj_id, keep, n_flags, flag_reasons, n_points, round(length_km, 4) AS length_km, longest_nonzero_run FROM q",
+        "stage_points": within + RUNS + QUALITY + " SELECT row_seq, point_id, round(bearing, 2) AS bearing FROM tr SEMI JOIN (SELECT traj_id FROM q WHERE keep) k USING (traj_id)",
+        "stage_events": within + EVENTS + RUNS + QUALITY + " SELECT event_uid, n_samples, min_clearance_cm, is_close, closest_point_id FROM ev SEMI JOIN (SELECT traj_id FROM q WHERE keep) k USING (traj_id)",
         "p1_found": ORPHANS + "SELECT event_uid, ref_field FROM f",
         "p1_report": ORPHANS + """, a AS (SELECT 'closest_point_id' AS ref_field, "start" FROM e WHERE closest_point_id <> '' UNION ALL SELECT 'u', "start" FROM e WHERE u IS NOT NULL UNION ALL SELECT 'v', "start" FROM e WHERE v IS NOT NULL
   UNION ALL SELECT 'edge', "start" FROM e WHERE u IS NOT NULL AND v IS NOT NULL),
