@@ -179,6 +179,22 @@ fo AS (SELECT 'reading' AS kind, row_seq::VARCHAR AS record_id, 'bounds' AS reas
   UNION ALL SELECT 'trajectory', traj_id, 'run_impossible' FROM tf WHERE wrong UNION ALL SELECT 'trajectory', traj_id, 'run_far_off' FROM tf WHERE far
   UNION ALL SELECT 'trajectory', traj_id, 'rate_impossible' FROM tf WHERE rate < 0 UNION ALL SELECT 'trajectory', traj_id, 'rate_far_off' FROM tf JOIN rr USING (box) WHERE rate >= far_rate)"""
 
+TRIPS = """,
+w0 AS (SELECT boxId, t, x, y, row_number() OVER (PARTITION BY boxId, t ORDER BY row_seq) AS n FROM pts),
+w1 AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY boxId ORDER BY t) <= 600000000 THEN 0 ELSE 1 END AS b FROM w0 WHERE n = 1),
+w2 AS (SELECT *, sum(b) OVER (PARTITION BY boxId ORDER BY t) AS ride FROM w1),
+w3 AS (SELECT *, count(*) OVER r AS size, min(t) OVER r AS t0, max(t) OVER r AS t1 FROM w2 WINDOW r AS (PARTITION BY boxId, ride)),
+w4 AS (SELECT *, median(x) OVER a AS mx, median(y) OVER a AS my FROM w3 WHERE size >= 5 WINDOW a AS (PARTITION BY boxId, ride ORDER BY t ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING)),
+w5 AS (SELECT *, row_number() OVER (PARTITION BY boxId, ride ORDER BY t) AS i FROM w4 WHERE sqrt((x - mx) * (x - mx) + (y - my) * (y - my)) <= 60),
+be AS (SELECT boxId, ride, median(x) AS sx, median(y) AS sy FROM w5 WHERE i <= 5 GROUP BY ALL),
+tp AS (SELECT DISTINCT boxId, t0, t1 FROM w5 JOIN be USING (boxId, ride) WHERE (x - sx) * (x - sx) + (y - sy) * (y - sy) > 40000),
+c0 AS (SELECT *, greatest(max(x) OVER a - min(x) OVER a, max(y) OVER a - min(y) OVER a) <= 25 AS still FROM w5 WINDOW a AS (PARTITION BY boxId, ride ORDER BY t ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)),
+c1 AS (SELECT *, sum(CASE WHEN still THEN 0 ELSE 1 END) OVER (PARTITION BY boxId, ride ORDER BY t) AS no FROM c0),
+c2 AS (SELECT boxId, ride, no, min(t) AS a, max(t) AS b, count(*) AS k, median(x) AS x, median(y) AS y FROM c1 WHERE still GROUP BY ALL HAVING count(*) > 5),
+c3 AS (SELECT *, CASE WHEN no - lag(no) OVER r <= 12 AND (x - lag(x) OVER r) * (x - lag(x) OVER r) + (y - lag(y) OVER r) * (y - lag(y) OVER r) <= 900 THEN 0 ELSE 1 END AS s FROM c2 WINDOW r AS (PARTITION BY boxId, ride ORDER BY no)),
+c4 AS (SELECT *, sum(s) OVER (PARTITION BY boxId, ride ORDER BY no) AS g FROM c3),
+c5 AS (SELECT boxId, ride, g, min(a) AS a, max(b) AS b FROM c4 GROUP BY ALL HAVING max(b) - min(a) >= 112000000)"""
+
 ORPHANS = """
 WITH e AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY event_uid ORDER BY loaded_at) AS rn FROM matched_events) WHERE rn = 1),
 p AS (SELECT point_id, min(loaded_at) AS since FROM matched_points GROUP BY point_id), r AS (SELECT point_id, min(retracted_at) AS gone FROM retracted_points GROUP BY point_id),
@@ -298,6 +314,7 @@ SELECT CASE ref_field WHEN 'closest_point_id' THEN 'matched_points' WHEN 'edge'
 s0 AS (SELECT DISTINCT u, v, key, unnest(list_zip(geometry[1:len(geometry) - 1], geometry[2:])) AS s FROM muenster_edges_classified WHERE geometry IS NOT NULL AND u IS NOT NULL AND v IS NOT NULL AND key IS NOT NULL),
 s1 AS (SELECT u, v, key, s[1] AS p, s[2] AS q, unnest(range(floor((least(s[1].x, s[2].x) - 16) / 100)::BIGINT, floor((greatest(s[1].x, s[2].x) + 16) / 100)::BIGINT + 1)) AS gx FROM s0)
 SELECT DISTINCT row_seq, u, v, key AS edge_key FROM det JOIN s1 ON gx = floor(x / 100)::BIGINT AND y BETWEEN least(p.y, q.y) - 16 AND greatest(p.y, q.y) + 16 WHERE {d2} <= 15""",
+        "p5_found": pts + TRIPS + " SELECT boxId AS box_id, 'trip' AS kind, (t0 + t1) // 1200000000 AS slot FROM tp UNION ALL SELECT boxId, 'stop', (a + b) // 1200000000 FROM c5",
         "p4_found": "WITH " + STRANGE + " SELECT DISTINCT kind, record_id FROM fo",
         "p4_reasons": "WITH " + STRANGE + " SELECT DISTINCT kind, record_id, reason FROM fo",
         "p3_found": "WITH " + ONE + """, k AS (SELECT boxId, ride, min(t) AS t0, max(t) AS t1 FROM rd GROUP BY ALL),
