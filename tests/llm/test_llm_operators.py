@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from tests.helpers import RAW, alike, at, reading, us, views
 from velotrace.llm import queries as lq
-from velotrace.llm.bpe import TOKENIZERS, VOCABULARY, Bpe, count_tokens, decode, encode
+from velotrace.llm.bpe import TOKENIZERS, VOCABULARY, Bpe, count_tokens, dealt, decode, encode
 from velotrace.llm.digests import build, cluster, estimates, merge, percentiles, quantile
 from velotrace.llm.mixing import mixed, shares
 from velotrace.llm.runs import SAME, collapse, overtake_runs, reading_runs
 from velotrace.llm.splitting import split, split_documents, stretches_of
+from velotrace.operators.skew import joined_by
 
 DOCS = "doc_id long, text string"
 
@@ -78,6 +79,22 @@ def test_encode_table(spark, library):
     assert encode(df.limit(0)).count() == 0 and count_tokens(df, "doc_id").agg(F.sum("n_tokens")).first()[0] == sum(len(k[1]) * n for k, n in want.items())
 
 
+def test_texts_move_only_if_splits_are_few_or_large(spark, tmp_path, monkeypatch):
+    shuffled = lambda df: "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+    few = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("text").alias("text")).repartition(2)
+    few.write.parquet(str(tmp_path / "few"))
+    few.repartition(16).write.parquet(str(tmp_path / "many"))
+    few, many = (spark.read.parquet(str(tmp_path / n)) for n in ("few", "many"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a split per file
+    try:
+        assert shuffled(dealt(few, "doc_id", "text")) and dealt(few, "doc_id", "text").count() == 100
+        assert not shuffled(dealt(many, "doc_id", "text"))
+        monkeypatch.setattr("velotrace.llm.bpe.LARGEST_SPLIT", 10)
+        assert shuffled(dealt(many, "doc_id", "text"))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_ids_of_the_test_table(spark, sf, library):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = {r.doc_id: r.ids for r in lq.p8_ids(spark, sf).collect()}
@@ -226,6 +243,15 @@ def test_percentiles_per_group_and_day(spark):
     assert percentiles(rows.limit(0), "v", ["g"], [0.5]).count() == 0
 
 
+def test_fine_digests_keep_every_value():
+    rng = np.random.default_rng(3)
+    v = rng.gamma(2.0, 50.0, 9000)
+    m, w = cluster(np.concatenate([v[:4000], v[4000:]]), np.ones(9000), 60_000)
+    assert len(m) == 9000 and (w == 1).all()
+    p = np.array(lq.SHARES)
+    assert (quantile(m, w, v.min(), v.max(), p) == np.sort(v)[np.ceil(p * 9000 - 1e-9).astype(int) - 1]).all()
+
+
 # 9
 
 
@@ -260,8 +286,9 @@ def test_many_sources_are_joined_without_broadcast(spark, monkeypatch):
     targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.5, 2)], TARGETS)
     picks = lambda: sorted((r.doc_id, r.copies) for r in mixed(df, targets)[0].collect())
     want = picks()
-    monkeypatch.setattr("velotrace.llm.mixing.BROADCAST_SOURCES", 0)
-    monkeypatch.setattr("velotrace.llm.mixing.hot_keys", lambda keys, n: [("big", 3)])
+    monkeypatch.setattr("velotrace.operators.skew.is_small", lambda df: False)
+    split = joined_by
+    monkeypatch.setattr("velotrace.llm.mixing.joined_by", lambda a, b, keys, hot, by, n, how: split(a, b, keys, hot, by, 50, how))
     assert picks() == want
 
 

@@ -101,17 +101,30 @@ def values_to_digests(delta: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
+def digests_in(batch: pa.RecordBatch) -> Iterator[tuple[str, int, float, float, np.ndarray, np.ndarray]]:
+    """Key, n, low, high, means and weights of the digests of a batch; the arrays are views of the batch."""
+    lists = []
+    for c in ("means", "weights"):
+        column = batch.column(c)
+        at = column.offsets.to_numpy()
+        lists.append((column.values.to_numpy(zero_copy_only=False), at))
+    (means, at), (weights, bt) = lists
+    plain = [batch.column(c).to_pylist() for c in ("digest_key", "n", "low", "high")]
+    for i, (key, n, low, high) in enumerate(zip(*plain, strict=True)):
+        yield key, n, low, high, means[at[i] : at[i + 1]], weights[bt[i] : bt[i + 1]]
+
+
 def digests_to_digests(delta: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Digests sorted by digest_key to one per key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Digest] = {}
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["digest_key"] not in held and len(held) >= 64:
+            for key, n, low, high, means, weights in digests_in(batch):
+                if key not in held and len(held) >= 64:
                     yield batch_of(held)
                     held.clear()
-                held.setdefault(r["digest_key"], Digest(delta)).add(np.array(r["means"]), np.array(r["weights"]), r["low"], r["high"], r["n"])
+                held.setdefault(key, Digest(delta)).add(means, weights, low, high, n)
         if held:
             yield batch_of(held)
 
@@ -149,8 +162,7 @@ def reader(shares: list[float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            est = [quantile(np.array(r["means"]), np.array(r["weights"]), r["low"], r["high"], p) for r in rows]
+            est = [quantile(means, weights, low, high, p) for _, _, low, high, means, weights in digests_in(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("digest_key"), batch.column("n"), pa.array(est, pa.list_(pa.float64()))], ["digest_key", "n", "estimates"])
 
     return run

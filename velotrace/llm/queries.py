@@ -100,15 +100,20 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_kept(spark: SparkSession, d: str) -> DataFrame:
-    """Per source with a target: its share among the sources that have documents, whether the mix keeps it within SHARE_BOUND, and copies over the cap."""
-    s = mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
-    here = F.col("n_tokens_available") > 0
-    share = F.col("target_share") / F.sum(F.when(here, F.col("target_share"))).over(Window.partitionBy())  # one row per target
-    wanted = F.when(here, share).otherwise(F.lit(0.0))
-    return s.select(
-        "source", F.round(wanted, 9).alias("wanted_share"), (F.abs(F.col("actual_share") - wanted) <= SHARE_BOUND).alias("share_kept"), F.greatest(F.col("most_copies") - F.col("max_repeats"), F.lit(0)).alias("copies_over"),
-        (F.col("n_docs") > 0).alias("used"),
-    )
+    """Per source with a target: its share among the sources that have documents, whether the mix keeps it, and copies over the cap.
+
+    A source is filled to the nearest document, so it may miss its tokens by half its longest one, and the mix by half the longest of each source. A
+    share is kept if it is off by no more than that, and SHARE_BOUND.
+    """
+    docs = table(spark, d, "documents")
+    s = mix(docs, table(spark, d, "mix_targets"))[1]
+    longest = count_tokens(docs, "source").groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    s = s.join(longest, "source", "left")
+    here, everything = F.col("n_tokens_available") > 0, Window.partitionBy()  # one row per target
+    wanted = F.when(here, F.col("target_share") / F.sum(F.when(here, F.col("target_share"))).over(everything)).otherwise(F.lit(0.0))
+    half = F.coalesce(F.col("longest"), F.lit(0)) / 2
+    bound = SHARE_BOUND + (half + wanted * F.sum(half).over(everything)) / F.sum("n_tokens_used").over(everything)
+    return s.select("source", F.round(wanted, 9).alias("wanted_share"), (F.abs(F.col("actual_share") - wanted) <= bound).alias("share_kept"), F.greatest(F.col("most_copies") - F.col("max_repeats"), F.lit(0)).alias("copies_over"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +177,7 @@ def oracle_sql() -> dict[str, str]:
         "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p8_agree": "SELECT source, count(*) AS n_docs, count(*) FILTER (coalesce(text, '') = '') AS n_empty, count(*) AS n_equal FROM documents GROUP BY source",
         "p9_kept": "WITH h AS (SELECT DISTINCT source FROM documents WHERE text <> '') SELECT t.source, round(CASE WHEN h.source IS NULL THEN 0 ELSE target_share / (SELECT sum(target_share) FROM mix_targets SEMI JOIN h USING (source)) END, 9) AS wanted_share, "
-        "TRUE AS share_kept, 0 AS copies_over, h.source IS NOT NULL AS used FROM mix_targets t LEFT JOIN h USING (source)",
+        "TRUE AS share_kept, 0 AS copies_over FROM mix_targets t LEFT JOIN h USING (source)",
         "p10_checked": "SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS covered_bytes, 0 AS n_gaps, 0 AS n_over_limit, 0 AS n_long_overlaps FROM documents",
         "p7_found": _RUNS + "SELECT kind, seq_id, start_us, end_us FROM found",
         "p7_runs": _RUNS + "SELECT kind, seq_id, start_us, end_us, n, end_us - start_us AS duration_us FROM found",
