@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from velotrace.operators.shards import SECOND
 
 CLOSE_PASS_CM = 150.0
 MERGE_GAP_S = 3.0
+#: Stands for a load time that is not known.
+LATEST = datetime(9999, 1, 1, tzinfo=timezone.utc)
 
 
 def seconds(start: Column, end: Column) -> Column:
@@ -86,9 +90,12 @@ def one_edge_per_point(matched: DataFrame) -> DataFrame:
 
 
 def each_event_once(events: DataFrame) -> DataFrame:
-    """One row per event_uid; of rows without event_uid, those equal in all columns once."""
-    whole = F.when(F.col("event_uid").isNull(), F.struct(*[F.col(f"`{c}`") for c in events.columns]))
-    return events.withColumn("_whole", whole).dropDuplicates(["event_uid", "_whole"]).drop("_whole")
+    """One row per event_uid, the one loaded first (if there is a loaded_at), then the lowest in all columns; of rows without event_uid, those equal in all columns once."""
+    cols = [F.col(f"`{c}`") for c in events.columns]
+    whole = F.struct(*cols)
+    order = F.struct(F.coalesce("loaded_at", F.lit(LATEST)), whole) if "loaded_at" in events.columns else F.struct(whole)
+    first = events.groupBy("event_uid", F.when(F.col("event_uid").isNull(), whole).alias("_null")).agg(F.min_by(whole, order).alias("_e"))
+    return first.select("_e.*")
 
 
 def link_events(events: DataFrame, matched: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from velotrace.functions.geo import distance, point_segment_distance, with_utm32
 from velotrace.operators.shards import SECOND, dedup, sharded, usable
 from velotrace.operators.skew import is_small, joined_by
+from velotrace.session import cut
 
 
 #: Cell of places that are not known.
@@ -122,6 +123,7 @@ def lines_near_points(points: DataFrame, lines: DataFrame, keys: list[str], reac
     parts = cut_long(segments(lines, keys).where(real(*ends)))
     turned = F.struct("x1", "y1") < F.struct("x0", "y0")
     parts = parts.select(*keys, *[F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in zip(ends, ["x1", "y1", "x0", "y0"], strict=True)]).distinct()
+    parts = cut(parts)  # read for the regions and for the lines that share them
     region = F.struct(*ends)
     regions = parts.select(*ends).distinct().select(region.alias("region"), around(*[F.col(c) for c in ends], reach_m).alias("ring"))
     inside = points_in_regions(points, regions, cell_m)

@@ -204,7 +204,8 @@ def good_scope_points(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def plot_one_box(spark: SparkSession, d: str) -> DataFrame:
-    q = quality(spark, d).select("boxId", "traj_id", "n_points", "nonzero_share", "longest_nonzero_run", "value_max")
+    """A box's pages: its trajectories, longest first, with the end of their id as label."""
+    q = quality(spark, d).select("boxId", "traj_id", F.right("traj_id", F.lit(4)).alias("label"), "n_points", "nonzero_share", "longest_nonzero_run", "value_max")
     rank = F.row_number().over(Window.partitionBy("boxId").orderBy(F.col("n_points").desc(), "traj_id"))
     return rounded(q.withColumn("page_rank", rank), nonzero_share=9)
 

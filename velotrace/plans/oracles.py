@@ -258,7 +258,7 @@ SELECT traj_id, boxId, boxName, start_us, end_us, n_points, round(length_km, 4)
         "box_keep_rate": q + " SELECT boxId, boxName, count(*) AS n, round_even(avg(keep::INT), 2) AS keep_rate FROM q WHERE boxId IS NOT NULL AND boxName IS NOT NULL GROUP BY boxId, boxName ORDER BY keep_rate, boxId, boxName LIMIT 15",
         "box_overview": seg + " SELECT boxId, count(*) AS n_points, count(DISTINCT traj_id) AS n_trajectories, round(avg(coalesce(value > 0, FALSE)::INT), 9) AS nonzero_share, max(value) AS value_max, avg(coalesce(value > 0, FALSE)::INT) > 0.4 AS looks_stuck FROM seg GROUP BY boxId",
         "good_scope_points": q + " SELECT row_seq, traj_id, point_id FROM tr SEMI JOIN (SELECT traj_id FROM q WHERE keep) k USING (traj_id)",
-        "plot_one_box": q + " SELECT boxId, traj_id, n_points, round(nonzero_share, 9) AS nonzero_share, longest_nonzero_run, value_max, (row_number() OVER (PARTITION BY boxId ORDER BY n_points DESC, traj_id))::INT AS page_rank FROM q",
+        "plot_one_box": q + " SELECT boxId, traj_id, right(traj_id, 4) AS label, n_points, round(nonzero_share, 9) AS nonzero_share, longest_nonzero_run, value_max, (row_number() OVER (PARTITION BY boxId ORDER BY n_points DESC, traj_id))::INT AS page_rank FROM q",
         "plot_trajectories": tr + ", l AS (SELECT boxId, count(*) AS n_lines FROM (SELECT boxId, traj_id FROM tr GROUP BY ALL HAVING count(*) >= 2) GROUP BY boxId) SELECT left(boxId, 12) AS label, boxId, n_lines, greatest((SELECT count(*) FROM l) - 15, 0) AS n_more FROM l ORDER BY n_lines DESC, boxId LIMIT 15",
         "overtake_events": ev + " SELECT * REPLACE (round(duration_s, 6) AS duration_s, round(mean_clearance_cm, 9) AS mean_clearance_cm, round(x, 2) AS x, round(y, 2) AS y) FROM ev",
         "traj_summary": summary,
