@@ -7,13 +7,14 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+import regex
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.helpers import RAW, alike, at, reading, us, views
 from velotrace.llm import queries as lq
-from velotrace.llm.bpe import TOKENIZERS, VOCABULARY, Bpe, count_tokens, dealt, decode, encode
+from velotrace.llm.bpe import PATTERN, TOKENIZERS, VOCABULARY, Bpe, count_tokens, dealt, decode, divider, encode
 from velotrace.llm.digests import build, cluster, estimates, merge, percentiles, quantile
 from velotrace.llm.mixing import mixed, shares
 from velotrace.llm.runs import SAME, collapse, overtake_runs, reading_runs
@@ -79,6 +80,12 @@ def test_encode_table(spark, library):
     assert encode(df.limit(0)).count() == 0 and count_tokens(df, "doc_id").agg(F.sum("n_tokens")).first()[0] == sum(len(k[1]) * n for k, n in want.items())
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=8), st.sampled_from(["'s", "'ll", " ", "\n", "\u3000", "\x1c", "\x85", "\u2028", "x\u0301", "\u00b2", "7", "\U0001f600", "\U00012000"]))).map("".join))
+def test_both_engines_divide_alike(text):
+    assert divider()(text) == regex.findall(PATTERN, text)
+
+
 def test_texts_move_only_if_splits_are_few_or_large(spark, tmp_path, monkeypatch):
     shuffled = lambda df: "Exchange" in df._jdf.queryExecution().executedPlan().toString()
     few = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("text").alias("text")).repartition(2)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -23,6 +25,27 @@ VOCABULARY = "byte_bpe_50k.json"
 # Fixed value: how byte-level BPE of 50k ids divides a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+
+@lru_cache(maxsize=1)
+def divider() -> Callable[[str], list[str]]:
+    """Divides a text by PATTERN.
+
+    Texts whose characters all lie in Unicode's first plane, nearly all, go through the standard library's engine, which is more than twice as fast
+    once \\p{L}, \\p{N} and \\s are written as the characters that they stand for there; others through the engine that knows these classes.
+    """
+    plane = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    classes = {}
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        code = np.array([ord(c) for c in regex.findall(name, plane)])
+        begin = np.flatnonzero(np.r_[True, np.diff(code) != 1])
+        classes[name] = "".join(rf"\u{code[a]:04x}-\u{code[b - 1]:04x}" for a, b in zip(begin, np.r_[begin[1:], len(code)], strict=True))
+    inside = PATTERN.replace(r"[^\s\p{L}\p{N}]", "[^" + "".join(classes.values()) + "]").replace(r"\S", f"[^{classes[r'\s']}]")
+    for name, chars in classes.items():
+        inside = inside.replace(name, f"[{chars}]")
+    plain, general = re.compile(inside).findall, regex.compile(PATTERN).findall
+    return lambda text: plain(text) if text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else general(text)
+
+
 #: Pieces of text whose ids a worker remembers; beyond it forgets all and starts again.
 REMEMBERED = 200_000
 #: Longer pieces are not remembered.
@@ -51,7 +74,7 @@ class Bpe:
         for rank, m in enumerate(model["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        self.find = regex.compile(PATTERN).findall
+        self.find = divider()
         self.known: dict[str, tuple[int, ...]] = {}
 
     def merge(self, raw: bytes) -> list[int]:
