@@ -123,13 +123,14 @@ def lines_near_points(points: DataFrame, lines: DataFrame, keys: list[str], reac
     parts = cut_long(segments(lines, keys).where(real(*ends)))
     turned = F.struct("x1", "y1") < F.struct("x0", "y0")
     parts = parts.select(*keys, *[F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in zip(ends, ["x1", "y1", "x0", "y0"], strict=True)]).distinct()
-    parts = cut(parts)  # read for the regions and for the lines that share them
-    region = F.struct(*ends)
-    regions = parts.select(*ends).distinct().select(region.alias("region"), around(*[F.col(c) for c in ends], reach_m).alias("ring"))
+    # regions are told by a number, which is short where it is shuffled and broadcast; written, it stays the same
+    numbered = cut(parts.select(*ends).distinct().withColumn("region", F.monotonically_increasing_id()))
+    regions = numbered.select("region", around(*[F.col(c) for c in ends], reach_m).alias("ring"))
     inside = points_in_regions(points, regions, cell_m)
-    r = F.col("region")
-    near = inside.where(point_segment_distance(F.col("x"), F.col("y"), *[r[c] for c in ends]) <= reach_m).select("point", *[r[c].alias(c) for c in ends])
-    return near.join(F.broadcast(parts) if is_small(parts) else parts, ends).select("point", *keys).distinct()
+    owners = parts.join(numbered, ends).select("region", *keys, F.struct(*ends).alias("s"))
+    s = [F.col("s")[c] for c in ends]
+    near = inside.join(F.broadcast(owners) if is_small(owners) else owners, "region").where(point_segment_distance(F.col("x"), F.col("y"), *s) <= reach_m)
+    return near.select("point", *keys).distinct()
 
 
 def detections(readings: DataFrame) -> DataFrame:
