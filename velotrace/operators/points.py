@@ -58,7 +58,7 @@ class Journeys:
     cells: boxId, cell, traj_id, and of the cell: n, t0, t1 (microseconds), zeros and n_hits (points without and with detection), n_known (with a
     value), value_max, path_m (with the step from the cell before), longest, head and tail (detections in a row: most, first, last), name and known_name
     (of its first point, and its first one that has a name). Carried over from the cells of the trajectory before: c_rows, c_zeros, c_last (place of the last
-    point), c_hit (its last detection), c_events (events begun); c_next is the place of the first point after. hits: boxId, cell, hits (array of
+    point), c_hit (its last detection), c_run (detections in a row up to there), c_events (events begun); c_next is the place of the first point after. hits: boxId, cell, hits (array of
     the cell's detections: i, t, row_seq, value, x, y).
     """
 
@@ -104,6 +104,9 @@ def journeys(points: DataFrame, gap_minutes: float = GAP_MINUTES, min_points: in
         "traj_id": F.concat_ws("_", "boxId", F.col("ride").cast("string")), "c_rows": sofar("n"), "c_zeros": sofar("zeros"), "c_hit": F.last("hit1", ignorenulls=True).over(upto),
         "c_last": F.lag("last").over(order), "c_next": F.lead("first").over(order),
     })
+    # detections in a row up to the end of a cell: those since the last point without one, which the number of such points tells
+    row = Window.partitionBy("boxId", "ride", F.col("c_zeros") + F.col("zeros")).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    joint = joint.withColumn("run_out", F.sum("tail").over(row)).withColumn("c_run", F.coalesce(F.lag("run_out").over(order), F.lit(0))).drop("run_out")
     first_new = F.when(F.col("hit0").isNotNull(), F.coalesce((F.col("hit0") - F.col("c_hit") > apart).cast("long"), F.lit(1))).otherwise(0)
     step_in = F.when(F.col("c_last").isNotNull(), distance(F.col("c_last")["x"], F.col("c_last")["y"], F.col("first")["x"], F.col("first")["y"])).otherwise(0.0)
     done = joint.withColumns({"begun": F.col("begun") + first_new, "path_m": F.col("path_m") + step_in}).withColumn("c_events", sofar("begun"))

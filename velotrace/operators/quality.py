@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velotrace.operators.points import Journeys
@@ -27,17 +27,14 @@ class Limits:
 REASONS = {"f_speed": "speed", "f_nz_share": "nz_share", "f_long_run": "long_run", "f_rate": "high_rate", "f_too_short": "too_short"}
 
 
-def longest_runs(tours: Journeys) -> DataFrame:
-    """boxId, traj_id, longest_nonzero_run: most detections in a row, 0 if there are none; a null value ends a run.
+def longest_run() -> Column:
+    """Of a trajectory's cells: most detections in a row, 0 if there are none; a null value ends a run. A run over borders is told by what a cell takes over."""
+    return F.max(F.greatest("longest", F.col("c_run") + F.col("head"))).cast("long")
+
 
-    Runs inside a cell are known there. One that goes over borders is told by how many points without detection came before it in the
-    trajectory: the parts of that number, at most two a cell, are summed.
-    """
-    c = tours.cells
-    ends = F.array_compact(F.array(F.struct(F.col("c_zeros").alias("z"), F.col("head").alias("k")), F.when(F.col("zeros") > 0, F.struct((F.col("c_zeros") + F.col("zeros")).alias("z"), F.col("tail").alias("k")))))
-    over = c.select("boxId", "traj_id", F.explode(ends).alias("e")).groupBy("boxId", "traj_id", "e.z").agg(F.sum("e.k").alias("run"))
-    both = over.select("boxId", "traj_id", "run").unionByName(c.select("boxId", "traj_id", F.col("longest").cast("long").alias("run")))
-    return both.groupBy("boxId", "traj_id").agg(F.max("run").alias("longest_nonzero_run"))
+def longest_runs(tours: Journeys) -> DataFrame:
+    """boxId, traj_id, longest_nonzero_run."""
+    return tours.cells.groupBy("boxId", "traj_id").agg(longest_run().alias("longest_nonzero_run"))
 
 
 def trajectory_stats(tours: Journeys, min_length_km: float = 0.2) -> DataFrame:
@@ -52,8 +49,8 @@ def trajectory_stats(tours: Journeys, min_length_km: float = 0.2) -> DataFrame:
         (F.sum("path_m") / 1000).alias("length_km"),
         F.min("t0").alias("t0"),
         F.max("t1").alias("t1"),
+        longest_run().alias("longest_nonzero_run"),
     )
-    stats = stats.join(longest_runs(tours), ["boxId", "traj_id"])
     long_enough = F.when(F.col("length_km") >= min_length_km, F.col("length_km"))
     return stats.withColumn("mean_speed_kmh", F.try_divide("length_km", F.nullif(hours, F.lit(0.0)))).withColumn("raw_per_km", F.try_divide(F.col("n_nonzero").cast("double"), F.nullif(long_enough, F.lit(0.0)))).drop("t0", "t1")
 

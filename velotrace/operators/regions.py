@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velotrace.functions.geo import distance, point_segment_distance, with_utm32
@@ -23,6 +23,11 @@ def cell_key(col: Column, strip: Column) -> Column:
     return F.coalesce(F.shiftleft(strip, 32).bitwiseOR(col.bitwiseAND(F.lit(0xFFFFFFFF))), F.lit(NOWHERE))
 
 
+def by_number(spark: SparkSession) -> int:
+    """Partitions for a fixed side whose rows make many more."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def binned_edges(regions: DataFrame, cell_m: float) -> DataFrame:
     """Ring edges of regions (region, ring array<struct<x,y>>) in latitude strips.
 
@@ -30,10 +35,8 @@ def binned_edges(regions: DataFrame, cell_m: float) -> DataFrame:
     lowest x to the edge's highest: a point needs only the edges of its own strip that do not end
     before its stretch, of regions that begin by then. Rings are closed if they aren't; horizontal edges cross no ray and are left out.
     """
-    spark = regions.sparkSession
     # a few regions make many rows, so they are dealt out by number, not by size
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rings = regions.repartition(parts, "region").select(
+    rings = regions.repartition(by_number(regions.sparkSession), "region").select(
         "region", "ring", F.array_min(F.transform("ring", lambda p: p["x"])).alias("x_min")
     )
     places = F.forall("ring", lambda p: F.coalesce((F.abs(p["x"]) < FARTHEST) & (F.abs(p["y"]) < FARTHEST), F.lit(False)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velotrace.functions.geo import point_segment_distance
-from velotrace.operators.regions import cell_key, cut_long, real
+from velotrace.operators.regions import by_number, cell_key, cut_long, real
 from velotrace.operators.skew import joined_by
 
 
@@ -59,7 +59,9 @@ def nearest_line(left: DataFrame, right: DataFrame, reach_m: float) -> DataFrame
     """
     ends = ("x0", "y0", "x1", "y1")
     cols = [F.col(c) for c in ends]
-    a = in_cells(cut_long(left.where(real(*ends))), *cols, reach_m, 0.0)
+    # a few segments make many pairs, so they are dealt out by number, not by size
+    dealt = left.where(real(*ends)).repartition(by_number(left.sparkSession), "line")
+    a = in_cells(cut_long(dealt), *cols, reach_m, 0.0)
     b = in_cells(cut_long(right.where(real(*ends))), *cols, reach_m, reach_m)
     pack = lambda df, key, name: df.select("cell", key, F.struct(*ends).alias(name))
     pairs = joined_by(pack(a, "line", "a"), pack(b, "near", "b"), ["cell"], "cell", F.xxhash64("line", "a"))

@@ -53,7 +53,7 @@ def journeys(spark: SparkSession, d: str) -> pt.Journeys:
 
 
 def quality(spark: SparkSession, d: str) -> DataFrame:
-    return ql.worst_first(ql.quality_table(ql.trajectory_stats(journeys(spark, d))))
+    return ql.quality_table(ql.trajectory_stats(journeys(spark, d)))
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
@@ -166,7 +166,7 @@ def longest_run(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def quality_table(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(quality(spark, d), length_km=4, mean_speed_kmh=3, nonzero_share=9, raw_per_km=4)
+    return rounded(ql.worst_first(quality(spark, d)), length_km=4, mean_speed_kmh=3, nonzero_share=9, raw_per_km=4)
 
 
 @query
