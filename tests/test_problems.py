@@ -153,6 +153,14 @@ def test_runs_equal_brute_force(spark, steps, alike):
     assert sorted((r.t0, r.t1, r.n) for r in got.collect()) == brute_runs(items, alike, 10, 5)
 
 
+def test_runs_go_on_over_shards_without_items(spark):
+    rows = [("e", t, t, t, t not in range(10, 20), 1.0 if t not in range(10, 20) else None) for t in range(2, 29, 2)]
+    df = spark.createDataFrame(rows, "entity string, t long, t_end long, id long, item boolean, v double")
+    alike = Alike(0.5, None, 2)
+    got = joined(pieces(sharded(df, 10), alike, copies=False), alike, 10, 5).collect()
+    assert [(r.t0, r.t1, r.n) for r in got] == [(2, 28, 9)] == brute_runs([(r[1], r[5], r[4]) for r in rows], alike, 10, 5)
+
+
 # 4
 
 

@@ -93,7 +93,7 @@ def without_copies(table: pa.Table, keys: tuple[str, str]) -> tuple[pa.Table, np
 
 
 def edge_rows(run: Runs, which: np.ndarray, v: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.StructArray:
-    """Of each shard the run that holds its first (which: first) or last item, as RUN; n is 0 if that item is in none, null if there is no item."""
+    """Of each shard the run that holds its first (which: first) or last item, as RUN; n is 0 if that item is in none; all is null if there is no item."""
     at = np.maximum(which, 0)
     held = np.searchsorted(run.starts, at, "right") - 1
     ok = held >= 0
@@ -162,7 +162,7 @@ def chained(slim: DataFrame, alike: Alike, by: str) -> DataFrame:
     ends = F.when(F.col("whole"), F.array(F.struct(F.lit(0).alias("at"), F.col("head").alias("r")))).otherwise(
         F.array(F.struct(F.lit(0).alias("at"), F.col("head").alias("r")), F.struct(F.lit(1).alias("at"), F.col("tail").alias("r")))
     )
-    edge = slim.where(F.col("head").isNotNull()).select(by, "ride", "shard", F.explode(ends).alias("e")).select(by, "ride", "shard", "e.at", "e.r.*")
+    edge = slim.where(F.col("head.n").isNotNull()).select(by, "ride", "shard", F.explode(ends).alias("e")).select(by, "ride", "shard", "e.at", "e.r.*")
     order = Window.partitionBy(by).orderBy("shard", "at")
     before = lambda c: F.lag(c).over(order)
     links = (F.col("at") == 0) & (F.col("n") > 0) & (before("n") > 0) & (before("ride") == F.col("ride")) & (F.abs(F.col("v0") - before("v1")) <= alike.tolerance)
