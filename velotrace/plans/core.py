@@ -207,7 +207,9 @@ def plot_one_box(spark: SparkSession, d: str) -> DataFrame:
     """A box's pages: its trajectories, longest first, with the end of their id as label."""
     q = quality(spark, d).select("boxId", "traj_id", F.right("traj_id", F.lit(4)).alias("label"), "n_points", "nonzero_share", "longest_nonzero_run", "value_max")
     rank = F.row_number().over(Window.partitionBy("boxId").orderBy(F.col("n_points").desc(), "traj_id"))
-    return rounded(q.withColumn("page_rank", rank), nonzero_share=9)
+    whole = lambda c: F.coalesce(F.bround(c).cast("long").cast("string"), F.lit("nan"))
+    title = F.concat("label", F.lit(" | "), F.col("n_points").cast("string"), F.lit(" pts | nz "), whole(F.round("nonzero_share", 9) * 100), F.lit("% | run "), F.col("longest_nonzero_run").cast("string"), F.lit(" | max "), whole(F.col("value_max")))
+    return rounded(q.withColumns({"page_rank": rank, "title": title}), nonzero_share=9)
 
 
 @query
@@ -394,7 +396,10 @@ def viterbi_checked(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def placed_share(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(mm.placed_share(table(spark, d, "matched_points")), placed_share=9)
+    """Per trajectory how much of it is placed, with the title of its picture."""
+    p = rounded(mm.placed_share(table(spark, d, "matched_points")), placed_share=9)
+    percent = F.bround(F.col("placed_share") * 100).cast("long").cast("string")
+    return p.withColumn("title", F.concat(F.right("traj_id", F.lit(4)), F.lit(" | "), F.col("n_points").cast("string"), F.lit(" pts | "), percent, F.lit("% placed")))
 
 
 @query

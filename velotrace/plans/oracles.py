@@ -258,7 +258,8 @@ SELECT traj_id, boxId, boxName, start_us, end_us, n_points, round(length_km, 4)
         "box_keep_rate": q + " SELECT boxId, boxName, count(*) AS n, round_even(avg(keep::INT), 2) AS keep_rate FROM q WHERE boxId IS NOT NULL AND boxName IS NOT NULL GROUP BY boxId, boxName ORDER BY keep_rate, boxId, boxName LIMIT 15",
         "box_overview": seg + " SELECT boxId, count(*) AS n_points, count(DISTINCT traj_id) AS n_trajectories, round(avg(coalesce(value > 0, FALSE)::INT), 9) AS nonzero_share, max(value) AS value_max, avg(coalesce(value > 0, FALSE)::INT) > 0.4 AS looks_stuck FROM seg GROUP BY boxId",
         "good_scope_points": q + " SELECT row_seq, traj_id, point_id FROM tr SEMI JOIN (SELECT traj_id FROM q WHERE keep) k USING (traj_id)",
-        "plot_one_box": q + " SELECT boxId, traj_id, right(traj_id, 4) AS label, n_points, round(nonzero_share, 9) AS nonzero_share, longest_nonzero_run, value_max, (row_number() OVER (PARTITION BY boxId ORDER BY n_points DESC, traj_id))::INT AS page_rank FROM q",
+        "plot_one_box": q + " SELECT boxId, traj_id, right(traj_id, 4) AS label, n_points, round(nonzero_share, 9) AS nonzero_share, longest_nonzero_run, value_max, (row_number() OVER (PARTITION BY boxId ORDER BY n_points DESC, traj_id))::INT AS page_rank, "
+        "right(traj_id, 4) || ' | ' || n_points || ' pts | nz ' || round_even(round(nonzero_share, 9) * 100, 0)::BIGINT || '% | run ' || longest_nonzero_run || ' | max ' || coalesce(round_even(value_max, 0)::BIGINT::VARCHAR, 'nan') AS title FROM q",
         "plot_trajectories": tr + ", l AS (SELECT boxId, count(*) AS n_lines FROM (SELECT boxId, traj_id FROM tr GROUP BY ALL HAVING count(*) >= 2) GROUP BY boxId) SELECT left(boxId, 12) AS label, boxId, n_lines, greatest((SELECT count(*) FROM l) - 15, 0) AS n_more FROM l ORDER BY n_lines DESC, boxId LIMIT 15",
         "overtake_events": ev + " SELECT * REPLACE (round(duration_s, 6) AS duration_s, round(mean_clearance_cm, 9) AS mean_clearance_cm, round(x, 2) AS x, round(y, 2) AS y) FROM ev",
         "traj_summary": summary,
@@ -291,7 +292,7 @@ SELECT traj_id, boxId, boxName, start_us, end_us, n_points, round(length_km, 4)
         "viterbi_checked": tr + "," + CHORDS + ", fi AS (SELECT traj_id, x, y FROM tr WHERE ordinal = 0), "
         f"pl AS (SELECT DISTINCT traj_id FROM fi JOIN ch ON x BETWEEN least(x0, x1) - 60 AND greatest(x0, x1) + 60 AND y BETWEEN least(y0, y1) - 60 AND greatest(y0, y1) + 60 WHERE {point_segment('x', 'y', 'x0', 'y0', 'x1', 'y1')} <= 60) "
         "SELECT traj_id, count(*) AS n_points, bool_or(pl.traj_id IS NOT NULL) AS any_placed, 0 AS n_after_null, 0 AS n_far FROM tr LEFT JOIN pl USING (traj_id) GROUP BY traj_id",
-        "placed_share": "SELECT traj_id, count(*) AS n_points, round(avg((u IS NOT NULL)::INT), 9) AS placed_share, bool_or(u IS NOT NULL) AS any_placed FROM matched_points GROUP BY traj_id",
+        "placed_share": "SELECT traj_id, count(*) AS n_points, round(avg((u IS NOT NULL)::INT), 9) AS placed_share, bool_or(u IS NOT NULL) AS any_placed, right(traj_id, 4) || ' | ' || count(*) || ' pts | ' || round_even(round(avg((u IS NOT NULL)::INT), 9) * 100, 0)::BIGINT || '% placed' AS title FROM matched_points GROUP BY traj_id",
         "placed_overall": "SELECT count(*) AS n_trajectories, count(*) FILTER (a) AS n_matched, round(sum(k) / sum(n), 9) AS placed_share FROM (SELECT bool_or(u IS NOT NULL) AS a, count(u) AS k, count(*) AS n FROM matched_points GROUP BY traj_id)",
         "visited_edges": "SELECT traj_id, least(u, v) AS u, greatest(u, v) AS v, epoch_us(min(createdAt)) AS first_at_us FROM matched_points WHERE u IS NOT NULL AND v IS NOT NULL GROUP BY ALL",
         "plot_match": """WITH m AS (SELECT traj_id, least(u, v) AS u, greatest(u, v) AS v, min(createdAt) AS f FROM matched_points WHERE u IS NOT NULL AND v IS NOT NULL GROUP BY ALL),
